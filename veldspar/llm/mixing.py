@@ -55,6 +55,44 @@ def targets(sizes: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: fl
     return rows.withColumn("target", F.when(F.col("stops"), F.col("cap")).otherwise(level * F.col("w"))).select("source", "source_size", "target")
 
 
+def _decided(rows: DataFrame, name: dict[str, str], weights: Sequence[float], share: float, max_epochs: float, seed: str) -> DataFrame:
+    """``rows`` with source_size, target, epochs and taken added, under the names that ``name`` gives.
+
+    ``name`` also gives the columns id, source and size.
+    """
+    c = {k: F.col(v) for k, v in name.items()}
+    key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(c["id"].cast("string"), F.lit("null"))).cast("binary"))
+    rows = rows.withColumn(name["key"], key).withColumn(name["range"], F.substring(c["key"], 1, 3))
+    # A range of keys holds about one document in 4096 of a source; equal keys (repeated ids) share a range.
+    ranges = rows.groupBy(c["source"].alias("source"), c["range"].alias("range")).agg(F.sum(c["size"]).alias("range_size"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
+    ranges = ranges.withColumn("source_size", F.sum("range_size").over(Window.partitionBy("source")))
+    plan = targets(ranges.select("source", "source_size").distinct(), weights=weights, share=share, max_epochs=max_epochs)
+    ranges = ranges.alias("r").join(plan.alias("p"), F.expr("coalesce(r.source, '') = coalesce(p.source, '') and r.source <=> p.source"))
+    ranges = ranges.select("r.source", "range", "before", "r.source_size", "target")
+    within = Window.partitionBy(name["source"], name["range"]).orderBy(name["key"], name["id"], name["size"]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(name["inside"], F.coalesce(F.sum(c["size"]).over(within), F.lit(0)))
+    d = {k: F.col(f"d.`{v}`") for k, v in name.items()}
+    none = F.lit("")
+    same = (F.coalesce(d["source"], none) == F.coalesce("r.source", none)) & d["source"].eqNullSafe(F.col("r.source")) & (d["range"] == F.col("r.range"))
+    out = rows.alias("d").join(ranges.alias("r"), same)
+    budget, whole = F.round("r.target").cast("bigint"), F.col("r.source_size")
+    epochs = F.when(whole > 0, F.floor(budget / whole)).otherwise(F.lit(0)).cast("bigint")
+    part = F.greatest(F.lit(0), F.least(d["size"], budget - epochs * whole - F.col("r.before") - d["inside"]))
+    gone = (name["key"], name["range"], name["inside"])
+    return out.select(
+        *[F.col(f"d.`{x}`") for x in rows.columns if x not in gone],
+        whole.alias(name["source_size"]),
+        F.col("r.target").alias(name["target"]),
+        epochs.alias(name["epochs"]),
+        (epochs * d["size"] + part).cast("bigint").alias(name["taken"]),
+    )
+
+
+_PARTS = ("id", "source", "size", "key", "range", "inside", "source_size", "target", "epochs", "taken")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -70,52 +108,41 @@ def mix(
     passes of its source), taken (words, repeats counted)."""
     require(docs, id_col, text_col, source_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    # A range of keys holds about one document in 4096 of a source; equal keys (repeated ids) share a range.
-    rows = rows.withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    ranges = ranges.withColumn("source_size", F.sum("range_size").over(Window.partitionBy("source")))
-    plan = targets(ranges.select("source", "source_size").distinct(), weights=weights, share=share, max_epochs=max_epochs)
-    ranges = ranges.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source")).select("r.source", "range", "before", "r.source_size", "target")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    same = F.expr("coalesce(d.source, '') = coalesce(r.source, '') and d.source <=> r.source and d.range = r.range")
-    out = rows.alias("d").join(ranges.alias("r"), same).select("d.doc_id", "d.source", "d.size", "r.source_size", "r.target", (F.col("r.before") + F.col("d.inside")).alias("start"))
-    budget = F.round("target").cast("bigint")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    rest = budget - F.col("epochs") * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return out.withColumn("epochs", epochs).withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("bigint")).drop("start")
-
-
-def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, **options) -> DataFrame:
+    return _decided(rows, {k: k for k in _PARTS} | {"id": "doc_id"}, weights, share, max_epochs, seed)
+
+
+def sample(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    count_col: str | None = None,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: str = "0",
+) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it.
 
-    Whole passes give copies; a part gives one more row that holds the text's
-    first words, as many as the budget left has. Documents not taken go;
-    documents without words have nothing to weigh and stay. All columns stay.
-    A document's decision is found by its id and size.
+    Whole passes give copies. The one document of a source in which its budget
+    ends gives a row of the words that are left, joined by blanks. Documents not
+    taken go; documents without words weigh nothing and stay. All columns stay;
+    ``count_col``, if given, gets a shortened text's number of characters.
     """
+    require(docs, id_col, text_col, source_col)
     names = docs.columns
-    size, taken, times = spare(docs, "_size"), spare(docs, "_taken"), spare(docs, "_times")
-    # Repeated ids: the k-th row of an id and size meets the k-th decision of it.
-    nth = spare(docs, "_nth")
-    decisions = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    decisions = decisions.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__size").orderBy("__taken")))
-    rows = docs.withColumn(size, word_count(F.col(text_col)))
-    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, size).orderBy(F.xxhash64(text_col))))
-    out = rows.join(decisions, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(size) == F.col("__size")) & (F.col(nth) == F.col("__nth")))
-    out = out.withColumn(taken, F.col("__taken")).where((F.col(taken) > 0) | (F.col(size) == 0))
-    # One row for each whole pass (true), and one for a part (false).
-    whole = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.floor(F.col(taken) / F.col(size))).cast("int")
-    left = F.when(F.col(size) == 0, F.lit(0)).otherwise(F.pmod(F.col(taken), F.col(size))).cast("int")
-    out = out.withColumn(times, F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<int>")))))
-    first = F.regexp_extract(F.col(text_col), r"^", 0)
-    first = F.expr(f"regexp_substr(`{text_col}`, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+){{', `{times}`, '}}'))")
-    cut = F.col(times) > 0
-    out = out.withColumn(text_col, F.when(cut, first).otherwise(F.col(text_col)))
+    name = {k: spare(docs, f"_mix_{k}") for k in (*_PARTS, "rows")} | {"id": id_col, "source": source_col}
+    rows = docs.withColumn(name["size"], word_count(F.col(text_col)))
+    out = _decided(rows, name, weights, share, max_epochs, seed)
+    size, taken, left = (F.col(name[k]) for k in ("size", "taken", "rows"))
+    out = out.where((taken > 0) | (size == 0))
+    # 0 for each whole pass, and the number of words of a part.
+    whole = F.when(size == 0, F.lit(1)).otherwise(F.floor(taken / size)).cast("int")
+    part = F.when(size == 0, F.lit(0)).otherwise(F.pmod(taken, size)).cast("int")
+    out = out.withColumn(name["rows"], F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.array_repeat(part, F.when(part > 0, 1).otherwise(0)))))
+    first = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.greatest(left, F.lit(1))), " ")
+    out = out.withColumn(text_col, F.when(left > 0, first).otherwise(F.col(text_col)))
     if count_col:
-        out = out.withColumn(count_col, F.when(cut, F.length(text_col).cast("bigint")).otherwise(F.col(count_col)))
+        out = out.withColumn(count_col, F.when(left > 0, F.length(text_col).cast("bigint")).otherwise(F.col(count_col)))
     return out.select(*names)
