@@ -43,7 +43,7 @@ _PLAIN = r"<(\\*)\|(im_start|im_end)\|>"
 
 def escaped(text: Column) -> Column:
     """``text`` without control strings: one backslash more before the bar of each."""
-    return F.regexp_replace(text, _PLAIN, r"<$1\\\\|$2|>")
+    return F.regexp_replace(text, _PLAIN, r"<$1\\|$2|>")
 
 
 def unescaped(text: Column) -> Column:
