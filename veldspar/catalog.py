@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from .plans import along_time, measures
+
+QUERIES = {**along_time.QUERIES, **measures.QUERIES}
+ORACLE_SQL = {**along_time.ORACLE_SQL, **measures.ORACLE_SQL}
+FLAGSHIP = along_time.asof_nearest
