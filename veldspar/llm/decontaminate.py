@@ -21,6 +21,7 @@ besides id and text pass through untouched, whatever their names.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -49,14 +50,10 @@ class SuffixAutomaton:
         self.window = window
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends = []
         for _, words in items:
             last = 0
-            path = []
             for w in words:
                 last = self._extend(last, w)
-                path.append(last)
-            ends.append(path)
         n = len(self.next)
         # The state of the suffix of ``window`` words of a state's string: itself or an ancestor.
         self.cut = [-1] * n
@@ -67,7 +64,7 @@ class SuffixAutomaton:
                 self.cut[v] = self.cut[up] if self.length[up] >= window else v
         holders: dict[int, set[str]] = defaultdict(set)
         whole: dict[int, set[tuple[int, str]]] = defaultdict(set)
-        for (item, words), _ in zip(items, ends, strict=True):
+        for item, words in items:
             if 0 < len(words) < window:
                 v = 0
                 for w in words:
@@ -158,7 +155,7 @@ class SuffixAutomaton:
                 states.add(cut_of[v])
                 start = i + 1 - window
                 if spans and start <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], i + 1)
+                    spans[-1] = (min(start, spans[-1][0]), i + 1)
                 else:
                     spans.append((start, i + 1))
             if v in short:
@@ -242,12 +239,12 @@ def _scan_pass(
     docs: DataFrame, items: list[tuple[str, list[str]]], text_col: str, window: int, hits: str, hits_col: str, first: bool
 ) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
+    shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
     kind = T._parse_datatype_string(hits)
 
     @F.pandas_udf(kind)
     def scan(texts: pd.Series) -> pd.DataFrame:
-        automaton = _automaton(shared, window)
+        automaton = _automaton(name, shared, window)
         rows = []
         for text in texts:
             words = words_of(text)
@@ -269,15 +266,15 @@ def _scan_pass(
     return new.withColumn(hits_col, both).drop(more)
 
 
-_BUILT: dict[tuple[int, int], SuffixAutomaton] = {}
+_BUILT: dict[str, SuffixAutomaton] = {}
 
 
-def _automaton(shared, window: int) -> SuffixAutomaton:
-    key = (shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared), window)
-    if key not in _BUILT:
+def _automaton(name: str, shared, window: int) -> SuffixAutomaton:
+    """The automaton of a pass, built once in each worker."""
+    if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = SuffixAutomaton(shared.value, window)
-    return _BUILT[key]
+        _BUILT[name] = SuffixAutomaton(shared.value, window)
+    return _BUILT[name]
 
 
 def hit_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
