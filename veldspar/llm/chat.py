@@ -86,7 +86,7 @@ def windows(
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).alias("turn"),
-        F.coalesce(F.col(role_col), F.lit("user")).alias("role"),
+        F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     rows = rows.withColumn("size", F.greatest(measure(F.col("text")), F.lit(0)) + 4)
