@@ -82,7 +82,7 @@ def test_segments_collapse_empty_ones(spark):
     rows = spark.createDataFrame([("a", float(t), i) for i, t in enumerate([0, 1, 2, 5, 6, 9])], SCHEMA)
     breaks = spark.createDataFrame([("a", 2.0), ("a", 3.0), ("a", 4.0), ("a", 9.0), ("a", 20.0)], "s string, t double")
     got = [r.segment for r in timeops.segments(rows, breaks, ["s"], order=["i"]).orderBy("i").collect()]
-    assert got == [0, 0, 1, 1, 1, 2]
+    assert got == [0, 0, 1, 2, 2, 3]
 
 
 def test_rate_gate_steps(spark):
