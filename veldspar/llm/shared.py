@@ -63,7 +63,7 @@ class Numbered(dict):
     characters, so its memory is bounded.
     """
 
-    def __init__(self, most: int = 400_000, most_chars: int = 8_000_000):
+    def __init__(self, most: int = 1_000_000, most_chars: int = 20_000_000):
         super().__init__()
         self.fresh: list[str] = []
         self.most, self.most_chars, self.chars = most, most_chars, 0
