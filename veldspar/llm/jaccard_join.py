@@ -7,7 +7,9 @@ union is shared. The result is each document's component of the link graph.
    so if tokens are dealt by hash to more than d parts, some part is equal in
    both. Each set writes a signature for each of its parts; sets that share one
    are joined into a star. The stars' components are groups of similar
-   documents, and no link leaves its group. (A set so small that all but d of
+   documents, and no link leaves its group. Tokens far commoner than others are
+   left out of the parts, else phrases that many documents share would join
+   them all; sets that differ in d tokens differ in no more without those. (A set so small that all but d of
    its parts are empty also writes its empty parts; any set that it could only
    meet there does so too.) A map task sends a signature once, with its least
    document, so a signature that many documents share stays small.
@@ -23,8 +25,8 @@ union is shared. The result is each document's component of the link graph.
 
 Copies (equal sets) are one class from the start: one of each enters 2 to 4.
 
-Plan: two narrow passes over the text (sizes and set hashes; signatures) and one
-over the texts of members of groups. What is shuffled is a third of a number
+Plan: three narrow passes over the text (sizes and set hashes; counts of tokens in
+a fixed number of cells; signatures) and one over the texts of members of groups. What is shuffled is a third of a number
 for each word, packed as arrays. Large groups cost block pairs, spread over
 tasks; components are found by distributed contraction.
 
@@ -37,8 +39,8 @@ linked; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,10 @@ U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 #: Signatures kept by a task before it sends them, sets and tokens of a block, signatures of a bucket.
 FLUSH, BLOCK_SETS, BLOCK_TOKENS, BUCKET = 1 << 21, 256, 400_000, 1 << 22
+#: Cells of the count of all tokens (a power of two).
+CELLS = 1 << 20
+#: Rows of (node, group, block) that may be broadcast, about 40 bytes each.
+MOST_BROADCAST = 500_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -105,8 +111,12 @@ class Classes:
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
-    def signatures(self, sets: list[np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, node) of all parts of non-empty sets, in their class and, if they reach it, the next."""
+    def signatures(self, sets: list[np.ndarray], nodes: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(signature, node) of all parts of non-empty sets, in their class and, if they reach it, the next.
+
+        Tokens in cells marked ``common`` are left out of the parts: two sets that
+        differ in d tokens differ in no more without them.
+        """
         sizes = np.array([len(s) for s in sets], np.int64)
         own = self.of(sizes)
         out = []
@@ -117,8 +127,11 @@ class Classes:
             c = own[at] + up
             parts, differ = self.parts[c], self.differ[c]
             base = np.cumsum(parts) - parts
-            tokens = np.concatenate([sets[i] for i in at])
-            slot = np.repeat(base, sizes[at]) + ((_mix(tokens, 2) >> U(33)) % np.repeat(parts, sizes[at]).astype(U)).astype(np.int64)
+            tokens, owner = np.concatenate([sets[i] for i in at]), np.repeat(np.arange(len(at)), sizes[at])
+            if common is not None:
+                rare = ~common[(tokens & U(CELLS - 1)).astype(np.int64)]
+                tokens, owner = tokens[rare], owner[rare]
+            slot = base[owner] + ((_mix(tokens, 2) >> U(33)) % parts[owner].astype(U)).astype(np.int64)
             total = int(parts.sum())
             values = _mix(tokens, 3)
             halves = [np.bincount(slot, weights=(v & U(0xFFFFFFFF)).astype(float), minlength=total).astype(np.int64).astype(U) for v in (values, values >> U(32))]
@@ -154,7 +167,7 @@ def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
 
 
 def set_records(docs: DataFrame, k: int) -> DataFrame:
-    """Per row of docs (node, text): node, n and a 128-bit hash of its token set."""
+    """Per row of docs (node, text): node, n, a 128-bit hash of its token set, and its least token's first bits."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,19 +176,50 @@ def set_records(docs: DataFrame, k: int) -> DataFrame:
                 rows = []
                 for text in part.column(1).to_pylist():
                     s = token_set(text, k)
-                    rows.append((len(s), int(_mix(s, 6).sum(dtype=U).astype(np.int64)), int(_mix(s, 7).sum(dtype=U).astype(np.int64))))
-                cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["node", "n", "h1", "h2"])
+                    hashes = [int(_mix(s, seed).sum(dtype=U).astype(np.int64)) for seed in (6, 7)]
+                    rows.append((len(s), *hashes, int(s[0] >> U(48)) if len(s) else 0))
+                cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["node", "n", "h1", "h2", "least"])
+
+    return docs.mapInArrow(task, "node bigint, n bigint, h1 bigint, h2 bigint, least bigint")
+
+
+def _common(docs: DataFrame, k: int) -> np.ndarray:
+    """Marks of the cells (of token hashes) that hold far more than their share of all tokens.
+
+    All tokens are counted into ``CELLS`` cells; what is gathered is one array of
+    that size for each of 64 groups of tasks. Passages and phrases that many
+    documents share stand out, whatever the number of documents.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                np.add.at(cells, (token_set(text, k) & U(CELLS - 1)).astype(np.int64), 1)
+        if cells.any():
+            yield pa.RecordBatch.from_arrays([pa.array([int(cells.sum() % 64)], pa.int64()), pa.array([zlib.compress(cells.astype("<u4").tobytes(), 1)], pa.binary())], names=["g", "cells"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS, np.int64)
+        for raw in table.column("cells"):
+            total += np.frombuffer(zlib.decompress(raw.as_py()), "<u4")
+        return pa.table({"cells": pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())})
 
-    return docs.mapInArrow(task, "node bigint, n bigint, h1 bigint, h2 bigint")
+    cells = np.zeros(CELLS, np.int64)
+    for row in docs.mapInArrow(count, "g bigint, cells binary").groupBy("g").applyInArrow(add, "cells binary").toLocalIterator():
+        cells += np.frombuffer(zlib.decompress(row.cells), "<i8")
+    mean = cells.mean()
+    return cells > mean + max(8 * np.sqrt(mean), 8)
 
 
 def _candidates(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
     """Pairs (a, b) whose components hold every link."""
     buckets = max(64, total * 35 // 100 // BUCKET)
+    common = docs.sparkSession.sparkContext.broadcast(np.packbits(_common(docs, k)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(percent)
+        classes, marks = Classes(percent), np.unpackbits(common.value).astype(bool)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         names = ["bucket", "sigs", "nodes"]
 
@@ -204,7 +248,7 @@ def _candidates(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
                 nodes = part.column(0).to_numpy(zero_copy_only=False)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
-                    held.append(classes.signatures([sets[i] for i in full], nodes[full]))
+                    held.append(classes.signatures([sets[i] for i in full], nodes[full], marks))
                     waiting += len(held[-1][0])
                 if waiting > FLUSH:
                     yield from flush()
@@ -319,47 +363,42 @@ def _open(query: Block, group: Block, percent: int) -> np.ndarray:
     return _spanning(np.r_[q.nodes, g.nodes], whole)
 
 
-def _members(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """comp, node, least (a similarity-preserving number), n, tokens of the chosen documents."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["comp", "node", "least", "n", "tokens"]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                sets = [token_set(t, k) for t in part.column(2).to_pylist()]
-                least = pa.array([int(s[0] >> U(48)) if len(s) else 0 for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), least, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=names)
-
-    rows = docs.join(members, "node").select("comp", "node", "text")
-    return rows.mapInArrow(task, "comp bigint, node bigint, least bigint, n bigint, tokens binary").where("n > 0")
-
-
-def _verified(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Spanning pairs of all links inside the groups of ``members`` (node, comp)."""
-    sets = cut(_members(docs, members, k))
+def _assigned(members: DataFrame, records: DataFrame) -> DataFrame:
+    """(node, comp, block, blocks, g) of members (node, comp); g is what travels together. No text is touched."""
+    info = records.groupBy("node").agg(F.max("n").alias("n"), F.min("least").alias("least"))
+    sets = members.join(info, "node")
     sizes = sets.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_TOKENS)).cast("bigint")
-    sets = sets.join(sizes.where("size > 1").withColumn("blocks", blocks), "comp")
+    sets = cut(sets.join(sizes.where("size > 1").withColumn("blocks", blocks), "comp"))
     # Small groups travel together, some thousand sets at a time.
-    some = max(64, members.count() // 2000)
-    small = sets.where("blocks = 1").select("comp", "node", "tokens", F.lit(0).cast("bigint").alias("block"), "blocks", F.pmod(F.xxhash64("comp"), F.lit(some)).alias("g"))
+    some = max(64, sets.count() // 2000)
+    small = sets.where("blocks = 1").select("node", "comp", F.lit(0).cast("bigint").alias("block"), "blocks", F.pmod(F.xxhash64("comp"), F.lit(some)).alias("g"))
     # A large group's order by least token, in ranges that hold some thousand sets at most.
     large = sets.where("blocks > 1").withColumn("sub", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 4096)).cast("bigint"))
-    ranges = large.withColumn("range", F.shiftright("least", 8)).groupBy("comp", "range", "sub").agg(F.count("*").alias("here"))
+    large = large.withColumn("range", F.shiftright("least", 8))
+    ranges = large.groupBy("comp", "range", "sub").agg(F.count("*").alias("here"))
     ranges = ranges.withColumn("before", F.sum("here").over(Window.partitionBy("comp").orderBy("range", "sub")) - F.col("here"))
-    large = large.withColumn("range", F.shiftright("least", 8)).withColumn("k", F.row_number().over(Window.partitionBy("comp", "range", "sub").orderBy("least", "node")) - 1)
+    large = large.withColumn("k", F.row_number().over(Window.partitionBy("comp", "range", "sub").orderBy("least", "node")) - 1)
     large = large.join(ranges.drop("here"), ["comp", "range", "sub"])
     large = large.withColumn("block", F.floor((F.col("before") + F.col("k")) * F.col("blocks") / F.col("size")).cast("bigint"))
-    large = large.select("comp", "node", "tokens", "block", "blocks", F.xxhash64("comp", "block").alias("g"))
+    return cut(small.unionByName(large.select("node", "comp", "block", "blocks", F.xxhash64("comp", "block").alias("g"))))
+
+
+def _verified(docs: DataFrame, assigned: DataFrame, k: int, percent: int) -> DataFrame:
+    """Spanning pairs of all links inside the groups that ``assigned`` describes."""
+    # The members' texts are picked without a shuffle of all texts while their table is small.
+    few = assigned.count() <= MOST_BROADCAST
+    rows = docs.join(F.broadcast(assigned) if few else assigned, "node").select("node", "comp", "block", "blocks", "g", "text")
 
     def open_blocks(table: pa.Table) -> pa.Table:
-        by: dict[tuple[int, int, int], list[tuple[int, bytes]]] = {}
-        for comp, node, raw, block, of in zip(*(table.column(c).to_pylist() for c in ("comp", "node", "tokens", "block", "blocks")), strict=True):
-            by.setdefault((comp, block, of), []).append((node, raw))
+        by: dict[tuple[int, int, int], list[tuple[int, np.ndarray]]] = {}
+        for comp, node, text, block, of in zip(*(table.column(c).to_pylist() for c in ("comp", "node", "text", "block", "blocks")), strict=True):
+            found = token_set(text, k)
+            if len(found):
+                by.setdefault((comp, block, of), []).append((node, found))
         pairs, kept = [], []
         for (comp, block, of), rows in by.items():
-            b = Block(np.array([n for n, _ in rows], np.int64), [np.frombuffer(raw, "<u8") for _, raw in rows])
+            b = Block(np.array([n for n, _ in rows], np.int64), [found for _, found in rows])
             pairs.append(_open(b, b, percent))
             if of > 1:
                 kept.append((comp, block, of, b.dump()))
@@ -368,7 +407,7 @@ def _verified(docs: DataFrame, members: DataFrame, k: int, percent: int) -> Data
         column = lambda i, kind: pa.array([None] * n + [r[i] for r in kept], kind)
         return pa.table({"a": pa.array([*p[:, 0].tolist(), *[None] * m], pa.int64()), "b": pa.array([*p[:, 1].tolist(), *[None] * m], pa.int64()), "comp": column(0, pa.int64()), "block": column(1, pa.int64()), "blocks": column(2, pa.int64()), "raw": column(3, pa.binary())})
 
-    opened = cut(small.unionByName(large).groupBy("g").applyInArrow(open_blocks, "a bigint, b bigint, comp bigint, block bigint, blocks bigint, raw binary"))
+    opened = cut(rows.groupBy("g").applyInArrow(open_blocks, "a bigint, b bigint, comp bigint, block bigint, blocks bigint, raw binary"))
     inside = opened.where("a is not null").select("a", "b")
     kept = opened.where("raw is not null").select("comp", "block", "blocks", "raw")
 
@@ -399,8 +438,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rough = components(_candidates(rows, words, percent, total).unionByName(copies))
     reps = classes.select(F.col("rep").alias("node")).distinct()
     members = cut(rough.withColumnRenamed("component", "comp").join(reps, "node"))
-    links = reduce(DataFrame.unionByName, [copies, _verified(rows, members, words, percent)])
-    found = components(links)
+    found = components(copies.unionByName(_verified(rows, _assigned(members, records), words, percent)))
     out = records.join(found, "node", "left")
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(known("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.expr("coalesce(component, node)").alias("c")).select("doc_id", "n_shingles", known("c").alias("component_id"))

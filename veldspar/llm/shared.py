@@ -31,9 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` kept as files in the shared folder, without its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table written to the shared folder, without its lineage.
+
+    A table rather than checkpoint(): the latter hands on the constraints of the
+    plan, which grow with every round of an iteration until planning stalls.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = fresh_dir(spark, "cut")
+    df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.__dict__["cut_path"] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``cut`` that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["cut_path"])
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
