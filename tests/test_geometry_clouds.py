@@ -184,7 +184,9 @@ def test_twist_round_trip_and_photometric():
     moved = odometry.exp(np.zeros(6))
     for _ in range(15):
         moved, _ = odometry.photometric_step(image(0), image(1.0), pts, (50.0, 50.0, 40.0, 30.0), moved)
-    assert abs(moved[0, 3] * 50 / 2 + 1.0) < 0.2
+    # At one depth a shift and a turn look alike: the pixels' own shift is what is determined.
+    q = pts @ moved[:3, :3].T + moved[:3, 3]
+    assert abs(np.mean(50 * q[:, 0] / q[:, 2] - 50 * pts[:, 0] / pts[:, 2]) + 1.0) < 0.1
 
 
 def test_focal_search(spark):
