@@ -83,6 +83,25 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert jj.near_duplicates(no_docs).count() == 0 and jj.deduplicate(no_docs).count() == 0
 
 
+def test_rows_without_an_id_or_of_one_id_are_documents_of_their_own(spark):
+    word = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    near = lambda name: word(name) + " end"
+    rows = [(None, word("a")), (None, word("b")), (None, word("c")), (None, word("c")), (None, near("c"))]
+    rows += [(5, near("a")), (9, near("b")), (7, word("d")), (7, word("e")), (8, near("d")), (6, near("e"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = sorted(((r.doc_id or 0, r.component_id or 0) for r in jj.near_duplicates(df).collect()))
+    assert out == [(0, 0), (0, 0), (0, 0), (0, 5), (0, 9), (5, 5), (6, 6), (7, 6), (7, 7), (8, 7), (9, 9)]
+    kept = {(r.doc_id, r.text) for r in jj.deduplicate(df).collect()}
+    assert {x for x in kept if x[0]} == {(5, near("a")), (9, near("b")), (7, word("d")), (6, near("e"))}
+    assert len(kept) == 5 and jj.deduplicate(df).count() == 5
+
+
+def test_many_copies_without_an_id_are_one(spark):
+    text = "one text of many rows without an id and enough words"
+    df = spark.createDataFrame([(None, text)] * 1500 + [(None, f"other words {i} of row {i * 7}") for i in range(30)], "doc_id bigint, text string")
+    assert sorted(r.text for r in jj.deduplicate(df).collect()) == sorted({r.text for r in df.collect()})
+
+
 def test_components_of_chains_stars_and_loops(spark):
     r = random.Random(1)
     chain = list(range(100, 160))

@@ -1,7 +1,9 @@
-"""N-gram Jaccard join by a token-group matrix. Exact up to 64-bit hashing of shingles.
+"""N-gram Jaccard join by a token-group matrix. Exact up to 64-bit hashing of shingles and of sets.
 
 Documents are sets of word shingles; two are linked when ``percent`` of their
-union is shared. The result is each document's component of the link graph.
+union is shared. The result is each document's component of the link graph. The
+graph's nodes are the distinct sets, numbered by a hash of their tokens; document
+ids are only looked up for the result.
 
 1. *Groups.* Two linked sets of sizes in one class differ in at most d tokens,
    so if tokens are dealt by hash to more than d parts, some part is equal in
@@ -23,7 +25,7 @@ union is shared. The result is each document's component of the link graph.
    tokens that both sides have. A pair of blocks returns a spanning forest of
    its links, never the pairs.
 
-Copies (equal sets) are one class from the start: one of each enters 2 to 4.
+Copies (equal sets) are one node from the start: one of each enters 2 to 4.
 
 Plan: three narrow passes over the text (sizes and set hashes; counts of tokens in
 a fixed number of cells; signatures) and one over the texts of members of groups. What is shuffled is a third of a number
@@ -32,9 +34,9 @@ tasks; components are found by distributed contraction.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and links with nothing; a text with fewer words than a shingle is one shingle;
-rows that share a document id are one document, linked through any of its
-texts; a null id stands for one document, reported with a null component unless
-linked; an empty table gives an empty result; other columns are not read.
+every row is a document of its own, whether its id is null or that of other rows
+too; a component is named by its least id, with null if none of its rows has
+one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,14 +47,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, require
+from .shared import cut, require, spare
 
-#: Stands for a null document id; it is greater than any other.
-NO_ID = (1 << 63) - 1
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 #: Signatures kept by a task before it sends them, sets and tokens of a block, signatures of a bucket.
@@ -166,22 +166,26 @@ def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def set_node(s: np.ndarray) -> int:
+    """The node of a token set: a hash of its tokens."""
+    return int(_mix(s, 6).sum(dtype=U).astype(np.int64))
+
+
 def set_records(docs: DataFrame, k: int) -> DataFrame:
-    """Per row of docs (node, text): node, n, a 128-bit hash of its token set, and its least token's first bits."""
+    """Per row of docs (id, key, text): id, key, the node of its token set, its size n, and its least token's first bits."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows = []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     s = token_set(text, k)
-                    hashes = [int(_mix(s, seed).sum(dtype=U).astype(np.int64)) for seed in (6, 7)]
-                    rows.append((len(s), *hashes, int(s[0] >> U(48)) if len(s) else 0))
-                cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["node", "n", "h1", "h2", "least"])
+                    rows.append((set_node(s), len(s), int(s[0] >> U(48)) if len(s) else 0))
+                cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["id", "key", "node", "n", "least"])
 
-    return docs.mapInArrow(task, "node bigint, n bigint, h1 bigint, h2 bigint, least bigint")
+    return docs.mapInArrow(task, "id bigint, key bigint, node bigint, n bigint, least bigint")
 
 
 def _common(docs: DataFrame, k: int) -> np.ndarray:
@@ -195,7 +199,7 @@ def _common(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).to_pylist():
                 np.add.at(cells, (token_set(text, k) & U(CELLS - 1)).astype(np.int64), 1)
         if cells.any():
             yield pa.RecordBatch.from_arrays([pa.array([int(cells.sum() % 64)], pa.int64()), pa.array([zlib.compress(cells.astype("<u4").tobytes(), 1)], pa.binary())], names=["g", "cells"])
@@ -214,7 +218,7 @@ def _common(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
-    """Pairs (a, b) whose components hold every link."""
+    """Pairs (a, b) of nodes of docs (text) whose components hold every link."""
     buckets = max(64, total * 35 // 100 // BUCKET)
     common = docs.sparkSession.sparkContext.broadcast(np.packbits(_common(docs, k)))
 
@@ -244,11 +248,9 @@ def _candidates(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                sets = [token_set(t, k) for t in part.column(1).to_pylist()]
-                nodes = part.column(0).to_numpy(zero_copy_only=False)
-                full = [i for i, s in enumerate(sets) if len(s)]
+                full = [s for s in (token_set(t, k) for t in part.column(0).to_pylist()) if len(s)]
                 if full:
-                    held.append(classes.signatures([sets[i] for i in full], nodes[full], marks))
+                    held.append(classes.signatures(full, np.array([set_node(s) for s in full], np.int64), marks))
                     waiting += len(held[-1][0])
                 if waiting > FLUSH:
                     yield from flush()
@@ -363,16 +365,14 @@ def _open(query: Block, group: Block, percent: int) -> np.ndarray:
     return _spanning(np.r_[q.nodes, g.nodes], whole)
 
 
-def _assigned(members: DataFrame, records: DataFrame) -> DataFrame:
-    """(node, comp, block, blocks, g) of members (node, comp); g is what travels together. No text is touched."""
-    info = records.groupBy("node").agg(F.max("n").alias("n"), F.min("least").alias("least"))
-    sets = members.join(info, "node")
+def _assigned(sets: DataFrame) -> DataFrame:
+    """(node, key, comp, block, blocks, g) of sets (node, key, n, least, comp); g is what travels together. No text is touched."""
     sizes = sets.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_TOKENS)).cast("bigint")
     sets = cut(sets.join(sizes.where("size > 1").withColumn("blocks", blocks), "comp"))
     # Small groups travel together, some thousand sets at a time.
     some = max(64, sets.count() // 2000)
-    small = sets.where("blocks = 1").select("node", "comp", F.lit(0).cast("bigint").alias("block"), "blocks", F.pmod(F.xxhash64("comp"), F.lit(some)).alias("g"))
+    small = sets.where("blocks = 1").select("node", "key", "comp", F.lit(0).cast("bigint").alias("block"), "blocks", F.pmod(F.xxhash64("comp"), F.lit(some)).alias("g"))
     # A large group's order by least token, in ranges that hold some thousand sets at most.
     large = sets.where("blocks > 1").withColumn("sub", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 4096)).cast("bigint"))
     large = large.withColumn("range", F.shiftright("least", 8))
@@ -381,24 +381,25 @@ def _assigned(members: DataFrame, records: DataFrame) -> DataFrame:
     large = large.withColumn("k", F.row_number().over(Window.partitionBy("comp", "range", "sub").orderBy("least", "node")) - 1)
     large = large.join(ranges.drop("here"), ["comp", "range", "sub"])
     large = large.withColumn("block", F.floor((F.col("before") + F.col("k")) * F.col("blocks") / F.col("size")).cast("bigint"))
-    return cut(small.unionByName(large.select("node", "comp", "block", "blocks", F.xxhash64("comp", "block").alias("g"))))
+    return cut(small.unionByName(large.select("node", "key", "comp", "block", "blocks", F.xxhash64("comp", "block").alias("g"))))
 
 
 def _verified(docs: DataFrame, assigned: DataFrame, k: int, percent: int) -> DataFrame:
     """Spanning pairs of all links inside the groups that ``assigned`` describes."""
     # The members' texts are picked without a shuffle of all texts while their table is small.
     few = assigned.count() <= MOST_BROADCAST
-    rows = docs.join(F.broadcast(assigned) if few else assigned, "node").select("node", "comp", "block", "blocks", "g", "text")
+    rows = docs.join(F.broadcast(assigned) if few else assigned, "key").select("node", "comp", "block", "blocks", "g", "text")
 
     def open_blocks(table: pa.Table) -> pa.Table:
-        by: dict[tuple[int, int, int], list[tuple[int, np.ndarray]]] = {}
+        by: dict[tuple[int, int, int], dict[int, np.ndarray]] = {}
         for comp, node, text, block, of in zip(*(table.column(c).to_pylist() for c in ("comp", "node", "text", "block", "blocks")), strict=True):
             found = token_set(text, k)
-            if len(found):
-                by.setdefault((comp, block, of), []).append((node, found))
+            # Rows of one id and text come more than once.
+            if set_node(found) == node:
+                by.setdefault((comp, block, of), {})[node] = found
         pairs, kept = [], []
         for (comp, block, of), rows in by.items():
-            b = Block(np.array([n for n, _ in rows], np.int64), [found for _, found in rows])
+            b = Block(np.array([*rows], np.int64), [*rows.values()])
             pairs.append(_open(b, b, percent))
             if of > 1:
                 kept.append((comp, block, of, b.dump()))
@@ -423,40 +424,60 @@ def _verified(docs: DataFrame, assigned: DataFrame, k: int, percent: int) -> Dat
     return inside.unionByName(met.mapInArrow(open_pairs, "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+def _once(rows: DataFrame, records: DataFrame, text_col: str, key: str = "key") -> DataFrame:
+    """``rows``, with an id and text (``key``) that very many of them share taken once, before any are dealt by key."""
+    copies = records.groupBy(key).agg(F.count("*").alias("copies")).where(F.col("copies") > max(1000, records.count() // 10_000))
+    hot = F.broadcast(copies.select(key))
+    return rows.join(hot, key, "left_anti").unionByName(rows.join(hot, key, "left_semi").dropDuplicates([key, text_col]))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key, node, n, least) of each row, and (node, c, first) of each set that is not empty.
+
+    c is the set's component; first has the least (no_id, id, key) of its rows.
+    """
     require(docs, id_col, text_col)
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("node"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = rows.select("text")
     records = cut(set_records(rows, words))
     total = records.agg(F.sum("n")).first()[0] or 0
-    classes = records.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"))
-    copies = records.where("n > 0").join(classes, ["h1", "h2", "n"]).select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    copies = cut(copies)
-    # Rows of one document id that differ in their text are one document already.
-    rough = components(_candidates(rows, words, percent, total).unionByName(copies))
-    reps = classes.select(F.col("rep").alias("node")).distinct()
-    members = cut(rough.withColumnRenamed("component", "comp").join(reps, "node"))
-    found = components(copies.unionByName(_verified(rows, _assigned(members, records), words, percent)))
-    out = records.join(found, "node", "left")
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(known("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.expr("coalesce(component, node)").alias("c")).select("doc_id", "n_shingles", known("c").alias("component_id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key"))
+    classes = cut(records.where("n > 0").groupBy("node").agg(first.alias("first"), F.max("n").alias("n"), F.min("least").alias("least")))
+    rough = components(_candidates(texts, words, percent, total))
+    members = rough.withColumnRenamed("component", "comp").join(classes.select("node", "first.key", "n", "least"), "node")
+    found = components(_verified(_once(rows.select("key", "text"), records, "text"), _assigned(members), words, percent))
+    return records, classes.join(found, "node", "left").select("node", F.expr("coalesce(component, node)").alias("c"), "first")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """Hash of id and text."""
+    return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+    records, sets = _linked(docs, id_col, text_col, words, percent)
+    least = sets.groupBy("c").agg(F.min("first")["id"].alias("component_id"))
+    named = records.where("n > 0").join(sets.join(least, "c").select("node", "component_id"), "node")
+    out = [named.select("id", "n", "component_id"), records.where("n = 0").select("id", "n", F.col("id").alias("component_id"))]
+    return out[0].unionByName(out[1]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id.
+    """``docs`` with one row of each component: that of the smallest id, or one without an id if none has one.
 
-    Of several rows of that id the one whose text has the least hash stays.
+    Of several rows of that id, or without one, the one whose text has the least hash stays.
     Rows without words are kept, whatever their id. All columns stay.
     """
     names = docs.columns
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
-    # Ids that stand for their component; of rows without an id all those not linked to another stay as one.
-    kept = found.where("n_shingles > 0 and doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__node")).distinct()
-    rows = docs.withColumn("__node", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)))
+    records, sets = _linked(docs, id_col, text_col, words, percent)
+    kept = sets.groupBy("c").agg(F.min("first")["key"].alias("key"))
+    key = spare(docs, "key")
     wordless = ~F.rlike(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    full = rows.where(~wordless).join(kept, "__node", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__node").orderBy(F.xxhash64(text_col), text_col))
-    full = full.withColumn("__row", first).where("__row = 1")
-    return full.select(*names).unionByName(rows.where(wordless).select(*names))
+    rows = docs.where(~wordless).withColumn(key, _key(id_col, text_col))
+    records, kept = (t.withColumnRenamed("key", key) for t in (records, kept))
+    full = _once(rows, records, text_col, key).join(kept, key, "left_semi")
+    full = full.withColumn(place := spare(full, "row"), F.row_number().over(Window.partitionBy(key).orderBy(text_col))).where(F.col(place) == 1)
+    return full.select(*names).unionByName(docs.where(wordless).select(*names))
