@@ -136,6 +136,15 @@ def brute_secrets(text):
     return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
 
 
+def test_secret_values_that_no_base_span_covers():
+    text = "password=hunter22!Xk#9$qQ and more"
+    assert secret_scan.find(text) == [("assign", 0, 17), ("guess", 9, 25)]
+    assert secret_scan.find("token = Zk3vQ9xLw2Rt") == [("assign", 0, 20)]
+    assert secret_scan.find("pwd: xqzjvkwpqhzt") == [("guess", 5, 17)]
+    assert secret_scan.find("The Password IS xqzjvkw9qhzt") == [("guess", 16, 28)]
+    assert secret_scan.find("pwd: letmeinqwertyuiop") == []
+
+
 def test_secret_base_equals_brute_force(spark, odd_docs):
     r = random.Random(2)
     parts = ["password", "TOKEN", "api_key", "apikey=", ": ", "=", '"', "AKIA", "ABCDEFGH0123", "deadbeef" * 3, " ", "hunter2", "paſſword=abcdefgh", "é", "secret"]

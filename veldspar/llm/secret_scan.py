@@ -5,7 +5,8 @@ long hex runs). Further spans come from values in a credential context (a key
 word, a mark, a value): each value is segmented at least cost into dictionary
 words, dates, repeats, keyboard walks and brute-force stretches by dynamic
 programming, and it is a secret if even the cheapest way to guess it takes
-``min_bits`` bits. Values that a base span covers are not reported twice.
+``min_bits`` bits. Only a value that lies in one base span as a whole is not
+reported again; one that reaches beyond its base span is.
 
 One narrow pass. Places are code points, ends exclusive.
 
@@ -33,6 +34,8 @@ CONTEXT = re.compile(
     r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|passwort|contraseña|clave|mot\x20de\x20passe|secret|token|credentials?|auth|bearer|pin|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|client[\x20_-]?secret)["']?\x20*(?:[:=]+>?|\x20is\x20|\x20ist\x20|\x20est\x20|\x20es\x20)\x20*["'`]?([!-~]{6,})""",
     re.I,
 )
+#: Without one of these there is no context.
+_MARK = re.compile(r"[:=]|\x20(?:is|ist|est|es)\x20", re.I)
 #: Common words of passwords, commonest first; a word's place is its number of guesses.
 WORDS = (
     "password pass admin letmein welcome login secret token key user test guest root master hello dragon monkey love "
@@ -135,12 +138,12 @@ def find(text: str | None, min_bits: float = 36.0) -> list[tuple[str, int, int]]
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
     base = list(out)
-    if ":" in text or "=" in text or " is " in text or " ist " in text or " est " in text or " es " in text:
+    if _MARK.search(text):
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip("\"'`,;.)")
             a = m.start(1)
             b = a + len(value)
-            if len(value) >= 6 and any(not c.isalpha() for c in value) and not any(x < b and a < y for _, x, y in base) and guess_bits(value) >= min_bits:
+            if guess_bits(value) >= min_bits and not any(x <= a and b <= y for _, x, y in base):
                 out.append(("guess", a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
