@@ -125,6 +125,18 @@ def test_html_cases(spark):
     assert html_main.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_links_and_content_of_any_class():
+    text = "Some words of the text that are long enough to count as the main part of this page. "
+    parts = ["<h2><a href=#s>Section</a></h2>", f"<p>{text}</p>", "<p><a href=r>Read the report</a></p>", "<ul><li><a href=1>reference</a></li></ul>"]
+    want = ["Section", text.strip(), "Read the report", "reference"]
+    nav = "<nav><a href=x>Home</a></nav><div class=sidebar><a href=y>More</a></div>"
+    for page in ("<article>{}</article>", "<main class=has-sidebar>{}</main>", "<article class='post share-enabled'>{}</article>", "<div id=related><article>{}</article></div>", "<div class='page with-sidebar'>{}</div>"):
+        assert html_main.main_blocks(f"<body>{nav}{page.format(''.join(parts))}</body>") == want, page
+    comments = f"<div class=comments><article class=comment>{text * 3}</article></div>"
+    assert html_main.main_blocks(f"<body>{nav}<article><p>{text}</p>{comments}</article></body>") == [text.strip()]
+    assert html_main.main_blocks(f"<body>{nav}<article><p>{text}</p></article><div class=comments><p>{text * 3}</p></div></body>") == [text.strip()]
+
+
 def brute_secrets(text):
     found = []
     for kind, p, ok in (

@@ -7,11 +7,14 @@ T, link characters LC and link tags LT; its composite text density is
 
 where nLC are characters outside links and b marks the body. A node's density
 sum adds its children's densities. The node with the largest sum is found; the
-least density on its path to the body is the threshold, and blocks are taken
-from the subtree of the largest sum, without parts that stay under the threshold
-and carry links, and without parts whose tag, role or class marks them as
-page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-comments).
+least density on its path to the body is the threshold, and all blocks are taken
+from the outermost element that keeps it, but for parts whose tag, role or class
+marks them as page furniture (menus, headers, footers, sidebars, notices, adverts,
+forms, comments). Blocks of links are kept.
+
+A class or id marks no article or main and nothing that holds one, unless it is
+inside an article (comments and teasers are); in a page with neither elsewhere it
+marks nothing that has most of the page's text.
 
 One narrow pass; the parser keeps its own stack, so deep pages are no danger.
 
@@ -55,23 +58,44 @@ _SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("tag", "parent", "children", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, marked: bool = False):
+    def __init__(self, tag: str, parent: Node | None, marked: int = 0):
         self.tag, self.parent, self.marked = tag, parent, marked
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _marked(tag: str, attributes: str) -> int:
+    """Whether an element is furniture: 2 by its tag or role, 1 by its class or id alone."""
     if tag in FURNITURE_TAGS:
-        return True
+        return 2
     if not attributes or "=" not in attributes:
-        return False
+        return 0
+    named = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and FURNITURE.search(value) or key == "role" and value.lower() in FURNITURE_ROLES or key == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+        if key == "role" and value.lower() in FURNITURE_ROLES or key == "aria-hidden" and value.lower() == "true":
+            return 2
+        if key in ("class", "id") and not named and FURNITURE.search(value):
+            named = 1
+    return named
+
+
+def _unmark(nodes: list[Node], body: Node) -> None:
+    """Take the mark by class or id off what holds the page's content."""
+    named = [n for n in nodes if n.marked == 1 and n is not body]
+    if not named:
+        return
+    size: dict[int, int] = {}
+    holds: dict[int, int] = {}
+    for n in reversed(nodes):
+        inner = [c for c in n.children if isinstance(c, Node) and c.tag not in SKIP]
+        size[id(n)] = sum(size[id(c)] for c in inner) + sum(sum(map(len, c.split())) for c in n.children if isinstance(c, str))
+        holds[id(n)] = sum(holds[id(c)] for c in inner) + (n.tag in ("article", "main"))
+    for n in named:
+        here = holds[id(n)]
+        if here and not _inside(n, "article") or here == holds[id(body)] and 2 * size[id(n)] > size[id(body)]:
+            n.marked = 0
 
 
 def parse(html: str) -> Node:
@@ -177,6 +201,7 @@ def main_blocks(html: str | None) -> list[str]:
     root = parse(html)
     body = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
     nodes = _ordered(body)
+    _unmark(nodes, body)
     # Furniture and what it holds takes no part.
     out: set[int] = set()
     for n in nodes:
@@ -201,7 +226,7 @@ def main_blocks(html: str | None) -> list[str]:
         top = top.parent
     if top.tag in BLOCK - {"body"} and top.parent is not None and top.tag not in ("article", "main", "section", "div", "td"):
         top = top.parent
-    return _blocks(top, threshold)
+    return _blocks(top)
 
 
 def _inside(n: Node, *tags: str) -> bool:
@@ -213,7 +238,7 @@ def _inside(n: Node, *tags: str) -> bool:
     return False
 
 
-def _blocks(top: Node, threshold: float) -> list[str]:
+def _blocks(top: Node) -> list[str]:
     out: list[str] = []
     held: list[str] = []
 
@@ -237,8 +262,6 @@ def _blocks(top: Node, threshold: float) -> list[str]:
                 close()
             elif n.tag == "br":
                 held.append(" ")
-        elif n is not top and n.tag in BLOCK and n.link_chars > 0.6 * n.chars and n.density < threshold:
-            close()
         elif n.tag in BLOCK:
             close()
             stack.append(None)
