@@ -45,25 +45,25 @@ def align(poses: DataFrame, by: Sequence[str], *, depth: DataFrame, depth_values
 def usable(images: DataFrame, others: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     """Rows whose key every other side has."""
     for other in others:
-        images = images.join(other.select(*key).distinct(), list(key), "left_semi")
+        images = safe_join(images, other.select(*key), key, "left_semi")
     return images
 
 
 def pending(files: DataFrame, acknowledged: DataFrame, in_flight: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows neither acknowledged nor in flight."""
-    return files.join(acknowledged.select(*key), list(key), "left_anti").join(in_flight.select(*key), list(key), "left_anti")
+    return safe_join(safe_join(files, acknowledged.select(*key), key, "left_anti"), in_flight.select(*key), key, "left_anti")
 
 
 def unmatched(candidates: DataFrame, matched: DataFrame, by: Sequence[str], key: Sequence[str]) -> DataFrame:
     """Per session: candidates, matched and dropped rows."""
     hit = matched.select(*key).distinct().withColumn("__hit", F.lit(1))
-    rows = candidates.join(hit, list(key), "left")
+    rows = safe_join(candidates, hit, key, "left")
     return rows.groupBy(*by).agg(F.count("*").alias("candidates"), F.count("__hit").alias("matched"), (F.count("*") - F.count("__hit")).alias("dropped"))
 
 
 def uncovered(anchors: DataFrame, trajectory: DataFrame, key: Sequence[str]) -> DataFrame:
     """Anchors that the trajectory lacks; an empty result means containment."""
-    return anchors.join(trajectory.select(*key), list(key), "left_anti")
+    return safe_join(anchors, trajectory.select(*key), key, "left_anti")
 
 
 def grid(left: DataFrame, right: DataFrame, *, most: int = 10_000) -> DataFrame:
@@ -78,7 +78,7 @@ def shared_frames(windows: DataFrame, by: Sequence[str], *, window: str, frame:
     """Neighbouring windows and the number of frames they share; ``enough`` from ``least`` on."""
     a = windows.select(*by, F.col(window).alias("w"), F.col(frame).alias("f"))
     b = windows.select(*by, (F.col(window) - 1).alias("w"), F.col(frame).alias("f"))
-    out = a.join(b, [*by, "w", "f"]).groupBy(*by, "w").agg(F.count("*").alias("shared"))
+    out = safe_join(a, b, [*by, "w", "f"]).groupBy(*by, "w").agg(F.count("*").alias("shared"))
     return out.withColumn("enough", F.col("shared") >= least)
 
 
@@ -91,10 +91,10 @@ def projective(points: DataFrame, target: DataFrame, by: Sequence[str], *, fx: f
     p = points.where(z > 0.1).withColumns({"u": F.rint(F.col("x") * fx / z + cx).cast("int"), "v": F.rint(F.col("y") * fy / z + cy).cast("int")})
     p = p.where(f"u between 0 and {width - 1} and v between 0 and {height - 1}")
     q = target.where("ok").select(*by, "u", "v", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"), *[c for c in ("nx", "ny", "nz") if c in target.columns])
-    met = p.join(q, [*by, "u", "v"]).withColumn("dist", F.sqrt(F.pow(F.col("x") - F.col("qx"), 2) + F.pow(F.col("y") - F.col("qy"), 2) + F.pow(z - F.col("qz"), 2)))
+    met = safe_join(p, q, [*by, "u", "v"]).withColumn("dist", F.sqrt(F.pow(F.col("x") - F.col("qx"), 2) + F.pow(F.col("y") - F.col("qy"), 2) + F.pow(z - F.col("qz"), 2)))
     met = met.where(F.col("dist") < max_dist)
     enough = met.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
-    return met.join(enough.select(*by), list(by), "left_semi")
+    return safe_join(met, enough.select(*by), by, "left_semi")
 
 
 def ratio_matches(pairs: DataFrame, by: Sequence[str], *, left: str, right: str, distance: str, ratio: float = 0.7, least: int = 30) -> DataFrame:
@@ -103,7 +103,7 @@ def ratio_matches(pairs: DataFrame, by: Sequence[str], *, left: str, right: str,
     good = two.where(F.size("__two") == 2).where(F.col("__two")[0][distance] < ratio * F.col("__two")[1][distance])
     good = good.select(*by, left, F.col("__two")[0][right].alias(right), F.col("__two")[0][distance].alias(distance))
     enough = good.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
-    return good.join(enough.select(*by), list(by), "left_semi")
+    return safe_join(good, enough.select(*by), by, "left_semi")
 
 
 def voxel_neighbours(points: DataFrame, fused: DataFrame, by: Sequence[str], *, size: float, max_dist: float, least: int = 0, key: Sequence[str] = ("point_id",)) -> DataFrame:

@@ -47,41 +47,56 @@ def project_rotation(m: np.ndarray) -> np.ndarray:
     return u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
 
 
+def _packed(cells: np.ndarray) -> np.ndarray:
+    """One number for each voxel (within a million of the origin on each axis)."""
+    c = cells + (1 << 20)
+    return (c[:, 0] << 42) | (c[:, 1] << 21) | c[:, 2]
+
+
 class VoxelMap:
-    """Points fused by voxel: sums of votes, one vote of each frame, weights capped."""
+    """Points fused by voxel: running means of one vote of each frame, weights capped.
+
+    ``keys`` are sorted; a row of ``cells`` has the mean point, the mean normal and the weight.
+    """
+
+    def __init__(self, size: float = 0.03, max_weight: float = 20.0, radius: float = 6.0):
+        self.size, self.max_weight, self.radius = size, max_weight, radius
+        self.keys, self.cells = np.zeros(0, np.int64), np.zeros((0, 7))
 
-    def __init__(self, size: float = 0.05, cap: float = 20.0, radius: float = 6.0):
-        self.size, self.cap, self.radius = size, cap, radius
-        self.cells: dict[tuple[int, int, int], np.ndarray] = {}
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of voxels, and which of them are in the map."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return at, (self.keys[at] == keys) if len(self.keys) else np.zeros(len(keys), bool)
 
     def add(self, points: np.ndarray, normals: np.ndarray) -> None:
-        keys, inverse = np.unique(np.floor(points / self.size).astype(np.int64), axis=0, return_inverse=True)
-        inverse = inverse.ravel()
+        keys, inverse = np.unique(_packed(np.floor(points / self.size).astype(np.int64)), return_inverse=True)
         n = np.bincount(inverse)
-        mean = np.stack([np.bincount(inverse, weights=c) / n for c in np.c_[points, normals].T], 1)
-        for key, vote in zip(map(tuple, keys.tolist()), mean, strict=True):
-            cell = self.cells.get(key)
-            if cell is None:
-                self.cells[key] = np.r_[vote, 1.0]
-            else:
-                w = min(cell[6], self.cap - 1)
-                cell[:6] = (cell[:6] * w + vote) / (w + 1)
-                cell[6] = w + 1
+        votes = np.stack([np.bincount(inverse, weights=c) / n for c in np.c_[points, normals].T], 1)
+        at, known = self._find(keys)
+        old = self.cells[at[known]]
+        self.cells[at[known], :6] = (old[:, :6] * old[:, 6:] + votes[known]) / (old[:, 6:] + 1)
+        self.cells[at[known], 6] = np.minimum(old[:, 6] + 1, self.max_weight)
+        fresh = np.c_[votes[~known], np.ones((~known).sum())]
+        order = np.argsort(np.r_[self.keys, keys[~known]], kind="stable")
+        self.keys, self.cells = np.r_[self.keys, keys[~known]][order], np.r_[self.cells, fresh][order]
 
     def trim(self, centre: np.ndarray) -> None:
-        self.cells = {k: c for k, c in self.cells.items() if np.sum((c[:3] - centre) ** 2) <= self.radius**2}
+        near = np.sum((self.cells[:, :3] - centre) ** 2, axis=1) < self.radius**2
+        self.keys, self.cells = self.keys[near], self.cells[near]
 
     def nearest(self, points: np.ndarray, max_dist: float) -> Matches:
         """(places of matched points, their map points, their normals), nearest in 27 voxels."""
-        best, at = np.full(len(points), max_dist**2), [None] * len(points)
+        best, found = np.full(len(points), max_dist**2), np.full(len(points), -1)
         base = np.floor(points / self.size).astype(np.int64)
         for step in np.stack(np.meshgrid(*[(-1, 0, 1)] * 3, indexing="ij"), -1).reshape(-1, 3):
-            for i, key in enumerate(map(tuple, (base + step).tolist())):
-                cell = self.cells.get(key)
-                if cell is not None and (d := float(np.sum((cell[:3] - points[i]) ** 2))) < best[i]:
-                    best[i], at[i] = d, cell
-        hit = np.array([i for i, c in enumerate(at) if c is not None], np.int64)
-        cells = np.array([at[i] for i in hit]).reshape(-1, 7)
+            at, known = self._find(_packed(base + step))
+            some = np.flatnonzero(known)
+            d = np.sum((self.cells[at[some], :3] - points[some]) ** 2, axis=1)
+            nearer = d < best[some]
+            best[some[nearer]], found[some[nearer]] = d[nearer], at[some[nearer]]
+        hit = np.flatnonzero(found >= 0)
+        cells = self.cells[found[hit]]
         n = cells[:, 3:6] / np.maximum(np.linalg.norm(cells[:, 3:6], axis=1, keepdims=True), 1e-12)
         return hit, cells[:, :3], n
 

@@ -68,6 +68,21 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
     return running(df, by, order, {name: F.lit(1)}, inclusive=False, width=width).withColumn(name, F.col(name).cast("bigint"))
 
 
+#: Columns of ``blocks``: the block, the row's place, and what tells the block's own rows.
+BLOCK, PLACE = "__block", "__place"
+DEALT, OWN = (BLOCK, PLACE), f"floor({PLACE} / 4096) = {BLOCK}"
+
+
+def blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], *, before: int = 0, after: int = 0, width: float = WIDTH) -> DataFrame:
+    """Rows dealt to blocks of 4096 of their session, with the ``before`` and ``after`` rows next to each block.
+
+    A window over (session, block) then sees what a row needs; ``where(OWN)`` leaves each row once.
+    """
+    rows = numbered(df, by, order, PLACE, width=width)
+    span = F.sequence(F.greatest(F.lit(0), F.floor((F.col(PLACE) - after) / 4096)), F.floor((F.col(PLACE) + before) / 4096))
+    return rows.withColumn(BLOCK, F.explode(span))
+
+
 def carried(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, *, forward: str | None = None, backward: str | None = None, width: float = WIDTH) -> DataFrame:
     """Adds the nearest non-null ``value`` before (``forward``) and after (``backward``) each row, the row itself not counted."""
     df = slotted(df, order[0], width).withColumn("__v", value)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import WIDTH, previous, safe_join
+from .ordered import BLOCK, DEALT, OWN, WIDTH, blocks, previous, safe_join
 
 
 def count_reconcile(actual: DataFrame, declared: DataFrame, by: Sequence[str], *, stream: str = "stream") -> DataFrame:
@@ -125,10 +125,11 @@ def histogram_percentile(df: DataFrame, by: Sequence[str], value: str, *, fracti
     return counts.where(reached).groupBy(*by).agg(((F.min("bin") + 0.5) * size).alias("value"), F.first("all").alias("n"))
 
 
-def rolling_below(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, *, floor: float = 0.007, rows: int = 150) -> DataFrame:
+def rolling_below(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, *, floor: float = 0.007, rows: int = 150, width: float = WIDTH) -> DataFrame:
     """Fraction of the last ``rows`` non-null samples under ``floor``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - rows, 0)
-    return df.where(F.col(value).isNotNull()).withColumn("below", F.avg(F.when(F.col(value) < floor, 1.0).otherwise(0.0)).over(w))
+    w = Window.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(1 - rows, 0)
+    dealt = blocks(df.where(F.col(value).isNotNull()), by, order, before=rows - 1, width=width)
+    return dealt.withColumn("below", F.avg(F.when(F.col(value) < floor, 1.0).otherwise(0.0)).over(w)).where(OWN).drop(*DEALT)
 
 
 def upload_progress(files: DataFrame, by: Sequence[str], *, done: str = "done", in_flight: str = "in_flight", sent: str = "sent", size: str = "size") -> DataFrame:
@@ -159,4 +160,4 @@ def expected_files(manifest: DataFrame) -> DataFrame:
 def gate_segments(df: DataFrame, by: Sequence[str], least: int = 10) -> DataFrame:
     """Rows of segments that hold ``least`` rows."""
     enough = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
-    return df.join(enough.select(*by), list(by), "left_semi")
+    return safe_join(df, enough.select(*by), by, "left_semi")

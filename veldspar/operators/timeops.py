@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .ordered import WIDTH, carried, numbered, previous, running, safe_join
+from .ordered import BLOCK, DEALT, OWN, WIDTH, blocks, carried, numbered, previous, running, safe_join
 
 
 def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], *, t: str = "t", right_order: Sequence[str] = (), values: Sequence[str], prefix: str = "near_", tie: str = "earlier", tolerance: float | None = None, width: float = WIDTH) -> DataFrame:
@@ -22,8 +22,12 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], *, t: str = "t
     each of ``values`` and ``prefix`` + ``dt`` (left time less right time).
 
     Both sides are merged in time order and neighbours carried along, in slots.
+    Left rows without a time have null values; right rows without one are left out; a null
+    session key is a session. Names of the left side that begin with two underscores are kept.
     """
     order = list(right_order)
+    hidden = {c: f"kept{c}" for c in left.columns if c.startswith("__")}
+    left = left.withColumnsRenamed(hidden)
     sides = left.select("*", F.lit(0).alias("__side"), F.lit(None).cast(_row_type(right, t, values)).alias("__row"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"__o_{c}") for c in order])
     row = F.struct(F.col(t).alias("t"), *[F.col(c).alias(f"v_{c}") for c in values])
     keys = [*by, t]
@@ -36,9 +40,9 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], *, t: str = "t
     chosen = F.when(F.col("__prev").isNull(), F.col("__next")).when(F.col("__next").isNull() | earlier, F.col("__prev")).otherwise(F.col("__next"))
     if tolerance is not None:
         chosen = F.when(F.abs(F.col(t) - chosen["t"]) <= tolerance, chosen)
-    both = both.withColumn("__row", chosen)
+    both = both.withColumn("__row", F.when(F.col(t).isNotNull(), chosen))
     out = both.withColumns({f"{prefix}{c}": F.col(f"__row.v_{c}") for c in values} | {f"{prefix}dt": F.col(t) - F.col("__row.t")})
-    return out.drop("__side", "__row", "__prev", "__next", *[f"__o_{c}" for c in order])
+    return out.drop("__side", "__row", "__prev", "__next", *[f"__o_{c}" for c in order]).withColumnsRenamed({v: k for k, v in hidden.items()})
 
 
 def _row_type(right: DataFrame, t: str, values: Sequence[str]) -> str:
@@ -46,17 +50,20 @@ def _row_type(right: DataFrame, t: str, values: Sequence[str]) -> str:
 
 
 def interval_average(intervals: DataFrame, samples: DataFrame, by: Sequence[str], *, start: str, end: str, t: str = "t", value: str, name: str, width: float) -> DataFrame:
-    """Average and number of the samples with start <= t <= end, for each interval.
+    """Average and number of the samples (null values don't count) with start <= t <= end, for each interval.
+
+    An interval without a border or that ends before it starts has none; repeated ones have the same.
 
     A range join by buckets of ``width``: an interval meets the buckets it
     covers, so the join is on equal keys. Samples on a border count on both sides.
     """
-    ivs = intervals.withColumn("__id", F.struct(*[F.col(c) for c in intervals.columns]))
-    spread = ivs.select(*by, start, end, "__id", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("__b"))
+    key = [*by, start, end]
+    # Intervals that repeat are met once.
+    spread = intervals.select(*key).distinct().withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     dots = samples.select(*by, F.col(t).alias("__t"), F.col(value).alias("__v"), F.floor(F.col(t) / width).alias("__b"))
     met = safe_join(spread, dots, [*by, "__b"]).where(F.col("__t").between(F.col(start), F.col(end)))
-    sums = met.groupBy("__id").agg(F.avg("__v").alias(name), F.count("*").alias(f"{name}_n"))
-    return safe_join(ivs, sums, ["__id"], "left").drop("__id").withColumn(f"{name}_n", F.coalesce(f"{name}_n", F.lit(0)))
+    sums = met.groupBy(*key).agg(F.avg("__v").alias(name), F.count("__v").alias(f"{name}_n"))
+    return safe_join(intervals, sums, key, "left").withColumn(f"{name}_n", F.coalesce(f"{name}_n", F.lit(0)))
 
 
 def gaps(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), threshold: float = 5.0, width: float = WIDTH) -> DataFrame:
@@ -82,13 +89,15 @@ def focus_settle(samples: DataFrame, by: Sequence[str], *, t: str = "t", fx: str
     on; null if it never settles) and whether it could be told: fewer than
     ``least`` samples or a step of no time give no row.
     """
-    rows = samples.where(F.col(t).isNotNull() & ~F.isnan(F.col(fx).cast("double")) & F.col(fx).isNotNull())
+    finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
+    rows = samples.where(finite(t) & finite(fx))
     rows = numbered(previous(rows, by, [t], {"__t0": t, "__f0": fx}, width=width), by, [t], "__i", width=width)
     dt = F.col(t) - F.col("__t0")
     rows = rows.withColumn("__rate", F.when(dt > 0, F.abs(F.col(fx) - F.col("__f0")) / F.when(dt > 0, dt)))
     rates = rows.where("__i > 0")
-    quiet_run = Window.partitionBy(*by).orderBy("__i").rowsBetween(0, run - 1)
-    rates = rates.withColumn("__most", F.max("__rate").over(quiet_run)).withColumn("__n", F.count("__rate").over(quiet_run))
+    quiet_run = Window.partitionBy(*by, BLOCK).orderBy("__i").rowsBetween(0, run - 1)
+    rates = blocks(rates, by, [t], after=run - 1, width=width)
+    rates = rates.withColumn("__most", F.max("__rate").over(quiet_run)).withColumn("__n", F.count("__rate").over(quiet_run)).where(OWN).drop(*DEALT)
     hit = F.when((F.col("__n") == run) & (F.col("__most") < quiet), F.col("__i"))
     found = rates.groupBy(*by).agg(F.min(hit).alias("__at"), F.min_by(t, F.when(hit.isNotNull(), F.col("__i"))).alias("__t"), F.min(dt).alias("__dt"), (F.count("*") + 1).alias("samples"))
     found = found.where((F.col("samples") >= least) & (F.col("__dt") > 0))

@@ -186,7 +186,7 @@ def pack_poses(spark, sf):
 
 @query(f"""WITH {EVENTS} SELECT user_id, event_id, floor(avg(CASE WHEN cents < 5000 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * 1e6 + 0.5)::BIGINT AS below FROM ev""")
 def rolling_below_floor(spark, sf):
-    out = quality.rolling_below(events(spark, sf), ["user_id"], ["t", "event_id"], "cents", floor=5000, rows=20)
+    out = quality.rolling_below(events(spark, sf), ["user_id"], ["t", "event_id"], "cents", floor=5000, rows=20, width=W)
     return out.select("user_id", "event_id", quantised("below").alias("below"))
 
 
