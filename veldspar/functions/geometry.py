@@ -173,6 +173,14 @@ def camera_gravity(rotation: C) -> Column:
     return F.struct((-r[3]).alias("x"), (-r[4]).alias("y"), (-r[5]).alias("z"))
 
 
+def depth_gravity(x: C, y: C, z: C) -> Column:
+    """Unit gravity of a camera with y up and the view along -z, in depth coordinates (y down, view along z); null without length."""
+    x, y, z = (_c(v) for v in (x, y, z))
+    n = F.sqrt(x * x + y * y + z * z)
+    n = F.when(n > 1e-9, n)
+    return F.struct((x / n).alias("x"), (-y / n).alias("y"), (-z / n).alias("z"))
+
+
 def axis_angle(x: C, y: C, z: C, angle: C) -> Column:
     """Rotation about a unit axis."""
     x, y, z, a = (_c(v) for v in (x, y, z, angle))
