@@ -59,3 +59,38 @@ def test_capped_votes(spark):
         m.add(np.array([p]), np.array([[0.0, 0.0, 1.0]]))
     (cell,) = m.cells
     assert abs(cell[0] - out.px) < 1e-12 and cell[6] == 20
+
+
+def test_odometry_logs(spark):
+    from veldspar.sources.session import LOG_PATTERNS, odometry_logs
+
+    text = """s1: 120 depth frames, stride 1
+  frame-only conditioning  median 0.012  p10 0.004  degenerate 3/120
+  cond < 0.01 3 frames
+  cond >= 0.05 100 frames  translation median 0.4 cm p90 0.8 cm  rotation median 0.06°
+  rotation  median 0.06°  p90 0.21°
+  ICP inliers: median 71%"""
+    row, empty = odometry_logs(spark.createDataFrame([(0, text), (1, None)], "i int, value string"), "value").orderBy("i").collect()
+    assert row.frames == ["s1", "120"] and row.cond == ["0.012", "0.004", "3", "120"] and row.rpe_rot == ["0.06", "0.21"] and row.inliers == ["71"] and row.loop is None
+    assert [tuple(b) for b in row.bands] == [("cond < 0.01", 3, None, None), ("cond >= 0.05", 100, 0.4, 0.8)]
+    assert all(empty[k] is None for k in LOG_PATTERNS) and empty.bands == []
+
+
+def test_throttled_rows_fire_no_gate(spark):
+    rows = [("s", i / 10, 3 <= i < 7) for i in range(12)]
+    df = spark.createDataFrame(rows, "s string, t double, hot boolean")
+    out = {r.t: (r.image, r.depth) for r in timeops.coupled_gates(df, ["s"], image_hz=2.0, depth_hz=5.0, throttled="hot").collect()}
+    cool = {r.t: (r.image, r.depth) for r in timeops.coupled_gates(df.where("not hot"), ["s"], image_hz=2.0, depth_hz=5.0).collect()}
+    assert out == cool | {t: (False, False) for _, t, hot in rows if hot}
+
+
+def test_fusion_scores(spark):
+    from veldspar.operators import trajectory
+
+    r = random.Random(3)
+    rows = [("s", ["anchor", "between", "outside"][i % 3], *[float(r.random()) for _ in range(3)]) for i in range(90)]
+    rows = [(*x, x[2] + 0.1 * (i % 2), x[3], x[4], x[2] + 0.5 * (i % 2), x[3], x[4]) for i, x in enumerate(rows)]
+    df = spark.createDataFrame(rows, "s string, position string, rx double, ry double, rz double, fx double, fy double, fz double, ox double, oy double, oz double")
+    out = {x["class"]: x for x in trajectory.fusion_scores(df, ["s"], fused_axes=("fx", "fy", "fz"), other_axes=("ox", "oy", "oz"), reference=("rx", "ry", "rz")).collect()}
+    assert {k: v.frames for k, v in out.items()} == {"anchor": 30, "between": 30, "non-anchor": 60}
+    assert all(v.better and v.not_worse and v.delta < 0 for v in out.values())

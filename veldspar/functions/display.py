@@ -14,6 +14,7 @@ def duration(seconds: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
+    """Bytes with a unit of 1000s and one digit; a 5 behind it rounds up, as the decimal number reads."""
     out = F.format_string("%d B", n.cast("bigint"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
         out = F.when(n >= 1000**power, F.format_string(f"%.1f {unit}", n / float(1000**power))).otherwise(out)

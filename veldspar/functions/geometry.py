@@ -244,6 +244,33 @@ def crop_geometry(width: C, height: C, out_width: int, out_height: int) -> Colum
     return F.struct(F.floor((w - cw) / 2).cast("int").alias("x"), F.floor((h - ch) / 2).cast("int").alias("y"), cw.cast("int").alias("w"), ch.cast("int").alias("h"), (out_width / cw).alias("scale"))
 
 
+def export_crop(fit: str, width: C, height: C, out_width: int, out_height: int, *, fx: C | None = None, fy: C | None = None, hfov: float | None = None) -> Column:
+    """Crop that a frame is exported with: struct<left, top, w, h, clamped>.
+
+    With ``hfov`` the one of that horizontal field of view and square pixels, clamped to the
+    widest that fits; else by ``fit``: ``crop`` to the output's aspect, or the ``whole`` frame.
+    """
+    w, h = _c(width).cast("double"), _c(height).cast("double")
+    clamped = F.lit(False)
+    if hfov is not None:
+        x, y = _c(fx).cast("double"), _c(fy).cast("double")
+        cw = F.bround(2.0 * x * F.tan(F.radians(F.lit(float(hfov))) / 2.0))
+        ch = F.bround(cw * (y / x) * (out_height / out_width))
+        clamped = (cw > w) | (ch > h)
+        scale = F.least(w / cw, h / ch)
+        cw, ch = F.when(clamped, F.floor(cw * scale)).otherwise(cw), F.when(clamped, F.floor(ch * scale)).otherwise(ch)
+    elif fit == "crop":
+        aspect = out_width / out_height
+        wide = w / h > aspect
+        cw, ch = F.when(wide, F.bround(h * aspect)).otherwise(w), F.when(wide, h).otherwise(F.bround(w / aspect))
+    elif fit == "whole":
+        cw, ch = w, h
+    else:
+        raise ValueError(f"unknown fit {fit}")
+    parts = {"left": F.floor((w - cw) / 2), "top": F.floor((h - ch) / 2), "w": cw, "h": ch}
+    return F.struct(*[v.cast("int").alias(k) for k, v in parts.items()], clamped.alias("clamped"))
+
+
 def world_basis(forward: Sequence[Column], up: Sequence[Column]) -> Column:
     """Rotation from a y-up world to one with z up and x along the heading on the floor.
 

@@ -24,11 +24,38 @@ def source_pixel(u: Column, v: Column, *, out_f: Column, out_cx: Column, out_cy:
 
 
 def coverage(mapped: DataFrame, width: int, height: int, *, x: str = "x", y: str = "y") -> DataFrame:
-    """Output pixels whose source lies outside the image, and the largest displacement."""
+    """Output pixels whose source lies outside the image, and their percentage."""
     out = (F.col(x) < 0) | (F.col(y) < 0) | (F.col(x) > width - 1) | (F.col(y) > height - 1)
     return mapped.agg(F.count("*").alias("pixels"), F.count(F.when(out, 1)).alias("outside"), (100.0 * F.avg(F.when(out, 1.0).otherwise(0.0))).alias("outside_percent"))
 
 
+def corrected(x: Column, y: Column, *, cx: Column, cy: Column, table: Column, r_max: Column) -> Column:
+    """A pixel moved along its radius by a table's magnification: struct<x, y>."""
+    dx, dy = x - cx, y - cy
+    m = 1 + magnification(F.hypot(dx, dy), table, r_max)
+    return F.struct((cx + dx * m).alias("x"), (cy + dy * m).alias("y"))
+
+
+def correction(pixels: DataFrame, by: list[str], *, cx: Column, cy: Column, inverse: Column, forward: Column, r_max: Column) -> DataFrame:
+    """Largest distance that the inverse table moves a pixel (x, y), and what both tables in turn leave of it."""
+    far = lambda p: F.hypot(p["x"] - F.col("x"), p["y"] - F.col("y"))
+    rows = pixels.withColumn("__there", corrected(F.col("x"), F.col("y"), cx=cx, cy=cy, table=inverse, r_max=r_max))
+    there = F.col("__there")
+    rows = rows.withColumn("__back", corrected(there["x"], there["y"], cx=cx, cy=cy, table=forward, r_max=r_max))
+    return rows.groupBy(*by).agg(F.max(far(there)).alias("displacement"), F.max(far(F.col("__back"))).alias("round_trip"))
+
+
+def aspect_verdict(fx: Column, fy: Column) -> Column:
+    """What the ratio of focal lengths says of the frame."""
+    ratio = fx / fy
+    return F.when(F.abs(ratio - 1.0) < 0.06, "square pixels").when(F.abs(ratio - 4 / 3) < 0.10, "squeezed from 4:3").otherwise("no common resize")
+
+
+def weakly_constrained(base: Column, longer: Column, shorter: Column, least: float = 2.0) -> Column:
+    """Whether a focal length 10 % off either way costs less than ``least`` times the best score."""
+    return F.least(longer, shorter) / F.greatest(base, F.lit(1e-9)) < least
+
+
 def bilinear(values: Column, width: int, x: Column, y: Column) -> Column:
     """Bilinear sample of a raster held as an array by rows; null outside."""
     i, j = F.floor(x).cast("int"), F.floor(y).cast("int")

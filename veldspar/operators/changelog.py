@@ -63,6 +63,20 @@ def idle_sessions(events: DataFrame, by: Sequence[str], *, t: str = "t", order:
     return rows.groupBy(*by, "session").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("rows"))
 
 
+def idle_verdict(sessions: DataFrame, expected: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Closed sessions (rows: files received) with their manifest's number of files: complete, INCOMPLETE or unknown."""
+    out = safe_join(sessions, expected.select(*by, "expected"), by, "left")
+    return out.withColumn("verdict", F.when(F.col("expected").isNull(), "unknown").when(F.col("rows") >= F.col("expected"), "complete").otherwise("INCOMPLETE"))
+
+
+def ticks(rows: DataFrame, by: Sequence[str], *, elapsed: str = "elapsed", free: str = "free", least: int, every: int = 60) -> DataFrame:
+    """A recording's ticks up to its stop: ``stop`` marks the first without ``least`` bytes free, ``heartbeat`` those of each minute before it."""
+    ends = rows.where(F.col(free) < least).groupBy(*by).agg(F.min(elapsed).alias("__end"))
+    out = safe_join(rows, ends, by, "left").where(F.col("__end").isNull() | (F.col(elapsed) <= F.col("__end")))
+    stop = F.coalesce(F.col(elapsed) == F.col("__end"), F.lit(False))
+    return out.withColumns({"stop": stop, "heartbeat": ~stop & (F.floor(elapsed) % every == 0)}).drop("__end")
+
+
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row for each key: the last in order (a dictionary filled in file order)."""
     rest = [c for c in df.columns if c not in key]

@@ -97,8 +97,13 @@ def projective(points: DataFrame, target: DataFrame, by: Sequence[str], *, fx: f
     return safe_join(met, enough.select(*by), by, "left_semi")
 
 
-def ratio_matches(pairs: DataFrame, by: Sequence[str], *, left: str, right: str, distance: str, ratio: float = 0.7, least: int = 30) -> DataFrame:
-    """Best of the two nearest descriptors where it is clearly nearer; pairs of images with ``least`` matches."""
+def ratio_matches(pairs: DataFrame, by: Sequence[str], *, left: str, right: str, distance: str, ratio: float = 0.7, least: int = 30, baseline: str | None = None, least_baseline: float = 0.05) -> DataFrame:
+    """Best of the two nearest descriptors where it is clearly nearer; pairs of images with ``least`` matches.
+
+    With ``baseline`` (metres between a pair's cameras) pairs nearer than ``least_baseline`` don't count.
+    """
+    if baseline is not None:
+        pairs = pairs.where(F.col(baseline) >= least_baseline)
     two = pairs.groupBy(*by, left).agg(F.slice(F.sort_array(F.collect_list(F.struct(distance, right))), 1, 2).alias("__two"))
     good = two.where(F.size("__two") == 2).where(F.col("__two")[0][distance] < ratio * F.col("__two")[1][distance])
     good = good.select(*by, left, F.col("__two")[0][right].alias(right), F.col("__two")[0][distance].alias(distance))

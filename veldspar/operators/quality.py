@@ -145,6 +145,26 @@ def upload_progress(files: DataFrame, by: Sequence[str], *, done: str = "done",
     return out
 
 
+def straightness(chains: DataFrame, by: Sequence[str], *, chain: str = "chain", x: str = "x", y: str = "y", least: int = 30, bins: int = 24) -> DataFrame:
+    """How far edge chains bow: chains, median and 90th percentile of the root mean square offset.
+
+    A chain's direction is that of its greatest spread (one not 4 times that across is left out); offsets
+    are averaged in ``bins`` along it, half of which must hold points.
+    """
+    key = [*by, chain]
+    axes = chains.groupBy(*key).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("a"), F.var_pop(y).alias("b"), F.covar_pop(x, y).alias("c")).where(F.col("n") >= least)
+    mid, off = (F.col("a") + F.col("b")) / 2, F.sqrt(F.pow((F.col("a") - F.col("b")) / 2, 2) + F.col("c") * F.col("c"))
+    axes = axes.where(F.sqrt(mid + off) >= 4 * F.sqrt(F.greatest(mid - off, F.lit(0.0)))).withColumn("g", 0.5 * F.atan2(2 * F.col("c"), F.col("a") - F.col("b")))
+    rows = safe_join(chains, axes, key)
+    dx, dy = F.col(x) - F.col("mx"), F.col(y) - F.col("my")
+    rows = rows.select(*key, (dx * F.cos("g") + dy * F.sin("g")).alias("along"), (dy * F.cos("g") - dx * F.sin("g")).alias("across"))
+    ends = rows.groupBy(*key).agg(F.min("along").alias("lo"), (F.max("along") + 1e-9).alias("hi"))
+    rows = safe_join(rows, ends, key).withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("along") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)))
+    means = rows.groupBy(*key, "bin").agg(F.avg("across").alias("m"))
+    bows = means.groupBy(*key).agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("bow"), F.count("*").alias("occupied")).where(F.col("occupied") >= bins // 2)
+    return bows.groupBy(*by).agg(F.count("*").alias("chains"), F.median("bow").alias("median"), F.percentile("bow", 0.9).alias("p90"))
+
+
 def expected_files(manifest: DataFrame) -> DataFrame:
     """Number of files a complete session holds, from its manifest; null where it is unusable.
 

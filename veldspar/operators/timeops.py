@@ -115,10 +115,13 @@ def rate_gate(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence
     return _fold(df, by, [t, *order], t, {name: hz})
 
 
-def coupled_gates(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), image_hz: float, depth_hz: float) -> DataFrame:
-    """Adds image (its gate) and depth (either gate); both gates see every row."""
-    out = _fold(df, by, [t, *order], t, {"image": image_hz, "__depth": depth_hz})
-    return out.withColumn("depth", F.col("image") | F.col("__depth")).drop("__depth")
+def coupled_gates(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), image_hz: float, depth_hz: float, throttled: str | None = None) -> DataFrame:
+    """Adds image (its gate) and depth (either gate); both gates see every row but ``throttled`` ones, which give neither."""
+    rest = df.limit(0) if throttled is None else df.where(F.col(throttled))
+    seen = df if throttled is None else df.where(~F.coalesce(F.col(throttled), F.lit(False)))
+    out = _fold(seen, by, [t, *order], t, {"image": image_hz, "__depth": depth_hz})
+    out = out.withColumn("depth", F.col("image") | F.col("__depth")).drop("__depth")
+    return out if throttled is None else out.unionByName(rest.withColumns({"image": F.lit(False), "depth": F.lit(False)}))
 
 
 def _fold(df: DataFrame, by: Sequence[str], order: Sequence[str], t: str, rates: dict[str, float]) -> DataFrame:

@@ -175,6 +175,20 @@ def fused(rows: DataFrame, anchors: DataFrame, by: Sequence[str], *, t: str = "t
     return out.withColumns(moved | {"position": kind}).drop("__fix", "__l", "__r", *[f"__a_{v}" for v in values])
 
 
+def fusion_scores(rows: DataFrame, by: Sequence[str], *, fused_axes: Sequence[str], other_axes: Sequence[str], reference: Sequence[str], position: str = "position") -> DataFrame:
+    """Alignment errors of a fused trajectory and another one by class of rows: anchor, between, and non-anchor (all but anchors).
+
+    ``not_worse`` allows a slack of 1e-10, ``better`` none.
+    """
+    classes = F.when(F.col(position) == "anchor", F.array(F.lit("anchor"))).when(F.col(position) == "between", F.array(F.lit("between"), F.lit("non-anchor"))).otherwise(F.array(F.lit("non-anchor")))
+    key = [*by, "class"]
+    dealt = rows.withColumn("class", F.explode(classes))
+    ours = trajectory_error(dealt, key, fused_axes, reference).select(*key, F.col("ate_mean").alias("fused_ate"), F.col("rows").alias("frames"))
+    out = safe_join(ours, trajectory_error(dealt, key, other_axes, reference).select(*key, F.col("ate_mean").alias("other_ate")), key)
+    gain = F.col("fused_ate") - F.col("other_ate")
+    return out.withColumns({"delta": gain, "not_worse": gain <= 1e-10, "better": gain < 0})
+
+
 def umeyama(source: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Similarity (scale, rotation, translation) from source to target points."""
     ms, mt = source.mean(0), target.mean(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import display, geometry, lens
-from ..operators import cloud, joins, quality, selection, survey, timeops, trajectory
+from ..operators import changelog, cloud, joins, quality, selection, survey, timeops, trajectory
 from .tables import DAY, EVENTS, POINTS, events, points, q, quantised, table
 
 QUERIES: dict = {}
@@ -350,3 +350,72 @@ def step_errors(spark, sf):
     rows = _poses(spark, sf).select("label", "vec_id", geometry.pose("r", "tx", "ty", "tz").alias("est"), still.alias("ref"))
     out = trajectory.relative_errors(rows, ["label"], ["vec_id"], width=1e5)
     return _q(_q(out.select("vec_id", "step_error", "turn_error"), "step_error", scale=1e3), "turn_error", scale=1e2)
+
+
+# --- crops, lenses, edges, recordings ------------------------------------------------
+
+
+@query("""WITH a AS (SELECT p_partkey, p_retailprice::DOUBLE AS f, 1920.0::DOUBLE AS w, 1440.0::DOUBLE AS h FROM part),
+    c AS (SELECT *, round_even(2 * f * tan(radians(75.0::DOUBLE) / 2), 0) AS cw FROM a), d AS (SELECT *, round_even(cw * 1.25::DOUBLE * 480 / 848, 0) AS ch FROM c),
+    e AS (SELECT *, cw > w OR ch > h AS clamped, least(w / cw, h / ch) AS s FROM d), g AS (SELECT p_partkey, w, h, clamped, CASE WHEN clamped THEN floor(cw * s) ELSE cw END AS cw, CASE WHEN clamped THEN floor(ch * s) ELSE ch END AS ch FROM e)
+    SELECT p_partkey, floor((w - cw) / 2)::INT AS "left", floor((h - ch) / 2)::INT AS top, cw::INT AS w, ch::INT AS h, clamped, 1920 AS crop_w, round_even(1920 / (848.0::DOUBLE / 480), 0)::INT AS crop_h, 1440 AS whole_h FROM g""")
+def export_crop(spark, sf):
+    f = F.col("p_retailprice")
+    size = (F.lit(1920), F.lit(1440), 848, 480)
+    fov = geometry.export_crop("crop", *size, fx=f, fy=f * 1.25, hfov=75.0)
+    fit, whole = geometry.export_crop("crop", *size), geometry.export_crop("whole", *size)
+    return table(spark, sf, "part").select("p_partkey", fov.alias("c"), fit.alias("f"), whole.alias("x")).select("p_partkey", "c.*", F.col("f.w").alias("crop_w"), F.col("f.h").alias("crop_h"), F.col("x.h").alias("whole_h"))
+
+
+def _magnified(r: str) -> str:
+    return f"(1 + CASE WHEN least(({r}) / 10.0, 1) * 2 < 1 THEN least(({r}) / 10.0, 1) * 2 * 0.05 ELSE 0.05 + (least(({r}) / 10.0, 1) * 2 - 1) * 0.1 END)"
+
+
+@query(f"""WITH {POINTS}, a AS (SELECT label, x, y, {_magnified('sqrt(x * x + y * y)')} AS m FROM pt), b AS (SELECT *, {_magnified('sqrt(x * x + y * y) * m')} AS n FROM a)
+    SELECT label, {q('max(sqrt(x * x + y * y) * abs(m - 1))')} AS displacement, {q('max(sqrt(x * x + y * y) * abs(m * n - 1))')} AS round_trip FROM b GROUP BY label""")
+def lens_correction(spark, sf):
+    lut = F.array(*[F.lit(v) for v in (0.0, 0.05, 0.15)])
+    out = lens.correction(points(spark, sf), ["label"], cx=F.lit(0.0), cy=F.lit(0.0), inverse=lut, forward=lut, r_max=F.lit(10.0))
+    return _q(out, "displacement", "round_trip")
+
+
+@query(f"""WITH {POINTS} SELECT vec_id, CASE WHEN abs(f - 1.0) < 0.06 THEN 'square pixels' WHEN abs(f - 4.0::DOUBLE / 3) < 0.10 THEN 'squeezed from 4:3' ELSE 'no common resize' END AS verdict, least(abs(x), abs(y)) / greatest(abs(z), 1e-9) < 2 AS weak FROM (SELECT *, 1 + abs(x) / 5 AS f FROM pt)""")
+def focal_verdict(spark, sf):
+    return points(spark, sf).select("vec_id", lens.aspect_verdict(1 + F.abs("x") / 5, F.lit(1.0)).alias("verdict"), lens.weakly_constrained(F.abs("z"), F.abs("x"), F.abs("y")).alias("weak"))
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT label AS image, vec_id % 3 AS chain, vec_id * 0.5::DOUBLE + x * 0.1 AS x, vec_id * 0.2::DOUBLE * (1 + vec_id % 3) + y AS y FROM pt),
+    a AS (SELECT image, chain, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM c GROUP BY ALL HAVING count(*) >= 10),
+    g AS (SELECT *, 0.5 * atan2(2 * c, a - b) AS g FROM a WHERE sqrt((a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)) >= 4 * sqrt(greatest((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c), 0))),
+    r AS (SELECT c.image, c.chain, (x - mx) * cos(g) + (y - my) * sin(g) AS u, (y - my) * cos(g) - (x - mx) * sin(g) AS v FROM c JOIN g ON c.image = g.image AND c.chain = g.chain),
+    m AS (SELECT image, chain, bin, avg(v) AS m FROM (SELECT *, least(7, floor((u - min(u) OVER w) / (max(u) OVER w + 1e-9 - min(u) OVER w) * 8)) AS bin FROM r WINDOW w AS (PARTITION BY image, chain)) GROUP BY ALL),
+    b AS (SELECT image, chain, sqrt(avg(m * m)) AS bow FROM m GROUP BY ALL HAVING count(*) >= 4)
+    SELECT image, count(*) AS chains, {q('median(bow)')} AS median, {q('quantile_cont(bow, 0.9)')} AS p90 FROM b GROUP BY image""")
+def edge_straightness(spark, sf):
+    k = F.col("vec_id")
+    rows = points(spark, sf).select(F.col("label").alias("image"), (k % 3).alias("chain"), (k * 0.5 + F.col("x") * 0.1).alias("x"), (k * 0.2 * (1 + k % 3) + F.col("y")).alias("y"))
+    return _q(quality.straightness(rows, ["image"], least=10, bins=8), "median", "p90")
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT user_id, event_id, t / 1e6::DOUBLE AS e, cents FROM ev), s AS (SELECT user_id, min(e) AS e0 FROM r WHERE cents < 200 GROUP BY user_id)
+    SELECT event_id, coalesce(e = e0, false) AS stop, NOT coalesce(e = e0, false) AND floor(e)::BIGINT % 60 = 0 AS heartbeat FROM r LEFT JOIN s USING (user_id) WHERE e0 IS NULL OR e <= e0""")
+def recording_ticks(spark, sf):
+    rows = events(spark, sf).select("user_id", "event_id", (F.col("t") / 1e6).alias("elapsed"), F.col("cents").alias("free"))
+    return changelog.ticks(rows, ["user_id"], least=200).select("event_id", "stop", "heartbeat")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS session, count(*) AS "rows" FROM lineitem GROUP BY ALL), e AS (SELECT o_orderkey AS session, CASE WHEN o_custkey % 5 > 0 THEN o_custkey % 7 END AS expected FROM orders)
+    SELECT session, "rows", expected, CASE WHEN expected IS NULL THEN 'unknown' WHEN "rows" >= expected THEN 'complete' ELSE 'INCOMPLETE' END AS verdict FROM s LEFT JOIN e USING (session)""")
+def idle_verdicts(spark, sf):
+    closed = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("session")).agg(F.count("*").alias("rows"))
+    said = table(spark, sf, "orders").select(F.col("o_orderkey").alias("session"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_custkey") % 7).alias("expected"))
+    return changelog.idle_verdict(closed, said, ["session"])
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, CASE WHEN k < 5 THEN '-' ELSE format('{{:.1f}} km/h', (k - 5) * 3.6::DOUBLE) END AS speed,
+    CASE kind WHEN 'view' THEN 'application/json' WHEN 'click' THEN 'image/jpeg' WHEN 'error' THEN 'text/plain' ELSE 'application/octet-stream' END AS type, CASE WHEN k < 10 THEN 30.0 ELSE k END::BIGINT AS hz, (k * 1000 + cents * (100 + 50) + 8 * 125)::BIGINT AS rate FROM ev""")
+def display_formats(spark, sf):
+    k, cents = F.col("k"), F.col("cents")
+    path = F.concat(F.lit("a/b."), _case(F.col("kind"), view="json", click="JPG", error="txt", otherwise="bin"))
+    rate = display.storage_rate(k, F.lit(1000), cents, F.lit(100), F.lit(50), F.lit(8), F.lit(100), F.lit(1600))
+    return events(spark, sf).select("event_id", display.speed_kph((k - 5).cast("double")).alias("speed"), display.content_type(path).alias("type"), display.migrated_depth_hz(k.cast("double")).cast("bigint").alias("hz"), rate.cast("bigint").alias("rate"))

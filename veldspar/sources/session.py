@@ -78,8 +78,8 @@ def images(spark: SparkSession, root: str) -> DataFrame:
 def rasters(spark: SparkSession, root: str, index: DataFrame, *, confidence: bool = False) -> DataFrame:
     """Depth (float16, decoded to float) or confidence (0, 1, 2) rasters of an index of frames.
 
-    The blob files are read by Spark as ranges of 128 MB at most by session; the
-    index rows of a session meet its blob. A raster that is cut short is an error.
+    A session's blob file is one row of Spark's binary source (2 GB at most), which the
+    index rows of that session meet. A raster that is cut short is an error.
     """
     name = "confidence.bin" if confidence else "depth.bin"
     at, size = ("confidenceOffset", "confidenceLength") if confidence else ("offset", "length")
@@ -140,6 +140,39 @@ def log_values(spark: SparkSession, path: str, patterns: dict[str, str]) -> Data
     return log_extract(text, "value", patterns).drop("value")
 
 
+#: What an odometry log says, by name (fixed values: formats of the log's lines).
+LOG_PATTERNS: dict[str, str] = {
+    "loop": r"end-start distance ([\d.]+) m \(ARKit ([\d.]+) m",
+    "ate": r"rms ([\d.]+) cm\s+max ([\d.]+) cm",
+    "travelled": r"ARKit travelled ([\d.]+) m over ([\d.]+) s",
+    "rpe": r"translation\s+median ([\d.]+) cm\s+p90 ([\d.]+) cm",
+    "rpe_rot": r"rotation\s+median ([\d.]+)°\s+p90 ([\d.]+)°",
+    "frames": r"^(\S+): (\d+) depth frames",
+    "keyframes": r"map: (\d+) keyframes of (\d+) frames, (\d+) with images \(([\d.]+)%\), (\d+) voxels",
+    "photo": r"photometric: evaluated (\d+)/(\d+) frames \((\d+)%\), evaluations (\d+), accepted LM steps (\d+)",
+    "photo_pairs": r"pairs (\d+) available/(\d+) selected/(\d+) solved",
+    "photo_ref": r"photometric reference: (\S+) (\d+) frames, no reference (\d+) skipped",
+    "photo_dist": r"photometric reference distance: median ([\d.]+) m\s+angle median ([\d.]+)°",
+    "cond": r"frame-only conditioning\s+median ([\d.]+)\s+p10 ([\d.]+)\s+degenerate (\d+)/(\d+)",
+    "residual": r"point-to-plane residual\s+estimate ([\d.]+) mm\s+arkit ([\d.]+) mm",
+    "inliers": r"ICP inliers: median (\d+)%",
+}
+LOG_BAND = r"(cond < 0\.01|0\.01 <= cond < 0\.05|cond >= 0\.05)\s+(\d+) frames(?:\s+translation median ([\d.]+) cm p90 ([\d.]+) cm)?"
+
+
+def odometry_logs(df: DataFrame, column: str) -> DataFrame:
+    """Adds, for each of ``LOG_PATTERNS``, the groups of its first match (null without one), and the error bands of conditioning."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    found = {}
+    for name, p in LOG_PATTERNS.items():
+        groups = p.count("(") - p.count("\\(")
+        found[name] = F.when(F.rlike(text, F.lit(p)), F.array(*[F.regexp_extract(text, p, i + 1) for i in range(groups)]))
+    parts = [F.regexp_extract_all(text, F.lit(LOG_BAND), F.lit(i)) for i in (1, 2, 3, 4)]
+    number = lambda c: F.when(c != "", c.cast("double"))
+    bands = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("band", "frames", "median", "p90"), strict=True)]), lambda b: F.struct(b["band"].alias("band"), b["frames"].cast("bigint").alias("frames"), number(b["median"]).alias("median_cm"), number(b["p90"]).alias("p90_cm")))
+    return df.withColumns(found | {"bands": bands})
+
+
 def log_extract(df: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:
     found = {n: F.regexp_extract(F.coalesce(F.col(column), F.lit("")), p, 1) for n, p in patterns.items()}
     return df.withColumns({n: F.when(c != "", c) for n, c in found.items()})

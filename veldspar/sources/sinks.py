@@ -47,6 +47,17 @@ def packed_poses(poses: DataFrame, kept: DataFrame, by: Sequence[str], *, frame:
     return safe_join(poses, most, by, "left").where(F.col(frame) <= F.coalesce("__most", F.lit(0))).drop("__most")
 
 
+def write_trajectory(rows: DataFrame, path: str, by: str = "session_id") -> None:
+    """Trajectories as Parquet, a folder for each session, rows in the order of frames."""
+    rows.repartition(by).sortWithinPartitions(by, "frame").write.partitionBy(by).mode("overwrite").parquet(path)
+
+
+def write_fused(fused: DataFrame, scores: DataFrame, path: str, by: str = "session_id") -> None:
+    """A fused trajectory as Parquet, and the report of its scores as lines of JSON."""
+    write_trajectory(fused, f"{path}/trajectory", by)
+    scores.write.mode("overwrite").json(f"{path}/report")
+
+
 def results(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Sorted by arm and the given order of sessions, others last."""
     place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("session"))
