@@ -1,8 +1,8 @@
 """Trajectories: alignment, scale, chaining, fusion and their scores.
 
-Alignments are two passes: sums of products (combined before the shuffle) give a
-3 x 3 matrix for each session, a small kernel solves it, and the residuals are
-taken against the joined solution. No session is gathered.
+Alignments are three passes: means, then sums of products about them (combined before the
+shuffle), which give a 3 x 3 matrix for each session; a small kernel solves it, and the
+residuals are taken against the joined solution. No session is gathered but by ``chain``.
 """
 
 from __future__ import annotations
@@ -27,11 +27,17 @@ def keyed(df: DataFrame, by: Sequence[str], more: str) -> StructType:
 
 
 def _sums(df: DataFrame, by: Sequence[str], source: Sequence[str], target: Sequence[str]) -> DataFrame:
-    aggs = [F.count("*").alias("n")]
-    for i, a in enumerate(source):
-        aggs += [F.sum(a).alias(f"s{i}"), F.sum(F.col(a) * F.col(a)).alias(f"ss{i}")]
-        aggs += [F.sum(F.col(a) * F.col(b)).alias(f"c{i}{j}") for j, b in enumerate(target)]
-    aggs += [F.sum(b).alias(f"t{j}") for j, b in enumerate(target)]
+    """Means (m, u) and, about them, sums (s, t), squares (ss) and products (c); far from the origin raw products would lose their digits."""
+    sides = [(f"__{k}{i}", c) for k, names in (("m", source), ("u", target)) for i, c in enumerate(names)]
+    means = df.groupBy(*by).agg(*[F.avg(c).alias(k) for k, c in sides])
+    df = safe_join(df.select(*by, *dict.fromkeys([*source, *target])), means, by)
+    a = [F.col(c) - F.col(f"__m{i}") for i, c in enumerate(source)]
+    b = [F.col(c) - F.col(f"__u{j}") for j, c in enumerate(target)]
+    aggs = [F.count("*").alias("n"), *[F.max(k).alias(k.strip("_")) for k, _ in sides]]
+    for i, x in enumerate(a):
+        aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"ss{i}")]
+        aggs += [F.sum(x * y).alias(f"c{i}{j}") for j, y in enumerate(b)]
+    aggs += [F.sum(y).alias(f"t{j}") for j, y in enumerate(b)]
     return df.groupBy(*by).agg(*aggs)
 
 
@@ -54,10 +60,11 @@ def fits(df: DataFrame, by: Sequence[str], source: Sequence[str], target: Sequen
                 u, s, vt = np.linalg.svd(cov)
                 sign = np.diag([1.0, 1.0, 1.0 if np.linalg.det(u) * np.linalg.det(vt) >= 0 else -1.0])
                 rot = u @ sign @ vt
+                at, to = ms + [d[f"m{i}"] for i in range(3)], mt + [d[f"u{i}"] for i in range(3)]
                 var = sum(d[f"ss{i}"] for i in range(3)) / n - ms @ ms
                 scale = float(np.trace(np.diag(s) @ sign) / var) if scaled and var > 1e-18 else 1.0
                 out["r"].append(rot.ravel().tolist())
-                out["shift"].append((mt - scale * rot @ ms).tolist())
+                out["shift"].append((to - scale * rot @ at).tolist())
                 out["scale"].append(scale)
             yield pd.DataFrame({**{c: p[c] for c in by}, **out, "n": p["n"]})
 

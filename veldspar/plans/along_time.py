@@ -286,7 +286,12 @@ def first_row_rebase(spark, sf):
     return rows.select("user_id", "event_id", (F.col("t") - F.col("f.t")).alias("t0"), (F.col("cents") - F.col("f.cents")).alias("c0"), "row_index")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS}, n AS (SELECT user_id, event_id, cents::DOUBLE AS x, t / {DAY}.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS c FROM ev),
+    d AS (SELECT user_id, coalesce(median(g), 0) AS dt FROM (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY i) AS g FROM n) GROUP BY user_id),
+    w AS (SELECT user_id, CASE WHEN dt > 0 THEN dt / (dt + 1 / (2 * pi() * 0.2::DOUBLE)) ELSE 1.0 END AS a FROM d),
+    f(user_id, i, y) AS (SELECT user_id, i, x FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, f.y + w.a * (n.x - f.y) FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1 JOIN w ON w.user_id = f.user_id),
+    b(user_id, i, z) AS (SELECT f.user_id, f.i, f.y FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i AND n.i = n.c UNION ALL SELECT f.user_id, f.i, b.z + w.a * (f.y - b.z) FROM b JOIN f ON f.user_id = b.user_id AND f.i = b.i - 1 JOIN w ON w.user_id = b.user_id)
+    SELECT b.user_id, event_id, floor(z * 1000 + 0.5)::BIGINT AS smooth FROM b JOIN n ON n.user_id = b.user_id AND n.i = b.i""")
 def low_pass(spark, sf):
     ev = events(spark, sf).select("user_id", "event_id", (F.col("t") / DAY).alias("t"), F.col("cents").cast("double").alias("v"))
     return timeops.low_pass(ev, ["user_id"], value="v", cutoff_hz=0.2).select("user_id", "event_id", quantised("smooth", 1000).alias("smooth"))

@@ -271,7 +271,12 @@ def ate_umeyama(spark, sf):
     return _q(trajectory.trajectory_error(points(spark, sf), ["label"], ("x", "y", "z"), ("rx", "ry", "rz"), scaled=True), "ate_mean", "ate_rms")
 
 
-@query()
+@query(f"""WITH {POINTS}, c AS (SELECT label, count(*) AS n, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d, covar_pop(y, z) AS e, covar_pop(x, z) AS f FROM pt GROUP BY label),
+    m AS (SELECT *, (a + b + c) / 3 AS m, sqrt((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM c),
+    r AS (SELECT *, greatest(-1, least(1, (((a - m) * ((b - m) * (c - m) - e * e) - d * (d * (c - m) - e * f) + f * (d * e - (b - m) * f)) / (p * p * p)) / 2)) AS r FROM m),
+    l AS (SELECT *, m + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3) AS l FROM r),
+    v AS (SELECT *, d * e - f * (b - l) AS n0, f * d - (a - l) * e AS n1, (a - l) * (b - l) - d * d AS n2 FROM l)
+    SELECT label, n, {q('sqrt(greatest(0, l))')} AS thickness, {q('degrees(acos(least(1, abs(n1) / sqrt(n0 * n0 + n1 * n1 + n2 * n2))))')} AS tilt FROM v""")
 def plane_thickness(spark, sf):
     return _q(trajectory.plane_fit(points(spark, sf), ["label"], ("x", "y", "z")).drop("normal"), "thickness", "tilt")
 
@@ -322,7 +327,22 @@ def anchor_fusion(spark, sf):
     return out.select("vec_id", "position", quantised("fused_x").alias("fused_x"))
 
 
-@query()
+def _rotation(i: int) -> str:
+    """Nine entries r0.. of the rotation of the quaternion that begins at ``embedding[i]``, from a row q."""
+    return f"""SELECT label, vec_id, 1 - 2 * (y * y + z * z) AS r0, 2 * (x * y - w * z) AS r1, 2 * (x * z + w * y) AS r2, 2 * (x * y + w * z) AS r3, 1 - 2 * (x * x + z * z) AS r4, 2 * (y * z - w * x) AS r5, 2 * (x * z - w * y) AS r6, 2 * (y * z + w * x) AS r7, 1 - 2 * (x * x + y * y) AS r8, p0, p1, p2
+        FROM (SELECT label, vec_id, x / l AS x, y / l AS y, z / l AS z, w / l AS w, p0, p1, p2 FROM (SELECT *, sqrt(x * x + y * y + z * z + w * w) AS l FROM (SELECT label, vec_id, embedding[{i}]::DOUBLE AS x, embedding[{i + 1}]::DOUBLE AS y, embedding[{i + 2}]::DOUBLE AS z, embedding[{i + 3}]::DOUBLE AS w, embedding[{i + 4}]::DOUBLE AS p0, embedding[{i + 5}]::DOUBLE AS p1, embedding[{i + 6}]::DOUBLE AS p2 FROM embeddings)))"""
+
+
+def _step(name: str, table: str) -> str:
+    """The motion from the row before, as the camera of each row sees it: t0.. and e0.."""
+    turn = ", ".join(f"r{i} * b{j} + r{3 + i} * b{3 + j} + r{6 + i} * b{6 + j} AS e{3 * i + j}" for i in range(3) for j in range(3))
+    move = ", ".join(f"r{i} * (o0 - p0) + r{3 + i} * (o1 - p1) + r{6 + i} * (o2 - p2) AS t{i}" for i in range(3))
+    before = ", ".join([*[f"lag(r{i}) OVER v AS b{i}" for i in range(9)], *[f"lag(p{i}) OVER v AS o{i}" for i in range(3)]])
+    return f"{name} AS (SELECT vec_id, {turn}, {move} FROM (SELECT *, {before} FROM ({table}) WINDOW v AS (PARTITION BY label ORDER BY vec_id)) WHERE b0 IS NOT NULL)"
+
+
+@query(f"""WITH {_step('e', _rotation(1))}, {_step('f', _rotation(9))}
+    SELECT vec_id, {q('sqrt(pow(e.t0 - f.t0, 2) + pow(e.t1 - f.t1, 2) + pow(e.t2 - f.t2, 2))', '1e3')} AS step_error, {q('degrees(acos(greatest(-1, least(1, (' + ' + '.join(f'e.e{i} * f.e{i}' for i in range(9)) + ' - 1) / 2))))', '1e3')} AS turn_error FROM e JOIN f USING (vec_id)""")
 def relative_error(spark, sf):
     e = F.col("embedding")
     pose = lambda i: geometry.pose(geometry.quaternion_to_matrix(*[e[i + k].cast("double") for k in range(4)]), *[e[i + 4 + k].cast("double") for k in range(3)])
