@@ -19,7 +19,8 @@ from .shared import cut, discard
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); component is its least node.
 
-    Loops and repeated edges do no harm; an empty table gives an empty one.
+    Loops and repeated edges do no harm; an empty table gives an empty one. The result
+    is a ``cut`` table.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     found, turn = None, 0
@@ -47,6 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
             discard(to)
         turn += 1
     if found is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        found = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("to")))
     least = found.groupBy("to").agg(F.min("node").alias("component"))
-    return found.join(least, "to").select("node", "component")
+    out = cut(found.join(least, "to").select("node", "component"))
+    discard(edges)
+    discard(found)
+    return out

@@ -11,29 +11,37 @@ ids are only looked up for the result.
    are joined into a star. The stars' components are groups of similar
    documents, and no link leaves its group. Tokens far commoner than others are
    left out of the parts, else phrases that many documents share would join
-   them all; sets that differ in d tokens differ in no more without those. (A set so small that all but d of
-   its parts are empty also writes its empty parts; any set that it could only
-   meet there does so too.) A map task sends a signature once, with its least
-   document, so a signature that many documents share stays small.
-2. *Unions.* Groups are cut into blocks of similar sets (ordered by least
-   token), bounded in sets and tokens; each block stores the union of its
-   tokens.
+   them all; sets that differ in d tokens differ in no more without those. A set that has
+   too few parts without them writes those of all its tokens as well. A map task sends a
+   signature once, with its least node, so one that many documents share stays small.
+2. *Unions.* Large groups are cut into blocks of similar sets (those of one least
+   token together), bounded in sets and tokens; each block stores the union of
+   its tokens, as a map of bits beside the sets.
 3. *Bounds.* For a query set Q and a block with union U, no member can pass
-   |Q n U| / |Q|; a block is opened only for the queries that reach the
-   threshold and whose size fits.
-4. *Opening.* Intersections in an opened block are matrix products over the
+   |Q n U| / |Q|; a pair of blocks is opened only if some set reaches the
+   threshold in the other's map and its size fits. What is joined for the bounds is one
+   block's sets with many blocks' maps; the sets of both travel only after that.
+4. *Opening.* Intersections in opened blocks are matrix products over the
    tokens that both sides have. A pair of blocks returns a spanning forest of
    its links, never the pairs.
 
+Blocks of a large group are opened inside and against one pivot block first.
+Those whose sets are by then all in the group's main component need no
+comparison among themselves, so a group of near copies takes as many pairs of blocks as it
+has blocks; only blocks that are not settled meet all others.
+
 Copies (equal sets) are one node from the start: one of each enters 2 to 4.
 
-Plan: three narrow passes over the text (sizes and set hashes; counts of tokens in
-a fixed number of cells; signatures) and one over the texts of members of groups. What is shuffled is a third of a number
-for each word, packed as arrays. Large groups cost block pairs, spread over
-tasks; components are found by distributed contraction.
+Plan: two narrow passes over the text (sizes, set hashes and counts of tokens in
+a fixed number of cells; signatures) and one over the texts of members of groups. What is
+shuffled is about half a number for each word, packed as arrays, in buckets whose
+number follows the counted signatures. A task holds one bucket, one block of signatures and
+a bounded cache. Sums over a group and joins with them are dealt by group and salt, as
+a group may hold any share of the rows; components are found by distributed contraction.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and links with nothing; a text with fewer words than a shingle is one shingle;
+a very long text is one set like any other; ids that are no numbers are refused;
 every row is a document of its own, whether its id is null or that of other rows
 too; a component is named by its least id, with null if none of its rows has
 one; an empty table gives an empty result; other columns are not read.
@@ -41,8 +49,9 @@ one; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +60,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, require, spare
+from .shared import cut, discard, holding, pieces, require, spare, worker_cache
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 #: Signatures kept by a task before it sends them, sets and tokens of a block, signatures of a bucket.
-FLUSH, BLOCK_SETS, BLOCK_TOKENS, BUCKET = 1 << 21, 256, 400_000, 1 << 22
-#: Cells of the count of all tokens (a power of two).
-CELLS = 1 << 20
+FLUSH, BLOCK_SETS, BLOCK_TOKENS, BUCKET = 1 << 18, 256, 400_000, 1 << 19
+#: Cells of the count of all tokens, and bits of a union's map (powers of two).
+CELLS, BITS = 1 << 20, 1 << 20
+#: Parts that a group of any size is dealt to for sums and joins; maps of blocks that travel together.
+SALTS, MAPS = 256, 32
+#: Ratio of the bounds of size classes, and times that tokens are dealt to parts anew.
+RATIO, FORMS = 1.12, 6
 #: Rows of (node, group, block) that may be broadcast, about 40 bytes each.
 MOST_BROADCAST = 500_000
 
@@ -72,14 +85,14 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         if len(word) <= 64:
             self[word] = h
         return h
 
 
-_HASHES = _WordHashes()
+_HASHES = worker_cache(_WordHashes())
 
 
 def token_set(text: str | None, k: int) -> np.ndarray:
@@ -97,41 +110,61 @@ def token_set(text: str | None, k: int) -> np.ndarray:
 
 
 class Classes:
-    """Size classes: bounds, largest differences and numbers of parts."""
+    """Size classes: bounds, largest differences and numbers of parts.
+
+    Two linked sets meet in the class of the larger one, where the smaller writes too.
+    Narrow classes keep the differences, and so the number of parts, low: a part of more
+    tokens is less often equal by chance or by a phrase that two documents share.
+    """
 
     def __init__(self, percent: int, largest: int = 1 << 40):
-        ratio = max(1.5, 110 / percent)
         low = [1]
         while low[-1] < largest:
-            low.append(max(low[-1] + 1, int(low[-1] * ratio)))
+            low.append(max(low[-1] + 1, int(low[-1] * RATIO)))
         self.percent, self.low = percent, np.array(low)
         self.differ = (100 - percent) * 2 * (self.low[1:] - 1) // (100 + percent)
-        self.parts = np.where(self.differ == 0, 1, self.differ + np.maximum(3, self.differ // 4))
+        self.parts = np.where(self.differ == 0, 1, self.differ + np.maximum(3, self.differ // 8))
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
+    def _reached(self, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of sets and a class they write to, each with its own first and then the next ones."""
+        own, at, up = self.of(sizes), np.arange(len(sizes)), 0
+        while len(at):
+            yield at, own[at] + up
+            up += 1
+            at = at[100 * sizes[at] >= self.percent * self.low[own[at] + up]]
+
+    def most_signatures(self, sizes: np.ndarray) -> np.ndarray:
+        """About how many signatures sets of these sizes (1 at least) write at most."""
+        out = np.zeros(len(sizes), np.int64)
+        for at, c in self._reached(sizes):
+            out[at] += self.parts[c]
+        return out
+
     def signatures(self, sets: list[np.ndarray], nodes: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, node) of all parts of non-empty sets, in their class and, if they reach it, the next.
+        """(signature, node) of all parts of non-empty sets, in each class that they reach.
 
         Tokens in cells marked ``common`` are left out of the parts: two sets that
-        differ in d tokens differ in no more without them.
+        differ in d tokens differ in no more without them. A set with more than d parts
+        that hold a token shares one of these with any set it is linked with. A set
+        without so many also deals all its tokens to parts anew, ``FORMS`` times at most
+        until there are enough, so it meets the other in the form in which one of them has enough
+        (in the last form it writes empty parts too, where any two such sets meet).
         """
         sizes = np.array([len(s) for s in sets], np.int64)
-        own = self.of(sizes)
         out = []
-        for up in (0, 1):
-            at = np.arange(len(sets)) if up == 0 else np.flatnonzero(100 * sizes >= self.percent * self.low[own + 1])
-            if not len(at):
-                continue
-            c = own[at] + up
+
+        def write(at: np.ndarray, c: np.ndarray, form: int) -> np.ndarray:
+            """Adds the signatures of the sets at ``at`` in their class; which of these have too few parts."""
             parts, differ = self.parts[c], self.differ[c]
             base = np.cumsum(parts) - parts
             tokens, owner = np.concatenate([sets[i] for i in at]), np.repeat(np.arange(len(at)), sizes[at])
-            if common is not None:
+            if form == 0 and common is not None:
                 rare = ~common[(tokens & U(CELLS - 1)).astype(np.int64)]
                 tokens, owner = tokens[rare], owner[rare]
-            slot = base[owner] + ((_mix(tokens, 2) >> U(33)) % parts[owner].astype(U)).astype(np.int64)
+            slot = base[owner] + ((_mix(tokens, 2 + 16 * form) >> U(33)) % parts[owner].astype(U)).astype(np.int64)
             total = int(parts.sum())
             values = _mix(tokens, 3)
             halves = [np.bincount(slot, weights=(v & U(0xFFFFFFFF)).astype(float), minlength=total).astype(np.int64).astype(U) for v in (values, values >> U(32))]
@@ -139,18 +172,29 @@ class Classes:
             filled = np.bincount(slot, minlength=total) > 0
             doc = np.repeat(np.arange(len(at)), parts)
             few = np.add.reduceat(filled.astype(np.int64), base) <= differ
-            keep = filled | few[doc]
+            keep = filled | few[doc] if form == FORMS else filled
             place = (np.repeat(c, parts).astype(U) << U(40)) + (np.arange(total) - np.repeat(base, parts)).astype(U)
-            sig = _mix(sums + _mix(place, 4), 5)
+            sig = _mix(sums + _mix(place, 4 + 16 * form), 5)
             out.append((sig[keep], nodes[at][doc[keep]]))
+            return few
+
+        for at, c in self._reached(sizes):
+            for form in range(FORMS + 1):
+                few = write(at, c, form)
+                at, c = at[few], c[few]
+                if not len(at):
+                    break
         return np.concatenate([s for s, _ in out]), np.concatenate([n for _, n in out])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distinct pairs (node, leader), as a flat array of both in turn."""
+    """Distinct pairs (node, leader), one in each row."""
     keep = a != b
-    pairs = np.unique(np.stack([a[keep], b[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
-    return pairs.astype("<i8")
+    a, b = a[keep], b[keep]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    return np.stack([a[fresh], b[fresh]], 1).astype("<i8")
 
 
 def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,67 +215,78 @@ def set_node(s: np.ndarray) -> int:
     return int(_mix(s, 6).sum(dtype=U).astype(np.int64))
 
 
-def set_records(docs: DataFrame, k: int) -> DataFrame:
-    """Per row of docs (id, key, text): id, key, the node of its token set, its size n, and its least token's first bits."""
+def _records(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per row of docs (id, key, text): id, key, the node of its token set, its size n, its least token, signatures at most.
+
+    Each task adds one row that has ``cells`` alone: its tokens, counted by ``CELLS`` cells.
+    """
+    names = ["id", "key", "node", "n", "least", "sigs", "cells"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding(_HASHES)
+        cells, classes = np.zeros(CELLS, np.int64), Classes(percent)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                rows = []
-                for text in part.column(2).to_pylist():
-                    s = token_set(text, k)
-                    rows.append((set_node(s), len(s), int(s[0] >> U(48)) if len(s) else 0))
-                cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["id", "key", "node", "n", "least"])
+            for part in pieces(batch, 2):
+                sets = [token_set(text, k) for text in part.column(2).to_pylist()]
+                tokens = np.concatenate(sets)
+                np.add.at(cells, (tokens & U(CELLS - 1)).astype(np.int64), 1)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                sigs = np.where(sizes > 0, classes.most_signatures(np.maximum(sizes, 1)), 0)
+                cols = [pa.array([set_node(s) for s in sets], pa.int64()), pa.array(sizes), pa.array([int(s[0] >> U(1)) if len(s) else 0 for s in sets], pa.int64()), pa.array(sigs)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols, pa.nulls(part.num_rows, pa.binary())], names=names)
+        if cells.any():
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 6, pa.array([_packed(cells)], pa.binary())], names=names)
 
-    return docs.mapInArrow(task, "id bigint, key bigint, node bigint, n bigint, least bigint")
+    return docs.mapInArrow(task, "id bigint, key bigint, node bigint, n bigint, least bigint, sigs bigint, cells binary")
 
 
-def _common(docs: DataFrame, k: int) -> np.ndarray:
+def _packed(cells: np.ndarray) -> bytes:
+    return zlib.compress(cells.astype("<i8").tobytes(), 1)
+
+
+def _common(counts: DataFrame, tokens: int) -> np.ndarray:
     """Marks of the cells (of token hashes) that hold far more than their share of all tokens.
 
-    All tokens are counted into ``CELLS`` cells; what is gathered is one array of
-    that size for each of 64 groups of tasks. Passages and phrases that many
+    ``counts`` (cells) has an array of ``CELLS`` counts for each task; they are added as
+    they stream by, in two steps, and 16 sums are gathered. Passages and phrases that many
     documents share stand out, whatever the number of documents.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(cells, (token_set(text, k) & U(CELLS - 1)).astype(np.int64), 1)
-        if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array([int(cells.sum() % 64)], pa.int64()), pa.array([zlib.compress(cells.astype("<u4").tobytes(), 1)], pa.binary())], names=["g", "cells"])
-
-    def add(table: pa.Table) -> pa.Table:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for raw in table.column("cells"):
-            total += np.frombuffer(zlib.decompress(raw.as_py()), "<u4")
-        return pa.table({"cells": pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())})
+        for batch in batches:
+            for raw in batch.column(0):
+                total += np.frombuffer(zlib.decompress(raw.as_py()), "<i8")
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], names=["cells"])
 
+    for groups in (max(16, math.isqrt(tokens >> 22)), 16):
+        counts = counts.repartition(groups, F.xxhash64("cells")).mapInArrow(add, "cells binary")
     cells = np.zeros(CELLS, np.int64)
-    for row in docs.mapInArrow(count, "g bigint, cells binary").groupBy("g").applyInArrow(add, "cells binary").toLocalIterator():
+    for row in counts.toLocalIterator():
         cells += np.frombuffer(zlib.decompress(row.cells), "<i8")
     mean = cells.mean()
     return cells > mean + max(8 * np.sqrt(mean), 8)
 
 
-def _candidates(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
+def _candidates(docs: DataFrame, k: int, percent: int, signatures: int, common: np.ndarray) -> DataFrame:
     """Pairs (a, b) of nodes of docs (text) whose components hold every link."""
-    buckets = max(64, total * 35 // 100 // BUCKET)
-    common = docs.sparkSession.sparkContext.broadcast(np.packbits(_common(docs, k)))
+    buckets = max(64, signatures // BUCKET + 1)
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
+    names = ["bucket", "sigs", "nodes"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, marks = Classes(percent), np.unpackbits(common.value).astype(bool)
+        holding(_HASHES)
+        classes, marks = Classes(percent), np.unpackbits(packed.value).astype(bool)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        names = ["bucket", "sigs", "nodes"]
+        seen: set[int] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             sig, node, pairs = _stars(np.concatenate([s for s, _ in held]), np.concatenate([n for _, n in held]))
             held.clear()
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(pairs[0, 0] % 64)], pa.int64()), pa.array([b""]), pa.array([pairs.tobytes()])], names=names)
+                # Pairs are done: buckets below 0 pass them on.
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(pairs[0, 0]) % buckets], pa.int64()), pa.array([b""]), pa.array([pairs.tobytes()])], names=names)
             b = (sig % U(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             sig, node, b = sig[order], node[order], b[order]
@@ -246,11 +301,17 @@ def _candidates(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
 
         waiting = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                full = [s for s in (token_set(t, k) for t in part.column(0).to_pylist()) if len(s)]
-                if full:
-                    held.append(classes.signatures(full, np.array([set_node(s) for s in full], np.int64), marks))
+            for part in pieces(batch, 0):
+                fresh: dict[int, np.ndarray] = {}
+                for text in part.column(0).to_pylist():
+                    found = token_set(text, k)
+                    if len(found) and (node := set_node(found)) not in seen:
+                        seen.add(node)
+                        fresh[node] = found
+                if len(seen) > 200_000:  # a set met again sends the same once more
+                    seen.clear()
+                if fresh:
+                    held.append(classes.signatures([*fresh.values()], np.array([*fresh], np.int64), marks))
                     waiting += len(held[-1][0])
                 if waiting > FLUSH:
                     yield from flush()
@@ -258,17 +319,30 @@ def _candidates(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
         if held:
             yield from flush()
 
-    def meet(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
-        nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), "<i8")
-        if bucket < 0:
-            pairs = np.unique(nodes.reshape(-1, 2), axis=0)
-        else:
-            _, _, pairs = _stars(np.frombuffer(b"".join(table.column("sigs").to_pylist()), "<u8"), nodes)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sigs, nodes = -1, [], []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if sigs:
+                yield _pairs_batch(_stars(np.concatenate(sigs), np.concatenate(nodes))[2])
+                sigs.clear()
+                nodes.clear()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, own = batch.column(0)[i].as_py(), np.frombuffer(batch.column(2)[i].as_py(), "<i8")
+                if bucket < 0:
+                    yield _pairs_batch(own.reshape(-1, 2))
+                    continue
+                if bucket != now:
+                    yield from ended()
+                    now = bucket
+                sigs.append(np.frombuffer(batch.column(1)[i].as_py(), "<u8"))
+                nodes.append(own)
+        yield from ended()
 
     sent = docs.mapInArrow(send, "bucket bigint, sigs binary, nodes binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint")
 
 
 class Block:
@@ -293,6 +367,19 @@ class Block:
         tokens = np.frombuffer(raw, "<u8", -1, 8 + 16 * n)
         return Block(nodes, np.split(tokens, np.cumsum(sizes)[:-1]) if n else [])
 
+    def map(self) -> bytes:
+        """The union's tokens, by ``BITS`` cells."""
+        bits = np.zeros(BITS, bool)
+        bits[(self.union & U(BITS - 1)).astype(np.int64)] = True
+        return zlib.compress(np.packbits(bits).tobytes(), 1)
+
+    def reaches(self, bits: np.ndarray, low: int, high: int, percent: int) -> bool:
+        """Whether some set's overlap with a union's map lets it link with one of the sizes low to high."""
+        doc = np.repeat(np.arange(len(self.nodes)), self.sizes)
+        overlap = np.bincount(doc[bits[(self.tokens & U(BITS - 1)).astype(np.int64)]], minlength=len(self.nodes))
+        fits = (100 * self.sizes >= percent * low) & (percent * self.sizes <= 100 * high)
+        return bool((fits & (100 * overlap >= percent * self.sizes)).any())
+
     def bounded(self, other: Block, percent: int) -> np.ndarray:
         """Places of the sets whose overlap with the other block's union lets them link in it."""
         doc = np.repeat(np.arange(len(self.nodes)), self.sizes)
@@ -365,52 +452,68 @@ def _open(query: Block, group: Block, percent: int) -> np.ndarray:
     return _spanning(np.r_[q.nodes, g.nodes], whole)
 
 
+def _with_totals(rows: DataFrame, keys: list[str], **totals: tuple[Callable[[Column], Column], Column]) -> DataFrame:
+    """``rows`` (node, ...) with totals over the groups of ``keys``, each group dealt to ``SALTS`` parts for the totals and the join."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(len(keys))), F.lit(SALTS)))
+    parts = rows.groupBy(*keys, "salt").agg(*[f(c).alias(k) for k, (f, c) in totals.items()])
+    over = Window.partitionBy(*keys)  # SALTS rows at most
+    parts = parts.select(*keys, "salt", *[f(F.col(k)).over(over).alias(k) for k, (f, _) in totals.items()])
+    return rows.join(parts, [*keys, "salt"]).drop("salt")
+
+
 def _assigned(sets: DataFrame) -> DataFrame:
-    """(node, key, comp, block, blocks, g) of sets (node, key, n, least, comp); g is what travels together. No text is touched."""
-    sizes = sets.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_TOKENS)).cast("bigint")
-    sets = cut(sets.join(sizes.where("size > 1").withColumn("blocks", blocks), "comp"))
+    """(node, key, comp, block, g) of sets (node, key, n, least, comp); g is what travels together. No text is touched.
+
+    A group of one block has block null. A large group is dealt by least token, and
+    what is still too large by hash.
+    """
+    blocks = lambda count, total: F.greatest(F.ceil(F.col(count) / BLOCK_SETS), F.ceil(F.col(total) / BLOCK_TOKENS)).cast("bigint")
+    sets = cut(_with_totals(sets, ["comp"], size=(F.sum, F.lit(1)), total=(F.sum, F.col("n"))).where("size > 1").withColumn("blocks", blocks("size", "total")))
     # Small groups travel together, some thousand sets at a time.
     some = max(64, sets.count() // 2000)
-    small = sets.where("blocks = 1").select("node", "key", "comp", F.lit(0).cast("bigint").alias("block"), "blocks", F.pmod(F.xxhash64("comp"), F.lit(some)).alias("g"))
-    # A large group's order by least token, in ranges that hold some thousand sets at most.
-    large = sets.where("blocks > 1").withColumn("sub", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 4096)).cast("bigint"))
-    large = large.withColumn("range", F.shiftright("least", 8))
-    ranges = large.groupBy("comp", "range", "sub").agg(F.count("*").alias("here"))
-    ranges = ranges.withColumn("before", F.sum("here").over(Window.partitionBy("comp").orderBy("range", "sub")) - F.col("here"))
-    large = large.withColumn("k", F.row_number().over(Window.partitionBy("comp", "range", "sub").orderBy("least", "node")) - 1)
-    large = large.join(ranges.drop("here"), ["comp", "range", "sub"])
-    large = large.withColumn("block", F.floor((F.col("before") + F.col("k")) * F.col("blocks") / F.col("size")).cast("bigint"))
-    return cut(small.unionByName(large.select("node", "key", "comp", "block", "blocks", F.xxhash64("comp", "block").alias("g"))))
-
-
-def _verified(docs: DataFrame, assigned: DataFrame, k: int, percent: int) -> DataFrame:
-    """Spanning pairs of all links inside the groups that ``assigned`` describes."""
+    small = sets.where("blocks = 1").select("node", "key", "comp", F.lit(None).cast("bigint").alias("block"), F.pmod(F.xxhash64("comp"), F.lit(some)).alias("g"))
+    large = sets.where("blocks > 1").withColumn("range", F.pmod(F.xxhash64("least"), F.col("blocks")))
+    large = _with_totals(large, ["comp", "range"], here=(F.sum, F.lit(1)), tokens=(F.sum, F.col("n")))
+    large = large.withColumn("block", F.xxhash64("range", F.pmod(F.xxhash64("node", F.lit(7)), blocks("here", "tokens"))))
+    out = cut(small.unionByName(large.select("node", "key", "comp", "block", F.xxhash64("comp", "block").alias("g"))))
+    discard(sets)
+    return out
+
+
+def _verified(docs: DataFrame, assigned: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Spanning pairs of all links inside the groups that ``assigned`` describes, and the table behind them."""
     # The members' texts are picked without a shuffle of all texts while their table is small.
     few = assigned.count() <= MOST_BROADCAST
-    rows = docs.join(F.broadcast(assigned) if few else assigned, "key").select("node", "comp", "block", "blocks", "g", "text")
+    rows = docs.join(F.broadcast(assigned) if few else assigned, "key").select("node", "comp", "block", "g", "text")
+    schema = pa.schema([(c, pa.binary() if c in ("raw", "map") else pa.int64()) for c in ("a", "b", "comp", "block", "low", "high", "raw", "map")])
 
     def open_blocks(table: pa.Table) -> pa.Table:
-        by: dict[tuple[int, int, int], dict[int, np.ndarray]] = {}
-        for comp, node, text, block, of in zip(*(table.column(c).to_pylist() for c in ("comp", "node", "text", "block", "blocks")), strict=True):
+        by: dict[tuple[int, int | None], dict[int, np.ndarray]] = {}
+        for comp, node, text, block in zip(*(table.column(c).to_pylist() for c in ("comp", "node", "text", "block")), strict=True):
             found = token_set(text, k)
             # Rows of one id and text come more than once.
             if set_node(found) == node:
-                by.setdefault((comp, block, of), {})[node] = found
-        pairs, kept = [], []
-        for (comp, block, of), rows in by.items():
+                by.setdefault((comp, block), {})[node] = found
+        out = []
+        for (comp, block), rows in by.items():
             b = Block(np.array([*rows], np.int64), [*rows.values()])
-            pairs.append(_open(b, b, percent))
-            if of > 1:
-                kept.append((comp, block, of, b.dump()))
-        p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        n, m = len(p), len(kept)
-        column = lambda i, kind: pa.array([None] * n + [r[i] for r in kept], kind)
-        return pa.table({"a": pa.array([*p[:, 0].tolist(), *[None] * m], pa.int64()), "b": pa.array([*p[:, 1].tolist(), *[None] * m], pa.int64()), "comp": column(0, pa.int64()), "block": column(1, pa.int64()), "blocks": column(2, pa.int64()), "raw": column(3, pa.binary())})
-
-    opened = cut(rows.groupBy("g").applyInArrow(open_blocks, "a bigint, b bigint, comp bigint, block bigint, blocks bigint, raw binary"))
+            large = block is not None
+            out += [{"a": x, "b": y, "comp": comp if large else None} for x, y in _open(b, b, percent).tolist()]
+            if large:
+                out.append({"comp": comp, "block": block, "low": int(b.sizes.min()), "high": int(b.sizes.max()), "raw": b.dump(), "map": b.map()})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    kind = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'bigint'}" for f in schema)
+    opened = cut(rows.groupBy("g").applyInArrow(open_blocks, kind))
     inside = opened.where("a is not null").select("a", "b")
-    kept = opened.where("raw is not null").select("comp", "block", "blocks", "raw")
+    kept = opened.where("raw is not null").drop("a", "b")
+    if kept.isEmpty():
+        return inside, opened
+    return inside.unionByName(_across(kept, opened.where("a is not null and comp is not null").select("a", "b"), assigned, percent)), opened
+
+
+def _across(kept: DataFrame, inside: DataFrame, assigned: DataFrame, percent: int) -> DataFrame:
+    """Spanning pairs between the blocks of large groups: ``kept`` (comp, block, low, high, raw, map), with the links ``inside`` them."""
 
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,10 +521,44 @@ def _verified(docs: DataFrame, assigned: DataFrame, k: int, percent: int) -> Dat
                 q, g = (Block.load(batch.column(c)[i].as_py()) for c in (0, 1))
                 yield _pairs_batch(_open(q, g, percent))
 
-    queries = kept.where("block < blocks - 1").withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
-    met = queries.alias("q").join(kept.alias("g"), F.expr("q.comp = g.comp and q.other = g.block"))
-    met = met.select(F.col("q.raw").alias("q"), F.col("g.raw").alias("g"))
-    return inside.unionByName(met.mapInArrow(open_pairs, "a bigint, b bigint"))
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                comp, block, q = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), Block.load(batch.column(2)[i].as_py())
+                others = []
+                for m in batch.column(3)[i].as_py():
+                    if m["settled"] or m["block"] > block:
+                        bits = np.unpackbits(np.frombuffer(zlib.decompress(m["map"]), "u1")).astype(bool)
+                        if q.reaches(bits, m["low"], m["high"], percent):
+                            others.append(m["block"])
+                yield pa.RecordBatch.from_arrays([pa.array([comp] * len(others), pa.int64()), pa.array([block] * len(others), pa.int64()), pa.array(others, pa.int64())], names=["comp", "block", "other"])
+
+    raw = lambda place, name: kept.select("comp", F.col("block").alias(place), F.col("raw").alias(name))
+    places = cut(_with_totals(kept.select("comp", "block", F.col("block").alias("node")), ["comp"], blocks=(F.sum, F.lit(1)), pivot=(F.min, F.col("block"))).drop("node"))
+    # All blocks against their group's pivot, of which SALTS copies travel at most.
+    some = F.least(F.lit(SALTS), F.col("blocks"))
+    pivots = places.where("block = pivot").join(raw("block", "q"), ["comp", "block"]).select("comp", "q", F.explode(F.sequence(F.lit(0).cast("bigint"), some - 1)).alias("salt"))
+    others = places.where("block <> pivot").withColumn("salt", F.pmod(F.xxhash64("block"), some)).join(raw("block", "g"), ["comp", "block"])
+    first = cut(others.join(pivots, ["comp", "salt"]).select("q", "g").mapInArrow(open_pairs, "a bigint, b bigint"))
+    # A block is settled if all its sets are in one component by now, the one that most such blocks of the group are in.
+    labels = components(inside.unionByName(first))
+    sets = assigned.where("block is not null").join(labels, "node", "left").select("comp", "block", F.expr("coalesce(component, node)").alias("label"))
+    state = sets.groupBy("comp", "block").agg(F.min("label").alias("label"), (F.min("label") == F.max("label")).alias("whole")).withColumn("node", F.col("block"))
+    state = _with_totals(state, ["comp", "label"], alike=(F.sum, F.col("whole").cast("int")))
+    state = _with_totals(state, ["comp"], most=(F.max, F.struct("alike", "label")))
+    state = places.join(state.select("comp", "block", (F.col("whole") & (F.col("most.label") == F.col("label"))).alias("settled")), ["comp", "block"]).where("block <> pivot")
+    state = cut(state.withColumn("chunks", F.ceil(F.col("blocks") / MAPS)))
+    # Blocks that aren't settled against all others: the bounds first, then the sets.
+    maps = state.join(kept, ["comp", "block"]).select("comp", F.pmod(F.xxhash64("block"), F.col("chunks")).alias("chunk"), F.struct("block", "settled", "low", "high", "map").alias("m"))
+    maps = maps.groupBy("comp", "chunk").agg(F.collect_list("m").alias("maps"))
+    queries = state.where("not settled").select("comp", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
+    queries = queries.join(raw("block", "q"), ["comp", "block"]).join(maps, ["comp", "chunk"]).select("comp", "block", "q", "maps")
+    reached = cut(queries.mapInArrow(bounds, "comp bigint, block bigint, other bigint"))
+    met = reached.join(raw("block", "q"), ["comp", "block"]).join(raw("other", "g"), ["comp", "other"]).select("q", "g")
+    out = cut(first.unionByName(met.mapInArrow(open_pairs, "a bigint, b bigint")))
+    for table in (places, first, labels, state, reached):
+        discard(table)
+    return out
 
 
 def _once(rows: DataFrame, records: DataFrame, text_col: str, key: str = "key") -> DataFrame:
@@ -440,14 +577,18 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = rows.select("text")
-    records = cut(set_records(rows, words))
-    total = records.agg(F.sum("n")).first()[0] or 0
+    written = cut(_records(rows, words, percent))
+    records = written.where("cells is null").select("id", "key", "node", "n", "least", "sigs")
+    tokens, signatures = (x or 0 for x in records.agg(F.sum("n"), F.sum("sigs")).first())
+    common = _common(written.where("cells is not null").select("cells"), tokens)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key"))
     classes = cut(records.where("n > 0").groupBy("node").agg(first.alias("first"), F.max("n").alias("n"), F.min("least").alias("least")))
-    rough = components(_candidates(texts, words, percent, total))
-    members = rough.withColumnRenamed("component", "comp").join(classes.select("node", "first.key", "n", "least"), "node")
-    found = components(_verified(_once(rows.select("key", "text"), records, "text"), _assigned(members), words, percent))
+    rough = components(_candidates(rows.select("text"), words, percent, signatures, common))
+    assigned = _assigned(rough.withColumnRenamed("component", "comp").join(classes.select("node", "first.key", "n", "least"), "node"))
+    pairs, behind = _verified(_once(rows.select("key", "text"), records, "text"), assigned, words, percent)
+    found = components(pairs)
+    for table in (rough, assigned, behind):
+        discard(table)
     return records, classes.join(found, "node", "left").select("node", F.expr("coalesce(component, node)").alias("c"), "first")
 
 

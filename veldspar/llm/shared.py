@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space; words of most operators are the runs between it.
@@ -15,8 +17,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder is made and set.
+    Only where the session names none and runs on one machine, as in tests, a temporary
+    folder is made and set; a cluster without one is refused.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -25,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="veldspar-")
     sc.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
 
 
+#: What a batch between the JVM and Python may hold while a table is cut; blocks of sets are large rows.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder, without its lineage.
 
@@ -38,7 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = fresh_dir(spark, "cut")
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH[0])
+    spark.conf.set(*BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH[0], before)
     out = spark.read.schema(schema).parquet(path)
     out.__dict__["cut_path"] = path
     return out
@@ -70,6 +83,35 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def pieces(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, of so many rows and about so many bytes of text in ``column`` at most."""
+    lo = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > lo and (i - lo >= rows or held + n > size):
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
+#: Caches that worker processes keep between tasks.
+_CACHES: list[dict] = []
+
+
+def worker_cache(cache: dict) -> dict:
+    """``cache``, emptied as soon as another operator's tasks run in the same worker."""
+    _CACHES.append(cache)
+    return cache
+
+
+def holding(cache: dict | None) -> None:
+    """Called by a task: what other operators left in this worker goes."""
+    for other in _CACHES:
+        if other is not cache:
+            other.clear()
+
+
 class Numbered(dict):
     """Strings numbered as they first come; ``fresh`` has those not settled yet.
 

@@ -17,8 +17,10 @@ retried and speculative tasks do no harm.
 Plan: one range shuffle by document id (ties by text), then encode and write in
 the same task, batch by batch; the driver sees one row for each file.
 
-Defined results: a null text is empty; a null document id sorts first; repeated
-rows are kept, each with its own slot; an empty table gives an empty manifest.
+Defined results: a null text is empty; a very long one is encoded whole; a null document
+id sorts first, ids that are no numbers are refused; documents of one id are ordered by a
+hash of the text; repeated rows are kept, each with its own slot; other columns are not
+read; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Numbered, require
+from .shared import Numbered, holding, require, worker_cache
 
 #: White_Space of Unicode (fixed values). A token of a byte-level BPE never
 #: runs over a border from another character to one of these.
@@ -122,10 +124,11 @@ class Encoder:
             self._empty()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = worker_cache({})
 
 
 def encoder(path: str) -> Encoder:
+    holding(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
