@@ -7,21 +7,24 @@ occurs in any item. Every word inside an occurrence of a *window* (``window``
 consecutive item words, or a whole item that is shorter) is hit.
 
 Plan: one narrow pass over the documents without a shuffle. The benchmark is
-dealt into shards of at most ``max_shard_words`` words by a prefix sum, so that
-what is broadcast has a bound whatever the benchmark's size; more than one shard
-means more than one pass, each cut by a checkpoint.
+dealt into shards of about ``max_shard_words`` words by a prefix sum over blocks whose
+number follows its size, so what is gathered and broadcast has a bound whatever the
+benchmark's size; more than one shard means more than one pass, each cut by a written
+table. The driver makes the automaton and flattens it to arrays of some 60 bytes
+a word, beside the vocabulary.
 
 Defined results: a null or empty text has no words and no hits and stays as it
-is; a null or empty item has no windows; repeated documents and items are
-treated one by one (an item id that occurs twice counts once); a null item id
-is written ``null``; empty tables give empty results or no hits. Columns
-besides id and text pass through untouched, whatever their names.
+is; a null or empty item has no windows; repeated documents are
+treated one by one and repeated items once; a null item id
+is written ``null``; very long texts are read whole; empty tables give empty results or no
+hits. Columns besides id and text pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,13 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, require, spare
+from .shared import cut, discard, require, spare
 
 #: Words are runs of ASCII letters and digits and of all characters beyond ASCII.
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-#: Bound of what is broadcast: an automaton of n words has fewer than 2n states.
-MAX_SHARD_WORDS = 1_000_000
+#: What a text's hits are: words, merged spans of words and their characters, ids of the items.
+HITS = "struct<n_words: bigint, spans: array<struct<start: bigint, end: bigint, first: bigint, last: bigint>>, items: array<string>>"
+#: Bound of what is gathered and broadcast: an automaton of n words has fewer than 2n states and 3n transitions.
+MAX_SHARD_WORDS = 250_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -44,25 +49,31 @@ def words_of(text: str | None) -> list[str]:
 
 
 class SuffixAutomaton:
-    """All substrings (of words) of the items given, with the items that hold each window."""
+    """All substrings (of words) of the items given, with the items that hold each window.
+
+    It is made with a dictionary for each state and kept as arrays: the transitions of
+    state v are ``words`` and ``to`` from ``first[v]`` to ``first[v + 1]``, by word number.
+    """
 
     def __init__(self, items: list[tuple[str, list[str]]], window: int):
         self.window = window
         self.next: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length = array("i", [-1]), array("i", [0])
         for _, words in items:
             last = 0
             for w in words:
                 last = self._extend(last, w)
         n = len(self.next)
         # The state of the suffix of ``window`` words of a state's string: itself or an ancestor.
-        self.cut = [-1] * n
+        self.cut = array("i", [-1]) * n
         order = sorted(range(n), key=self.length.__getitem__)
         for v in order[1:]:
             if self.length[v] >= window:
                 up = self.link[v]
                 self.cut[v] = self.cut[up] if self.length[up] >= window else v
-        holders: dict[int, set[str]] = defaultdict(set)
+        self.items = list(dict.fromkeys(item for item, _ in items))
+        number = {item: k for k, item in enumerate(self.items)}
+        holders: set[tuple[int, int]] = set()
         whole: dict[int, set[tuple[int, str]]] = defaultdict(set)
         for item, words in items:
             if 0 < len(words) < window:
@@ -73,16 +84,29 @@ class SuffixAutomaton:
             else:
                 v = length = 0
                 for w in words:
-                    v, length = self.step(v, length, w)
+                    v, length = self._step(v, length, w)
                     if length >= window:
-                        holders[self.cut[v]].add(item)
-        self.holders = {v: frozenset(x) for v, x in holders.items()}
-        # Short items that end where a state's string ends: its own and its ancestors'.
-        self.short: dict[int, tuple[tuple[int, str], ...]] = {}
+                        holders.add((self.cut[v], number[item]))
+        # Items of each window's state, from held[v] to held[v + 1].
+        held = [0] * (n + 1)
+        for v, _ in holders:
+            held[v + 1] += 1
+        for v in range(n):
+            held[v + 1] += held[v]
+        self.held, self.holders = array("i", held), array("i", [k for _, k in sorted(holders)])
+        # Short items that end where a state's string ends: its own, then those of the state that ``short`` tells.
+        self.whole = {v: tuple(sorted(x)) for v, x in whole.items()}
+        self.short = array("i", [0]) * n
         for v in order[1:]:
-            found = (*self.short.get(self.link[v], ()), *sorted(whole.get(v, ())))
-            if found:
-                self.short[v] = found
+            self.short[v] = v if v in whole else self.short[self.link[v]]
+        self.vocabulary = {w: k for k, w in enumerate(self.next[0])}
+        self.first, self.words, self.to = array("i", [0]), array("i"), array("i")
+        for moves in self.next:
+            for k, v in sorted((self.vocabulary[w], v) for w, v in moves.items()):
+                self.words.append(k)
+                self.to.append(v)
+            self.first.append(len(self.to))
+        del self.next
 
     def _extend(self, last: int, w: str) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -116,7 +140,7 @@ class SuffixAutomaton:
             p = link[p]
         return made
 
-    def step(self, v: int, length: int, w: str) -> tuple[int, int]:
+    def _step(self, v: int, length: int, w: str) -> tuple[int, int]:
         """State and longest matching length after one more word."""
         nxt = self.next
         to = nxt[v].get(w)
@@ -130,27 +154,28 @@ class SuffixAutomaton:
 
     def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged hit spans [start, end) in words, and the items with occurring windows."""
-        window, nxt, link, lengths, cut_of, short = self.window, self.next, self.link, self.length, self.cut, self.short
+        window, link, lengths, cut_of, short = self.window, self.link, self.length, self.cut, self.short
+        first, moves, to = self.first, self.words, self.to
         spans: list[tuple[int, int]] = []
         states: set[int] = set()
         items: set[str] = set()
         v = length = 0
-        root = nxt[0]
-        for i, w in enumerate(words):
-            if v == 0:
-                v = root.get(w, 0)
-                length = 1 if v else 0
-            else:
-                to = nxt[v].get(w)
-                while to is None and v:
-                    v = link[v]
-                    length = lengths[v]
-                    to = nxt[v].get(w)
-                if to is None:
-                    v = length = 0
-                else:
-                    v = to
+        for i, w in enumerate(map(self.vocabulary.get, words)):
+            if w is None:
+                v = length = 0
+                continue
+            # The root has a move for every word, at its number's place.
+            while v:
+                end = first[v + 1]
+                k = bisect_left(moves, w, first[v], end)
+                if k < end and moves[k] == w:
+                    v = to[k]
                     length += 1
+                    break
+                v = link[v]
+                length = lengths[v]
+            else:
+                v, length = to[w], 1
             if length >= window:
                 states.add(cut_of[v])
                 start = i + 1 - window
@@ -158,13 +183,15 @@ class SuffixAutomaton:
                     spans[-1] = (min(start, spans[-1][0]), i + 1)
                 else:
                     spans.append((start, i + 1))
-            if v in short:
-                for n, item in short[v]:
+            s = short[v]
+            while s:
+                for n, item in self.whole[s]:
                     if n <= length:
                         items.add(item)
                         spans.append((i + 1 - n, i + 1))
+                s = short[link[s]]
         for s in states:
-            items |= self.holders.get(s, frozenset())
+            items.update(self.items[k] for k in self.holders[self.held[s] : self.held[s + 1]])
         return merged(spans), items
 
 
@@ -179,11 +206,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[list[tuple[str, list[str]]]]:
-    """The items' words, at most about ``most`` at a time on the driver.
+    """The items' words, about ``most`` at a time on the driver.
 
-    Shards follow prefix sums of item lengths, taken over blocks of items by
-    hash so that no task sees them all. An item longer than a shard is cut into
-    pieces that overlap by ``window`` - 1 words, which keeps its windows.
+    Shards follow prefix sums of lengths, taken over blocks (by hash) of about a 16th of a
+    shard each. An item is cut into pieces of no more than that, which overlap by
+    ``window`` - 1 words, which keeps its windows; equal pieces count once.
     """
 
     @F.pandas_udf("array<string>")
@@ -191,19 +218,21 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, mos
         return texts.map(lambda t: words_of(t))
 
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), split(F.col(text_col)).alias("words")).where("size(words) > 0")
-    long = max(most, 2 * window)
+    long = max(most // 16, 2 * window)
     items = items.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - F.lit(window)), F.lit(long)))).select("item", F.expr(f"slice(words, at + 1, {long + window - 1})").alias("words"))
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     if total <= most:
         if total:
             yield [(r.item, r.words) for r in items.collect()]
         return
-    items = cut(items.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(4096))))
+    items = cut(items.distinct().withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(16 * (total // most + 1)))))
     blocks = items.groupBy("block").agg(F.sum(F.size("words")).alias("n"))
-    starts = blocks.withColumn("shard", F.floor((F.sum("n").over(Window.orderBy("block")) - F.col("n")) / F.lit(most)))
+    starts = cut(blocks.withColumn("shard", F.floor((F.sum("n").over(Window.orderBy("block")) - F.col("n")) / F.lit(most))))
     for (shard,) in starts.select("shard").distinct().orderBy("shard").collect():
         chosen = [r.block for r in starts.where(F.col("shard") == shard).collect()]
         yield [(r.item, r.words) for r in items.where(F.col("block").isin(chosen)).collect()]
+    discard(items)
+    discard(starts)
 
 
 def find_hits(
@@ -219,62 +248,55 @@ def find_hits(
 ) -> DataFrame:
     """``docs`` with one more column, named ``hits_col``.
 
-    It is ``struct<n_words, spans: array<struct<start, end>>, items:
+    It is ``struct<n_words, spans: array<struct<start, end, first, last>>, items:
     array<string>>``: the text's words, the merged hit spans in words (end
-    exclusive) and the ids of items with windows in it.
+    exclusive) and characters, and the ids of items with windows in it.
     """
     require(docs, text_col)
     require(benchmark, item_col, item_text_col)
-    hits = "struct<n_words: bigint, spans: array<struct<start: bigint, end: bigint>>, items: array<string>>"
-    shards = _shards(benchmark, item_col, item_text_col, window, max_shard_words)
     out = None
-    for shard in shards:
+    for shard in _shards(benchmark, item_col, item_text_col, window, max_shard_words):
         if out is not None:
             out = cut(out)
-        out = _scan_pass(docs if out is None else out, shard, text_col, window, hits, hits_col, out is None)
-    return out if out is not None else _scan_pass(docs, [], text_col, window, hits, hits_col, True)
+        out = _scan_pass(docs if out is None else out, shard, text_col, window, hits_col, out is None)
+    return out if out is not None else _scan_pass(docs, [], text_col, window, hits_col, True)
 
 
-def _scan_pass(
-    docs: DataFrame, items: list[tuple[str, list[str]]], text_col: str, window: int, hits: str, hits_col: str, first: bool
-) -> DataFrame:
-    spark = docs.sparkSession
-    shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
-    kind = T._parse_datatype_string(hits)
+def _scan_pass(docs: DataFrame, items: list[tuple[str, list[str]]], text_col: str, window: int, hits_col: str, first: bool) -> DataFrame:
+    """One pass over the texts; the hits of passes before it are added to.
 
-    @F.pandas_udf(kind)
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        automaton = _automaton(name, shared, window)
+    ``hits_col`` also tells where a text's hit spans begin and end in characters, so that they
+    can be cut without Python.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(items, window))
+
+    def found(texts: pd.Series, before: list) -> pd.DataFrame:
+        automaton = shared.value
         rows = []
-        for text in texts:
+        for text, old in zip(texts, before, strict=True):
             words = words_of(text)
-            spans, found = automaton.scan(words)
-            rows.append((len(words), [{"start": a, "end": b} for a, b in spans], sorted(found)))
+            spans, names = automaton.scan(words)
+            if old is not None:
+                spans = merged([*spans, *((int(x["start"]), int(x["end"])) for x in old["spans"])])
+                names |= set(old["items"])
+            at = [m.span() for m in WORDS.finditer(text.translate(LOWER))] if spans else []
+            rows.append((len(words), [{"start": a, "end": b, "first": at[a][0], "last": at[b - 1][1]} for a, b in spans], sorted(names)))
         return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    # Otherwise a filter on the result would make Spark run the scan twice.
-    scan = scan.asNondeterministic()
     if first:
-        return docs.withColumn(hits_col, scan(F.col(text_col)))
-    more = spare(docs, "_more")
-    new = docs.withColumn(more, scan(F.col(text_col)))
-    both = F.struct(
-        F.col(f"{hits_col}.n_words").alias("n_words"),
-        F.concat(f"{hits_col}.spans", f"{more}.spans").alias("spans"),
-        F.array_distinct(F.concat(f"{hits_col}.items", f"{more}.items")).alias("items"),
-    )
-    return new.withColumn(hits_col, both).drop(more)
 
+        @F.pandas_udf(T._parse_datatype_string(HITS))
+        def scan(texts: pd.Series) -> pd.DataFrame:
+            return found(texts, [None] * len(texts))
 
-_BUILT: dict[str, SuffixAutomaton] = {}
+    else:
 
+        @F.pandas_udf(T._parse_datatype_string(HITS))
+        def scan(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+            return found(texts, before.to_dict("records"))
 
-def _automaton(name: str, shared, window: int) -> SuffixAutomaton:
-    """The automaton of a pass, built once in each worker."""
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = SuffixAutomaton(shared.value, window)
-    return _BUILT[name]
+    # Otherwise a filter on the result would make Spark run the scan twice.
+    return docs.withColumn(hits_col, scan.asNondeterministic()(*[F.col(c) for c in ([text_col] if first else [text_col, hits_col])]))
 
 
 def hit_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -310,30 +332,17 @@ def clean(
     names = docs.columns
     hits, new = spare(docs, "_hits"), spare(docs, "_new")
     found = find_hits(docs, benchmark, text_col=text_col, hits_col=hits, **options)
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, hits: pd.DataFrame) -> pd.Series:
-        out = []
-        for text, spans, n in zip(texts, hits["spans"], hits["n_words"], strict=True):
-            spans = merged([(int(s["start"]), int(s["end"])) for s in spans])
-            if not spans:
-                out.append(text)
-                continue
-            if sum(b - a for a, b in spans) > max_coverage * n:
-                out.append(None)
-                continue
-            at = [m.span() for m in WORDS.finditer(text.translate(LOWER))]
-            parts, last = [], 0
-            for a, b in spans:
-                parts.append(text[last : at[a][0]].rstrip(" "))
-                last = at[b - 1][1]
-            parts.append(text[last:].lstrip(" "))
-            out.append(" ".join(parts))
-        return pd.Series(out, dtype=object)
-
-    without = without.asNondeterministic()
+    h, text = f"`{hits}`", f"`{text_col}`"
+    covered = F.expr(f"aggregate({h}.spans, 0L, (n, s) -> n + s.end - s.start)")
+    # The texts before each span and after the last one, in one pass over the spans.
+    pieces = F.expr(
+        f"aggregate({h}.spans, named_struct('at', 0L, 'out', cast(array() as array<string>)),"
+        f" (a, s) -> named_struct('at', s.last, 'out', array_append(a.out, rtrim(substring({text}, int(a.at) + 1, int(s.first - a.at))))),"
+        f" a -> array_append(a.out, ltrim(substring({text}, int(a.at) + 1))))"
+    )
     hit = F.size(f"{hits}.spans") > 0
-    out = found.withColumn(new, without(F.col(text_col), F.col(hits))).where(~hit | F.col(new).isNotNull())
+    out = found.where(~hit | (covered <= F.lit(float(max_coverage)) * F.col(f"{hits}.n_words")))
+    out = out.withColumn(new, F.when(hit, F.array_join(pieces, " ")))
     out = out.withColumn(text_col, F.when(hit, F.col(new)).otherwise(F.col(text_col)))
     if count_col:
         out = out.withColumn(count_col, F.when(hit, F.length(text_col).cast("bigint")).otherwise(F.col(count_col)))
