@@ -11,15 +11,17 @@ Turns are written ``<|im_start|>role\\ntext<|im_end|>\\n``. A control string
 inside a text or role gets one more backslash before its first bar, whatever
 stands there already, so that ``unescaped`` gives the text back.
 
-Plan: a turn's place in the sums comes from two levels, sums over ranges of
-turns and sums inside a range, so no task needs a whole conversation; windows
-are gathered by conversation and window, which the budget bounds (every turn
+Plan: the windows are planned on numbers alone. A turn's place in the sums comes from two
+levels, sums over ranges of turns and sums inside a range, so no task needs a whole
+conversation; the plan lists for each turn the windows that show it. Texts are shuffled
+twice: by range, to be numbered and meet their range's plan, and by conversation and
+window. A window is bounded by the budget (every turn
 measures 4 at least). A turn of more than half the budget can put its window
 over it; it is not cut.
 
 Defined results: a null text or role is empty; a null turn comes first; equal
-turns are ordered by role and text; rows of a null conversation id are one
-conversation; repeated rows are turns of their own; an empty table gives no
+turns are ordered by role and a hash of the text; rows of a null conversation id are one
+conversation; repeated rows are turns of their own; a very long text is one turn, whole; an empty table gives no
 windows; columns besides the four named are not read.
 """
 
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import require
+from .shared import cut, require
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Bars of control strings, after any number of backslashes.
@@ -83,55 +85,63 @@ def windows(
     ``nth`` counts the conversation's turns from 0.
     """
     require(turns, conv_col, turn_col, role_col, text_col)
+    # A struct is a key that is never null.
     rows = turns.select(
-        F.col(conv_col).alias("conv_id"),
+        F.struct(F.col(conv_col).alias("id")).alias("conv"),
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    rows = rows.withColumn("size", F.greatest(measure(F.col("text")), F.lit(0)) + 4)
-    # Ranges of turn numbers; a null turn is in a range before all others.
-    rows = rows.withColumn("range", F.coalesce(F.floor(F.col("turn") / range_size).cast("bigint"), F.lit(-(1 << 62))))
-    inside = Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text")
-    rows = rows.withColumn("k", (F.row_number().over(inside) - 1).cast("bigint"))
-    rows = rows.withColumn("sum_in", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    totals = rows.groupBy("conv_id", "range").agg(F.count("*").alias("n"), F.sum("size").alias("sum"))
-    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("conv_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum_before"))
-    same = F.expr("coalesce(r.conv_id, 0) = coalesce(t.conv_id, 0) and r.conv_id <=> t.conv_id and r.range = t.range")
-    head, body = escaped(F.col("r.role")), escaped(F.col("r.text"))
-    rows = rows.alias("r").join(totals.alias("t"), same).select(
-        "r.conv_id",
-        (F.col("n_before") + F.col("k")).alias("nth"),
-        F.floor((F.col("sum_before") + F.col("sum_in")) / max(1, budget // 2)).cast("bigint").alias("window"),
-        "r.role",
-        "r.size",
-        (F.length(head) + len(START) + 1).cast("bigint").alias("head"),
-        F.concat(F.lit(START), head, F.lit("\n"), body, F.lit(END + "\n")).alias("shown"),
-    )
-    turn = "named_struct('nth', r.nth, 'role', r.role, 'new', {}, 'head', r.head, 'shown', r.shown)"
-    columns = lambda window, new, rank: ["r.conv_id", f"{window} as window", f"{rank} as rank", "r.size", f"{turn.format(new)} as turn"]
-    parts = rows.alias("r").selectExpr(*columns("r.window", "true", 0))
+        # Ranges of turn numbers; a null turn is in a range before all others.
+        F.coalesce(F.floor(F.col(turn_col) / range_size).cast("bigint"), F.lit(-(1 << 62))).alias("range"),
+    ).withColumn("hash", F.xxhash64("text"))
+    inside = Window.partitionBy("conv", "range").orderBy("turn", "role", "hash")
+    number = (F.row_number().over(inside) - 1).alias("k")
+
+    # The plan, without texts: which windows show turn k of a range.
+    light = rows.select("conv", "range", "turn", "role", "hash", (F.greatest(measure(F.col("text")), F.lit(0)) + 4).alias("size"))
+    light = light.select("conv", "range", "size", (F.col("role") == "system").alias("system"), number, (F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("sum_in"))
+    totals = light.groupBy("conv", "range").agg(F.count("*").alias("n"), F.sum("size").alias("sum"))
+    before = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("conv", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum_before"))
+    window = F.floor((F.col("sum_before") + F.col("sum_in")) / max(1, budget // 2)).cast("bigint")
+    light = cut(light.join(totals, ["conv", "range"]).select("conv", "range", "k", (F.col("n_before") + F.col("k")).alias("nth"), window.alias("window"), "size", "system"))
+    place = ["conv", "range", "k", "nth", "size"]
+    parts = light.select(*place, "window", F.lit(0).alias("rank"))
     # The system turn, once more for every later window.
-    shown = rows.select("conv_id", "window").distinct()
-    kept = F.expr("coalesce(w.conv_id, 0) = coalesce(r.conv_id, 0) and w.conv_id <=> r.conv_id and w.window > r.window")
-    system = rows.where("nth = 0 and role = 'system'")
-    parts = parts.unionByName(shown.alias("w").join(system.alias("r"), kept).selectExpr(*columns("w.window", "false", 1)))
+    system = light.where("nth = 0 and system").select(*place, F.col("window").alias("own"))
+    later = light.select("conv", "window").distinct().join(system, "conv").where("window > own")
+    parts = parts.unionByName(later.select(*place, "window", F.lit(1).alias("rank")))
     if history:
         # Turns before a window's first, looked up by number.
-        back = rows.groupBy("conv_id", "window").agg(F.min("nth").alias("first"))
-        back = back.where("first > 0").select("conv_id", "window", F.explode(F.expr(f"sequence(greatest(first - {history}, 0L), first - 1)")).alias("nth"))
-        again = F.expr("coalesce(a.conv_id, 0) = coalesce(r.conv_id, 0) and a.conv_id <=> r.conv_id and a.nth = r.nth and not (r.nth = 0 and r.role = 'system')")
-        parts = parts.unionByName(back.alias("a").join(rows.alias("r"), again).selectExpr(*columns("a.window", "false", 2)))
-        first_come = Window.partitionBy("conv_id", "window").orderBy("rank", F.desc("turn.nth"))
+        back = light.groupBy("conv", "window").agg(F.min("nth").alias("first"))
+        back = back.where("first > 0").select("conv", "window", F.explode(F.expr(f"sequence(greatest(first - {history}, 0L), first - 1)")).alias("nth"))
+        again = back.join(light.drop("window"), ["conv", "nth"]).where("not (nth = 0 and system)")
+        parts = parts.unionByName(again.select(*place, "window", F.lit(2).alias("rank")))
+        first_come = Window.partitionBy("conv", "window").orderBy("rank", F.desc("nth"))
         parts = parts.withColumn("total", F.sum("size").over(first_come)).where(f"rank < 2 or total <= {int(budget)}")
-    made = parts.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.sum("size").alias("size"))
+    # A system turn can be in very many windows; they meet it by a join, all others in their range's map.
+    shows = parts.where("rank <> 1").groupBy("conv", "range", "k", "nth").agg(F.collect_list(F.struct("window", (F.col("rank") == 0).alias("new"), "size")).alias("windows"))
+    shows = shows.groupBy("conv", "range").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("nth", "windows")))).alias("plan"))
+
+    # The texts, once.
+    head, body = escaped(F.col("role")), escaped(F.col("text"))
+    texts = rows.select("conv", "range", "turn", "role", "hash", (F.length(head) + len(START) + 1).cast("bigint").alias("head"), F.concat(F.lit(START), head, F.lit("\n"), body, F.lit(END + "\n")).alias("shown"))
+    texts = texts.select("conv", "range", number, "role", "head", "shown")
+    turn = lambda new: F.struct("nth", "role", new.alias("new"), "head", "shown").alias("turn")
+    met = texts.join(shows, ["conv", "range"]).select("conv", "role", "head", "shown", F.element_at("plan", F.col("k")).alias("p"))
+    met = met.select("conv", "role", "head", "shown", F.col("p.nth").alias("nth"), F.explode("p.windows").alias("w"))
+    parts_of = met.select("conv", "w.window", "w.size", turn(F.col("w.new")))
+    firsts = texts.join(system.select("conv", "range", "k", "nth", "size", "own"), ["conv", "range", "k"])
+    windows_of = light.select("conv", "window").distinct()
+    repeated = windows_of.join(firsts, "conv").where("window > own").select("conv", "window", "size", turn(F.lit(False)))
+    parts = parts_of.unionByName(repeated)
+    made = parts.groupBy("conv", "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.sum("size").alias("size"))
     spans = F.expr(
         "aggregate(turns, named_struct('at', 0L, 'parts', cast(array() as array<struct<nth: bigint, role: string, new: boolean, start: bigint, end: bigint>>)),"
         " (a, t) -> named_struct('at', a.at + char_length(t.shown), 'parts', array_append(a.parts, named_struct('nth', t.nth, 'role', t.role, 'new', t.new,"
         f" 'start', a.at + t.head, 'end', a.at + char_length(t.shown) - {len(END) + 1}))), a -> a.parts)"
     )
-    made = made.select("conv_id", "window", "size", spans.alias("parts"), F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("text"))
+    made = made.select(F.col("conv.id").alias("conv_id"), "window", "size", spans.alias("parts"), F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("text"))
     loss = F.transform(F.filter("parts", lambda p: p["new"] & (p["role"] == "assistant")), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
     return made.select("conv_id", "window", "size", "parts", "text", loss.alias("loss"))
 
@@ -140,42 +150,62 @@ def read_back(made: DataFrame) -> DataFrame:
     """Per conversation, from its windows: conv_id, n_turns, turns_sha256,
     loss_chars, loss_sha256, formatted_chars.
 
-    The turns (role, line end, text, line end) and the texts under the loss
-    mask are digested in order as they stream by, so a long conversation takes
-    no memory.
+    Roles and texts are those of the written text. What a window adds (its new turns, and where the loss
+    mask is in them) is taken out first, so each turn travels once; the digests are made in order
+    as that streams by, so a long conversation takes no memory.
     """
-    rows = made.select("conv_id", "window", "text", F.col("parts"), F.col("loss"))
-    total = made.groupBy("conv_id").agg(F.sum(F.length("text")).cast("bigint").alias("formatted_chars"))
     count = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = made.schema["conv_id"].dataType
+    kind = of.simpleString()
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, parts, loss in zip(*(batch.column(c).to_pylist() for c in ("text", "parts", "loss")), strict=True):
+                said, learned, n, at, begin = [], [], 0, 0, 0
+                masked = {(x["start"], x["end"]) for x in loss}
+                for p in parts:
+                    start, end = p["start"], p["end"]
+                    if p["new"]:
+                        role, own = unescape(text[begin + len(START) : start - 1]), unescape(text[start:end])
+                        said.append(f"{role}\n{own}\n")
+                        n += 1
+                        if (start, end) in masked:
+                            masked.remove((start, end))
+                            learned.append({"start": at + len(role) + 1, "end": at + len(role) + 1 + len(own)})
+                        at += len(said[-1])
+                    begin = end + len(END) + 1
+                if masked:
+                    raise ValueError("the loss mask covers what is no new turn's text")
+                out.append({"n": n, "said": "".join(said), "learned": learned, "chars": len(text)})
+            found = pa.Table.from_pylist(out, schema=taken).combine_chunks()
+            if len(out):
+                yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("window"), *(c.chunk(0) for c in found.columns)], names=["conv_id", "window", *taken.names])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
 
         def row() -> pa.RecordBatch:
             (conv,) = now
-            return pa.RecordBatch.from_pylist([{"conv_id": conv, "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest()}], schema=found)
+            return pa.RecordBatch.from_pylist([{"conv_id": conv, "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4]}], schema=found)
 
         for batch in batches:
             for w in batch.to_pylist():
                 if now != (w["conv_id"],):
                     if now is not None:
                         yield row()
-                    now, state = (w["conv_id"],), [0, hashlib.sha256(), 0, hashlib.sha256()]
-                for p in w["parts"]:
-                    if p["new"]:
-                        text = unescape(w["text"][p["start"] : p["end"]])
-                        state[0] += 1
-                        state[1].update(f"{p['role']}\n{text}\n".encode())
-                for p in w["loss"]:
-                    text = unescape(w["text"][p["start"] : p["end"]])
-                    state[2] += len(text)
-                    state[3].update(text.encode())
+                    now, state = (w["conv_id"],), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                state[0] += w["n"]
+                state[1].update(w["said"].encode())
+                for p in w["learned"]:
+                    state[2] += p["end"] - p["start"]
+                    state[3].update(w["said"][p["start"] : p["end"]].encode())
+                state[4] += w["chars"]
         if now is not None:
             yield row()
 
-    kind = made.schema["conv_id"].dataType.simpleString()
-    found = pa.schema([("conv_id", to_arrow_type(made.schema["conv_id"].dataType)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string())])
-    dealt = rows.repartition(count, "conv_id").sortWithinPartitions("conv_id", "window")
-    digests = dealt.mapInArrow(task, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string")
-    same = F.expr("coalesce(d.conv_id, 0) = coalesce(t.conv_id, 0) and d.conv_id <=> t.conv_id")
-    return digests.alias("d").join(total.alias("t"), same).select("d.*", "t.formatted_chars")
+    taken = pa.schema([("n", pa.int64()), ("said", pa.string()), ("learned", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("chars", pa.int64())])
+    found = pa.schema([("conv_id", to_arrow_type(of)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    added = made.select("conv_id", "window", "text", "parts", "loss").mapInArrow(take, f"conv_id {kind}, window bigint, n bigint, said string, learned array<struct<start: bigint, end: bigint>>, chars bigint")
+    dealt = added.repartition(count, "conv_id").sortWithinPartitions("conv_id", "window")
+    return dealt.mapInArrow(digest, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
