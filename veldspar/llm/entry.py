@@ -44,7 +44,7 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), vocabulary=tokenizer_path("byte_bpe_50k.json"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = joined(F.filter("spans", lambda s: s["kind"] != "guess"))
