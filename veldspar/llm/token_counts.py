@@ -9,15 +9,22 @@ part in later ranks is applied at all its places in a sequence in one round
 leftmost place alone. Symbols outside the vocabulary count one for each UTF-8
 byte, as byte fallback does.
 
+A pre-token of more than ``LONG`` symbols would take a round for each rank that
+occurs in it, so its places are kept by rank: a round looks at the lowest rank's places
+alone, and a merge looks up the two new pairs. Its work follows its length.
+
 Counts of pre-tokens are remembered up to a bound. One narrow pass, no shuffle.
 
-Defined results: a null text is empty and has 0 bytes and tokens; repeated rows
+Defined results: a null text is empty and has 0 bytes and tokens; very long texts and
+words are counted whole; of equal ranks the leftmost place goes first; repeated rows
 and further columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Numbered, require
+from .shared import Numbered, holding, pieces, require, worker_cache
 
 NONE = np.iinfo(np.int64).max
+#: Symbols of a pre-token above which its places are kept by rank.
+LONG = 256
 
 
 class PieceMerger:
@@ -89,14 +98,18 @@ class PieceMerger:
 
     def merge(self, words: list[str]) -> np.ndarray:
         """Numbers of surviving symbols (or bytes) of each sequence."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            total = np.zeros(len(words), np.int64)
+            total[long] = [self.merge_long(words[i]) for i in long]
+            short = np.flatnonzero(lengths <= LONG)
+            total[short] = self.merge([words[i] for i in short])
+            return total
         total = np.zeros(len(words), np.int64)
         if not words:
             return total
-        lengths = np.array([len(w) for w in words])
-        text = "".join(words)
-        sym = np.array([self.chars.get(c, self.other) for c in text], np.int64)
-        rest = np.array([1 if c in self.chars else len(c.encode()) for c in text], np.int64) if (sym == self.other).any() else np.ones(len(text), np.int64)
-        rest = np.where(sym == self.other, rest, self.cost[sym])
+        sym, rest = self._symbols("".join(words))
         seq = np.repeat(np.arange(len(words)), lengths)
         while len(sym):
             key = sym[:-1] * self.n + sym[1:]
@@ -134,6 +147,96 @@ class PieceMerger:
             sym, seq, rest = sym[keep], seq[keep], rest[keep]
         return total
 
+    def _symbols(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each character, and what it counts if it stays alone."""
+        sym = np.array([self.chars.get(c, self.other) for c in text], np.int64)
+        rest = np.array([1 if c in self.chars else len(c.encode()) for c in text], np.int64) if (sym == self.other).any() else np.ones(len(text), np.int64)
+        return sym, np.where(sym == self.other, rest, self.cost[sym])
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or NONE) and product of each pair of symbols."""
+        key = a * self.n + b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == key
+        return np.where(known, self.ranks[at], NONE), np.where(known, self.products[at], -1)
+
+    def merge_long(self, word: str) -> int:
+        """The number of surviving symbols (or bytes) of one long sequence.
+
+        A symbol is known by its first character's place; ``after`` and ``before`` are
+        its neighbours' places.
+        """
+        sym, rest = self._symbols(word)
+        n = len(sym)
+        if not len(self.keys):
+            return int(rest.sum())
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, product = np.full(n, NONE), np.full(n, -1)
+        rank[:-1], product[:-1] = self._pairs(sym[:-1], sym[1:])
+        places: dict[int, list[np.ndarray]] = defaultdict(list)
+        queue: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[rank[at] != NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[at])) + 1
+            for part in np.split(at, cuts) if len(at) else ():
+                r = int(rank[part[0]])
+                if r not in places:
+                    heapq.heappush(queue, r)
+                places[r].append(part)
+
+        put(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if not self.safe[r]:
+                self._one_by_one(r, at.tolist(), sym, rest, after, before, rank, product, put)
+                continue
+            # In a run of neighbouring places, every other one from the left.
+            fresh = np.r_[True, after[at[:-1]] != at[1:]]
+            order = np.arange(len(at))
+            at = at[(order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0]
+            gone = after[at]
+            sym[at], rest[at], rest[gone], rank[gone] = product[at], 1, 0, NONE
+            after[at] = after[gone]
+            right = at[after[at] < n]
+            before[after[right]] = right
+            rank[at] = NONE
+            changed = np.unique(np.r_[right, before[at][before[at] >= 0]])
+            rank[changed], product[changed] = self._pairs(sym[changed], sym[after[changed]])
+            put(changed)
+        return int(rest.sum())
+
+    def _one_by_one(self, r: int, at: list[int], sym, rest, after, before, rank, product, put) -> None:
+        """Merges of rank r and below from the left, until there is none, in a sequence without any below r at first."""
+        queue, other = [(r, i) for i in at], []
+        n = len(sym)
+        while queue:
+            now, i = heapq.heappop(queue)
+            if rank[i] != now:
+                continue
+            gone = int(after[i])
+            sym[i], rest[i], rest[gone], rank[gone], rank[i] = product[i], 1, 0, NONE, NONE
+            after[i] = to = int(after[gone])
+            if to < n:
+                before[to] = i
+            changed = [k for k in (int(before[i]), i) if k >= 0 and after[k] < n]
+            for k in changed:
+                key = int(sym[k]) * self.n + int(sym[after[k]])
+                at = int(self.keys.searchsorted(key))
+                known = at < len(self.keys) and self.keys[at] == key
+                rank[k], product[k] = (self.ranks[at], self.products[at]) if known else (NONE, -1)
+                if rank[k] <= r:
+                    heapq.heappush(queue, (int(rank[k]), k))
+                else:
+                    other.append(k)
+        put(np.unique(np.array(other, np.int64)))
+
     def _settle(self, new: list[str]) -> None:
         self.counts = np.r_[self.counts, self.merge(new)]
 
@@ -147,10 +250,11 @@ class PieceMerger:
         return out
 
 
-_MERGERS: dict[str, PieceMerger] = {}
+_MERGERS: dict[str, PieceMerger] = worker_cache({})
 
 
 def merger(path: str) -> PieceMerger:
+    holding(_MERGERS)
     if path not in _MERGERS:
         _MERGERS[path] = PieceMerger(path)
     return _MERGERS[path]
@@ -166,8 +270,7 @@ def count_tokens(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_co
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in pieces(batch, 1, rows=256):
                 n = pa.array(m.count(part.column(1).to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), n, part.column(2)], names=["doc_id", "n_tokens", "n_bytes"])
 
