@@ -11,7 +11,8 @@ their ids are broadcast, which that bound makes safe. Scoring is one narrow pass
 over the whole texts.
 
 Defined results: a null text is empty and gets a score like any other; null
-labels and ids are left out of the fit; a document labelled twice counts twice;
+labels and ids are left out of the fit; a document labelled twice counts twice, of
+several documents of one id the one of least features counts;
 without labels of both kinds all scores are 0.5; an empty table gives no rows.
 """
 
@@ -25,10 +26,10 @@ from math import log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import require, spare
+from .shared import holding, require, spare
 
 MAX_LABELLED = 20_000
 NAMES = (
@@ -136,15 +137,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(F.col(id_col)) != 0))
-    chosen = chosen.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+    order = [F.xxhash64("id"), F.col("id"), F.col("y")]
+    chosen = chosen.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).orderBy(*order).limit(max_labelled)
+    chosen = chosen.withColumn("n", F.row_number().over(Window.orderBy(*order)))  # of at most max_labelled rows
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text", "n")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int64()), x], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int64()), x, batch.column(3).cast(pa.int64())], names=["id", "y", "x", "n"])
 
-    found = rows.mapInArrow(task, "id string, y bigint, x array<double>").toArrow()
+    # One row for each label, however many documents have its id.
+    found = rows.mapInArrow(task, "id string, y bigint, x array<double>, n bigint").groupBy("n").agg(F.min("id").alias("id"), F.min("y").alias("y"), F.min("x").alias("x")).toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(NAMES))
     y, ids = found.column("y").to_numpy(), found.column("id").to_numpy(zero_copy_only=False)
     order = np.lexsort((*x.T, y, [zlib.crc32(i.encode()) for i in ids])) if len(y) else []
@@ -159,6 +163,7 @@ def score(docs: DataFrame, model: Ranker, *, text_col: str = "text", score_col:
     def of(texts):
         import pandas as pd
 
+        holding(None)
         return pd.Series(model.score(np.array([features(t) for t in texts], float).reshape(-1, len(NAMES))))
 
     return docs.withColumn(score_col, of.asNondeterministic()(F.col(text_col)))
