@@ -12,7 +12,7 @@ large; the text is read for its size and does not enter a shuffle. The table of
 sources (one row each) is small next to the documents; it is joined on the
 source with a salted side only as Spark's adaptive execution splits it.
 
-Defined results: a null text has size 0; a null source is a source of its own,
+Defined results: a null text has size 0, a very long one the size it has; a null source is a source of its own,
 last in the order; documents of the same id and size are interchangeable; an
 empty table gives an empty mix; a source without words has target 0.
 """

@@ -5,7 +5,8 @@ few measured columns: lengths, symbols, stop words, repeated lines and repeated
 word windows. Everything is a built-in function over the text's own arrays, so
 the plan is one scan and one chain of projections without a shuffle.
 
-Defined results: a null or empty text has no words and fails the base rules; a
+Defined results: a null or empty text has no words and fails the base rules; a very
+long text is measured whole; a
 rule whose ratio has denominator 0 sees ratio 0; rows are judged one by one, so
 ties and repeated rows change nothing; other columns pass through under their
 own names.
