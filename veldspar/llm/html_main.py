@@ -1,32 +1,39 @@
 """Main text of web pages by composite text density.
 
-The page is parsed leniently into a tree. Every node gets its characters C, tags
-T, link characters LC and link tags LT; its composite text density is
+The page is parsed leniently into a tree; elements that are furniture by tag or role
+(menus, side matter, footers, forms, dialogs) and reader comments take no part. Every node
+gets its characters C, tags T, link characters LC and link tags LT (all 1 at
+least); its composite text density is
 
-    C / T * log_b(C / LC * T / LT),  b = ln(C / nLC * LC + LCb / Cb * C + e)
+    C / T * ln(C / LC * T / LT) / ln(C / nLC * LC + LCb / Cb * C + e)
 
 where nLC are characters outside links and b marks the body. A node's density
-sum adds its children's densities. The node with the largest sum is found; the
-least density on its path to the body is the threshold, and all blocks are taken
-from the outermost element that keeps it, but for parts whose tag, role or class
-marks them as page furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, comments). Blocks of links are kept.
+sum adds its children's densities, text in the node itself as a child of one tag. The node
+with the largest sum is chosen; in a page with an ``article`` or ``main``, among those inside
+one. The least density on its path to the body is the threshold.
 
-A class or id marks no article or main and nothing that holds one, unless it is
-inside an article (comments and teasers are); in a page with neither elsewhere it
-marks nothing that has most of the page's text.
+The content is the article around the chosen node, else the main around it, whole. Else it
+is the chosen node's subtree (that of the container around it, if it is a paragraph or list), with
+what stands beside its path: containers whose density reaches the threshold, and headings
+and paragraphs that aren't mostly links; containers in it that don't reach the threshold go if others do. From the content goes only what a
+class or id marks, as a word of its own, as an advert, notice or sharing bar
+(``MARKS``), if it holds less than half of the content; links are kept.
 
-One narrow pass; the parser keeps its own stack, so deep pages are no danger.
+One narrow pass; the parser keeps its own stack and counts open tags, so deep, long or
+broken pages take time in proportion to their length.
 
 Defined results: a null or empty page, or one without text, gives an empty
-text; broken or unclosed markup is closed where its parent ends; repeated pages
-are handled one by one; an empty table gives no rows.
+text; broken or unclosed markup is closed where its parent ends, and an end tag that closes
+nothing is left out; of equal sums the first node in page order is chosen; repeated pages
+are handled one by one; very long pages are taken whole; an empty table gives no rows; columns
+that aren't named are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -34,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import require
+from .shared import pieces, require
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style noscript template iframe object svg math canvas head title textarea select option button".split())
@@ -44,70 +51,70 @@ BLOCK = frozenset(
 )
 FURNITURE_TAGS = frozenset("nav aside footer form dialog menu".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side-?bar|widget\w*|related|recommend\w*|share|sharing|social|footer|masthead|site-?header|page-?header|comments?|comment-?list|disqus|replies|respond|pagination|pager|login|signup|skip-?link)(?:$|[\s_-])",
-    re.I,
+#: Words of a class or id (between blanks) of reader comments, and of other things that an article may hold.
+COMMENTS = frozenset("comments comment comment-list commentlist comments-area disqus_thread respond replies reader-comments".split())
+MARKS = frozenset(
+    "ad ads advert advertisement sponsored promo banner cookie-notice cookie-banner cookies consent notice popup modal overlay newsletter subscribe related share sharing social breadcrumb breadcrumbs sidebar navbar menu footer pagination pager".split()
 )
+CONTAINERS = frozenset("article main section div td center body".split())
 #: A start tag that closes an open element of the same kind of slot (HTML's implied end tags).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
+#: A tag with an open quotation mark ends at the next bracket.
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
+_CLOSE = {tag: re.compile(f"</{tag}(?=[\\s/>])|</{tag}\\Z", re.I) for tag in RAW}
 
 
 class Node:
     __slots__ = ("tag", "parent", "children", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, marked: int = 0):
+    def __init__(self, tag: str, parent: Node | None, marked: str = ""):
         self.tag, self.parent, self.marked = tag, parent, marked
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _marked(tag: str, attributes: str) -> int:
-    """Whether an element is furniture: 2 by its tag or role, 1 by its class or id alone."""
+def _marked(tag: str, attributes: str) -> str:
+    """What an element is by its tag, role, class or id: furniture, comments, marked or nothing of these."""
     if tag in FURNITURE_TAGS:
-        return 2
+        return "furniture"
     if not attributes or "=" not in attributes:
-        return 0
-    named = 0
+        return ""
+    named = ""
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "role" and value.lower() in FURNITURE_ROLES or key == "aria-hidden" and value.lower() == "true":
-            return 2
-        if key in ("class", "id") and not named and FURNITURE.search(value):
-            named = 1
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "role" and value in FURNITURE_ROLES or key == "aria-hidden" and value == "true":
+            return "furniture"
+        if key in ("class", "id"):
+            words = set(value.split())
+            if words & COMMENTS:
+                named = "comments"
+            elif words & MARKS:
+                named = named or "marked"
     return named
 
 
-def _unmark(nodes: list[Node], body: Node) -> None:
-    """Take the mark by class or id off what holds the page's content."""
-    named = [n for n in nodes if n.marked == 1 and n is not body]
-    if not named:
-        return
-    size: dict[int, int] = {}
-    holds: dict[int, int] = {}
-    for n in reversed(nodes):
-        inner = [c for c in n.children if isinstance(c, Node) and c.tag not in SKIP]
-        size[id(n)] = sum(size[id(c)] for c in inner) + sum(sum(map(len, c.split())) for c in n.children if isinstance(c, str))
-        holds[id(n)] = sum(holds[id(c)] for c in inner) + (n.tag in ("article", "main"))
-    for n in named:
-        here = holds[id(n)]
-        if here and not _inside(n, "article") or here == holds[id(body)] and 2 * size[id(n)] > size[id(body)]:
-            n.marked = 0
-
-
 def parse(html: str) -> Node:
     """The page's tree: text stands in it decoded."""
     root = Node("html", None)
-    at, node, end = 0, root, len(html)
+    at, node, end, body = 0, root, len(html), False
+    opened: Counter[str] = Counter()  # tags of the nodes from here up to the root
+
+    def leave(to: Node) -> None:
+        nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
             node.children.append(unescape(html[at:]))
             break
-        m = _TOKEN.match(html, lt)
+        m = _TOKEN.match(html, lt) or _BROKEN.match(html, lt)
         if m is None:  # a bare "<" is text
             node.children.append(unescape(html[at : lt + 1]))
             at = lt + 1
@@ -115,52 +122,54 @@ def parse(html: str) -> Node:
         if lt > at:
             node.children.append(unescape(html[at:lt]))
         at = m.end()
-        if m[2] is None:
+        if m.lastindex is None or m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                # An end tag inside an article, section or cell doesn't close what is around it.
-                node = up.parent
+            if opened[tag]:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                leave(up.parent)
             elif tag == "p":
                 node.children.append(Node("p", node))
             continue
-        if tag in ("html", "body") and (tag == "html" or any(isinstance(c, Node) and c.tag == "body" for c in root.children)):
+        if tag == "html" or tag == "body" and body:
             continue
         if tag in CLOSES:
-            up = node
-            while up is not None and up.tag not in ("ul", "ol", "dl", "table", "article", "body"):
-                if up.tag in CLOSES[tag]:
-                    node = up.parent or root
-                    if tag != "tr" or up.tag == "tr":
-                        break
-                up = up.parent
-        elif tag in BLOCK:
+            if any(opened[t] for t in CLOSES[tag]):
+                up, to = node, node
+                while up is not None and up.tag not in ("ul", "ol", "dl", "table", "article", "body"):
+                    if up.tag in CLOSES[tag]:
+                        to = up.parent or root
+                        if tag != "tr" or up.tag == "tr":
+                            break
+                    up = up.parent
+                leave(to)
+        elif tag in BLOCK and opened["p"]:
             # A block ends an open paragraph, with the inline elements left open in it.
             up = node
             while up is not None and (up.tag == "p" or up.tag not in BLOCK):
                 if up.tag == "p":
-                    node = up.parent or root
+                    leave(up.parent or root)
                     break
                 up = up.parent
         made = Node(tag, node, _marked(tag, m[3]))
+        body = body or tag == "body"
         node.children.append(made)
         if tag in RAW:
-            close = re.compile(f"</{tag}(?=[\\s/>])|</{tag}\\Z", re.I).search(html, at)
+            close = _CLOSE[tag].search(html, at)
             stop = close.start() if close else end
             made.children.append(html[at:stop])
             at = stop
+        if tag in RAW or tag not in VOID and not m[3].rstrip().endswith("/"):
             node = made
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            node = made
+            opened[tag] += 1
     return root
 
 
 def _ordered(root: Node) -> list[Node]:
-    """All nodes, parents first."""
+    """All nodes that may hold text, parents first."""
     out, stack = [], [root]
     while stack:
         n = stack.pop()
@@ -169,12 +178,52 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
+def _length(texts: list[Node | str]) -> int:
+    """Characters of the text that stands in a node itself."""
+    return sum(len(_SPACE.sub(" ", c).strip()) for c in texts if isinstance(c, str))
+
+
+def _sizes(nodes: list[Node]) -> dict[int, int]:
+    """Characters of each node's subtree, by id."""
+    size: dict[int, int] = {}
+    for n in reversed(nodes):
+        size[id(n)] = _length(n.children) + sum(size.get(id(c), 0) for c in n.children if isinstance(c, Node))
+    return size
+
+
+def _without(nodes: list[Node], body: Node) -> list[Node]:
+    """``nodes`` without furniture, comments and the page's header, which leave the tree.
+
+    Comments are such only if what they hold is less than half of the page's text
+    and, outside an article, not all of its articles and mains.
+    """
+    holds: dict[int, int] = {}
+    for n in reversed(nodes):
+        holds[id(n)] = (n.tag in ("article", "main")) + sum(holds.get(id(c), 0) for c in n.children if isinstance(c, Node))
+    size = _sizes(nodes) if any(n.marked == "comments" for n in nodes) else {}
+    gone: set[int] = set()
+    inside: dict[int, bool] = {}  # an article or main is around it
+    for n in nodes:
+        inside[id(n)] = n is not body and (inside[id(n.parent)] or n.parent.tag in ("article", "main"))
+        if n is body:
+            continue
+        out = n.marked == "furniture" or n.tag == "header" and not inside[id(n)]
+        if n.marked == "comments":
+            out = holds[id(n)] < holds[id(body)] or not holds[id(body)] and 2 * size[id(n)] <= size[id(body)]
+        if out or id(n.parent) in gone:
+            gone.add(id(n))
+    for n in nodes:
+        if id(n) not in gone:
+            n.children = [c for c in n.children if isinstance(c, str) or id(c) not in gone]
+    return [n for n in nodes if id(n) not in gone]
+
+
 def _score(nodes: list[Node], body: Node) -> None:
+    """Densities and their sums."""
     for n in reversed(nodes):
+        n.chars = n.total = _length(n.children)
         for c in n.children:
-            if isinstance(c, str):
-                n.chars += len(_SPACE.sub(" ", c).strip())
-            elif c.tag not in SKIP:
+            if isinstance(c, Node) and c.tag not in SKIP:
                 n.chars += c.chars
                 n.tags += c.tags + 1
                 n.link_chars += c.link_chars
@@ -186,12 +235,53 @@ def _score(nodes: list[Node], body: Node) -> None:
         c, t, lc, lt = n.chars, n.tags or 1, n.link_chars or 1, n.link_tags or 1
         if c:
             base = math.log(c / max(1, c - n.link_chars) * n.link_chars + share * c + math.e)
-            n.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) / max(base, 1e-9)) if base > 0 else 0.0
+            n.density = c / t * math.log(max(1.0, c / lc * t / lt)) / base
     for n in nodes:
-        n.total = sum(c.density for c in n.children if isinstance(c, Node) and c.tag not in SKIP)
-        # Text that stands in the node itself counts as a child of one tag.
-        own = sum(len(_SPACE.sub(" ", c).strip()) for c in n.children if isinstance(c, str))
-        n.total += own
+        n.total += sum(c.density for c in n.children if isinstance(c, Node) and c.tag not in SKIP)
+
+
+def _chosen(nodes: list[Node], body: Node) -> tuple[Node, float, Node | None]:
+    """The node of the largest sum, the threshold of its path to the body, and the article or main around it."""
+    around: dict[int, Node | None] = {}
+    for n in nodes:
+        up = None if n is body else around[id(n.parent)]
+        inner = n.tag == "article" or n.tag == "main" and (up is None or up.tag != "article")
+        around[id(n)] = n if inner and (up is None or up.tag != "article") else up
+    semantic = [n for n in nodes if n.chars and around[id(n)] is not None]
+    best = max(semantic or nodes, key=lambda n: n.total)
+    threshold, up = best.density, best
+    while up is not body:
+        up = up.parent
+        threshold = min(threshold, up.density)
+    return best, threshold, around[id(best)]
+
+
+def _content(nodes: list[Node], body: Node) -> tuple[Node, set[int]]:
+    """The element of the content, and ids of the nodes inside it that are none."""
+    best, threshold, around = _chosen(nodes, body)
+    gone: set[int] = set()
+    if around is not None:
+        top = around
+    else:
+        top = best
+        while top is not body and top.tag not in CONTAINERS:
+            top = top.parent
+        kept = top
+        inner = [c for c in top.children if isinstance(c, Node) and c.tag in CONTAINERS]
+        if any(c.density >= threshold for c in inner):
+            gone.update(id(c) for c in inner if c.density < threshold)
+        while top is not body:
+            here, top = top, top.parent
+            for c in top.children:
+                if isinstance(c, str) or c is here or c.tag in SKIP:
+                    continue
+                plain = c.tag in BLOCK and c.tag not in CONTAINERS and 2 * c.link_chars < c.chars and not any(isinstance(x, Node) and x.tag in CONTAINERS for x in c.children)
+                if not (plain or c.density >= threshold) or c.marked == "marked" and 2 * c.chars < kept.chars:
+                    gone.add(id(c))
+    for n in nodes:
+        if n.marked == "marked" and n is not top and n.tag not in ("article", "main") and 2 * n.chars < top.chars:
+            gone.add(id(n))
+    return top, gone
 
 
 def main_blocks(html: str | None) -> list[str]:
@@ -200,45 +290,14 @@ def main_blocks(html: str | None) -> list[str]:
         return []
     root = parse(html)
     body = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
-    nodes = _ordered(body)
-    _unmark(nodes, body)
-    # Furniture and what it holds takes no part.
-    out: set[int] = set()
-    for n in nodes:
-        if n is not body and (n.marked or id(n.parent) in out or n.tag == "header" and not _inside(n, "article", "main")):
-            out.add(id(n))
-    for n in nodes:
-        if id(n) in out:
-            n.children = []
-    nodes = [n for n in nodes if id(n) not in out]
+    nodes = _without(_ordered(body), body)
     _score(nodes, body)
     if not body.chars:
         return []
-    best = max(nodes, key=lambda n: n.total)
-    threshold = best.density
-    up = best
-    while up is not body:
-        up = up.parent
-        threshold = min(threshold, up.density)
-    # The content is the outermost element of the path under the body that keeps the density.
-    top = best
-    while top is not body and top.parent is not body and top.parent.density >= threshold and top.tag != "article":
-        top = top.parent
-    if top.tag in BLOCK - {"body"} and top.parent is not None and top.tag not in ("article", "main", "section", "div", "td"):
-        top = top.parent
-    return _blocks(top)
-
-
-def _inside(n: Node, *tags: str) -> bool:
-    up = n.parent
-    while up is not None:
-        if up.tag in tags:
-            return True
-        up = up.parent
-    return False
+    return _blocks(*_content(nodes, body))
 
 
-def _blocks(top: Node) -> list[str]:
+def _blocks(top: Node, gone: set[int]) -> list[str]:
     out: list[str] = []
     held: list[str] = []
 
@@ -255,7 +314,7 @@ def _blocks(top: Node) -> list[str]:
             close()
         elif isinstance(n, str):
             held.append(n)
-        elif n.tag in SKIP:
+        elif n.tag in SKIP or id(n) in gone:
             continue
         elif n.tag in ("br", "hr", "img", "wbr"):
             if n.tag == "hr":
@@ -281,8 +340,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in pieces(batch, batch.num_columns - 1, rows=256):
                 texts = ["\n\n".join(main_blocks(h)) for h in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=names)
 
