@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -278,3 +280,163 @@ def test_mixing(spark, odd_docs, no_docs):
     assert sum(len(x.text.split()) for x in picked) == sum(taken.values())
     assert mixing.mix(odd_docs).count() == odd_docs.count() and mixing.sample(odd_docs, count_col="n_chars").columns == odd_docs.columns
     assert mixing.mix(no_docs).count() == 0 and mixing.sample(no_docs).count() == 0
+
+
+def cheapest(value, words):
+    """Least cost over all segmentations, each part by the cheapest of its kinds."""
+    low = value.lower()
+    plain = low.translate(secret_scan._LEET)
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        costs = []
+        for i in range(j):
+            part, n = value[i:j], j - i
+            ways = [sum(map(secret_scan._char_bits, part))]
+            steps = [secret_scan._step(a, b) for a, b in zip(low[i:j], low[i + 1 : j], strict=False)]
+            if n >= 3 and len(set(part)) == 1:
+                ways.append(secret_scan._char_bits(part[0]) + math.log2(n))
+            if n >= 3 and None not in steps:
+                ways.append(math.log2(47) + math.log2(n) + 2 * sum(a != b for a, b in zip(steps, steps[1:], strict=False)))
+            if rank := words.get(plain[i:j]) or words.get(low[i:j]):
+                ways.append(secret_scan._word_bits(part, low[i:j], plain[i:j], rank))
+            if n in (4, 8, 10) and secret_scan._DATE.fullmatch(part):
+                ways.append(math.log2(130) if n == 4 else math.log2(130 * 366) + n - 8)
+            costs.append(best[i] + 1 + min(ways))
+        best.append(min(costs))
+    return best[-1]
+
+
+def test_guess_cost_equals_all_segmentations():
+    assert secret_scan.guess_bits("passwordrty") <= 12.15
+    r = random.Random(11)
+    parts = ["a", "aaa", "qwe", "rty", "pass", "word", "1999", "0101", "12", "X", "#", "p4ss", "bb", "cde", "Q", "9", "4b4b"]
+    for k in range(3000):
+        v = "".join(r.choice(parts) for _ in range(r.randrange(1, 6)))[:10] if k % 2 else "".join(r.choice("abc12#Qw") for _ in range(r.randrange(1, 11)))
+        want = cheapest(v, secret_scan._RANKS)
+        assert abs(secret_scan.guess_bits(v) - want) < 1e-9, v
+        for most in (10.0, 36.0):
+            assert (secret_scan.segments(v, most=most) is None) == (want >= most)
+
+
+def test_secret_long_values_ties_and_vocabulary(spark, no_docs):
+    words = secret_scan.ranks(tokenizer_path("byte_bpe_50k.json"))
+    assert len(words) > 10_000 and words["password"] == 1 and secret_scan.guess_bits("correcthorse", words) < secret_scan.guess_bits("correcthorse")
+    for v in ("ab" * 50_000, "password" * 10_000, "qwertyuiop" * 10_000):
+        assert secret_scan.segments(v, words, 36.0) is None
+    assert secret_scan.segments("x" * 20_000, words, 36.0) is not None
+    # An assignment and a hexadecimal run that start together, and a run inside an assignment.
+    assert secret_scan.find("token=" + "deadbeef" * 4)[0][0] == "assign"
+    assert [s[0] for s in secret_scan.find("a" * 24 + " AKIA" + "A1" * 8)] == ["hex", "access"]
+    assert secret_scan.scan(no_docs).count() == 0
+
+
+def tree_measures(n, skip):
+    """(C, T, LC, LT) of a node by their definitions."""
+    texts = [re.sub(r"\s+", " ", c).strip() for c in n.children if isinstance(c, str)]
+    c, t, lc, lt = sum(map(len, texts)), 0, 0, 0
+    for x in n.children:
+        if not isinstance(x, str) and x.tag not in skip:
+            a, b, d, e = tree_measures(x, skip)
+            c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e
+    return (c, t, c, lt + 1) if n.tag == "a" else (c, t, lc, lt)
+
+
+def test_html_density_equals_its_definition():
+    r = random.Random(8)
+
+    def page(depth):
+        out = []
+        for _ in range(r.randrange(1, 5)):
+            tag = r.choice(["div", "p", "a", "span", "section", "li", "article"])
+            out.append(f"<{tag}>{page(depth - 1) if depth and tag != 'p' else 'words of text ' * r.randrange(6)}</{tag}>")
+        return " loose ".join(out)
+
+    for _ in range(60):
+        root = html_main.parse(f"<body>{page(4)}</body>")
+        body = root.children[0]
+        nodes = html_main._ordered(body)
+        html_main._score(nodes, body)
+        whole = tree_measures(body, html_main.SKIP)
+        density = {}
+        for n in nodes:
+            c, t, lc, lt = tree_measures(n, html_main.SKIP)
+            base = math.log(c / max(1, c - lc) * lc + (whole[2] / whole[0] if whole[0] else 0) * c + math.e)
+            density[id(n)] = c / max(t, 1) * math.log(max(1.0, c / max(lc, 1) * max(t, 1) / max(lt, 1))) / base if c else 0.0
+            assert math.isclose(n.density, density[id(n)], rel_tol=1e-9)
+        for n in nodes:
+            own = sum(len(re.sub(r"\s+", " ", c).strip()) for c in n.children if isinstance(c, str))
+            assert math.isclose(n.total, own + sum(density[id(c)] for c in n.children if not isinstance(c, str) and c.tag not in html_main.SKIP), rel_tol=1e-9)
+        best, threshold, around = html_main._chosen(nodes, body)
+        inside = lambda n: n.tag in ("article", "main") or n is not body and inside(n.parent)
+        choice = [n for n in nodes if n.chars and inside(n)] or nodes
+        assert best.total == max(n.total for n in choice) and (around is not None) == inside(best)
+        up, path = best, [best.density]
+        while up is not body:
+            up = up.parent
+            path.append(up.density)
+        assert threshold == min(path)
+
+
+def test_html_whole_articles_side_columns_and_broken_pages():
+    text = "Some words of the text that are long enough to count as the main part of this page. "
+    three = f"<p>{text}</p>" * 3
+    want = [text.strip()] * 3
+    for page in (f"<div class='content no-sidebar'>{three}</div>", f"<article class='post has-comments'>{three}</article>", f"<main id='ad-free'>{three}</main>"):
+        assert html_main.main_blocks(page) == want
+    column = "<div><p>Home</p><p>Products we sell today</p><p>Buy now...</p></div>"
+    assert html_main.main_blocks(f"<body><div class=w>{column}<div><h1>Title</h1>{three}</div></div></body>") == ["Title", *want]
+    assert html_main.main_blocks(f"<body><div>{column}<h1>Title</h1><div>{three}</div><div>{three}</div></div></body>") == ["Title", *want, *want]
+    # Of equal sums the first is chosen.
+    assert html_main.main_blocks(f"<body><article>{three}</article><article>{three.replace('Some', 'More')}</article></body>") == want
+    began = time.time()
+    assert html_main.main_blocks("</b>" * 100_000 + "text here") == ["text here"]
+    for page in ("<b>" * 30_000 + "<li></li>" * 30_000, "<b>" * 30_000 + "<div>x</div>" * 30_000, "<a " * 30_000 + '"', "< " * 50_000, "<p>x" * 30_000, "<header>" * 30_000, "<body>" * 30_000):
+        html_main.main_blocks(page)
+    assert time.time() - began < 60
+    long = "word " * 300_000
+    assert html_main.main_blocks(f"<article><p>{long}</p></article>") == [long.strip()]
+
+
+def test_long_words_equal_library():
+    m = token_counts.PieceMerger(tokenizer_path("piece_bpe_32k.model"))
+    r = random.Random(13)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "aethnors", "xX=-_#", "é日a1", "abcABC0123"):
+        for n in (257, 700, 5000):
+            word = "".join(r.choice(letters) for _ in range(n))
+            assert m.count([word]) == [len(m.library.encode(word))], (letters, n)
+    began = time.time()
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    assert m.count([word]) == [len(m.library.encode(word))] and time.time() - began < 30
+
+
+def test_benchmark_shards_are_bounded(spark):
+    r = random.Random(2)
+    word = lambda: f"w{r.randrange(500)}"
+    rows = [(k, " ".join(word() for _ in range(r.choice([5, 60, 700])))) for k in range(60)] + [(1, "the same item again and again and once more so")] * 3000
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    shards = list(decontaminate._shards(bench, "item_id", "text", 5, 2000))
+    assert len(shards) > 3 and max(sum(len(w) for _, w in s) for s in shards) < 3000
+    windows = lambda items: {(str(i), tuple(w[k : k + 5])) for i, w in items for k in range(len(w) - 4)}
+    assert set().union(*map(windows, shards)) == windows([(i, t.split()) for i, t in rows])
+
+
+def test_chat_long_texts_and_clashing_columns(spark):
+    long = "tick " * 60_000
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", long), (1, 2, "assistant", long + "end"), (1, 3, "user\nodd", "x"), (1, 4, "assistant", "y")]
+    df = spark.createDataFrame([(*r, 5, "w", 7) for r in rows], "conv_id bigint, turn bigint, role string, text string, size int, window string, nth int")
+    made = chat.windows(df, budget=64)
+    out = chat.read_back(made).collect()
+    whole = "".join(f"{role}\n{text}\n" for _, _, role, text in rows)
+    assert [(x.n_turns, x.turns_sha256, x.loss_chars) for x in out] == [(5, hashlib.sha256(whole.encode()).hexdigest(), len(long) + 4)]
+    assert all(w.text.startswith("<|im_start|>system\nbe brief<|im_end|>\n") for w in made.collect())
+
+
+def test_pipeline_stages_take_odd_tables(spark, odd_docs, no_docs):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, d)
+        assert out.columns == odd_docs.columns or name == "token files"
+        assert 0 < out.count()
+        assert stage(spark, no_docs, d).count() == 0
