@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_main, jaccard_join, mixing, quality_rank, quality_rules, secret_scan, token_counts, token_files
+from . import chat, decontaminate, html_main, importance, jaccard_join, mixing, personal_data, phrases, quality_rank, quality_rules, secret_scan, token_counts, token_files
 from .shared import fresh_dir
 
 
@@ -84,11 +84,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top(*phrases.mine(_table(spark, sf_dir, "documents"), least=10, most_words=3, inside_percent=50), most=2000)
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = joined(F.filter("spans", lambda s: s["kind"].isin(*personal_data.BASE)))
+    return found.select("doc_id", *[count(k) for k in personal_data.BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed="42")
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_token_files, op3_main_text, op4_secret_scan, op5_quality_rank,
         op6_quality_rules, op7_ngram_jaccard, op8_chat_windows, op9_source_mix, op10_token_counts,
+        op11_phrases, op12_personal_data, op13_importance,
     )
 }
 
@@ -159,4 +177,57 @@ ORACLE_SQL: dict[str, str] = {
             FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source),
         whole AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM cutting)
         SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - start)))::BIGINT AS taken FROM whole""",
+    "op11_phrases": r"""
+        WITH cleaned AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM cleaned),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+        grams AS (
+            SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f
+            FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM split, (VALUES (1), (2), (3)) AS v(m)) GROUP BY ALL),
+        candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE m > 1 AND f >= 10),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+            JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ')
+            JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')),
+        lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts),
+        inside AS (
+            SELECT lang, phrase, max(a) AS most FROM (
+                SELECT lang, array_to_string(w[1 : 2], ' ') AS phrase, a FROM candidates WHERE m = 3
+                UNION ALL SELECT lang, array_to_string(w[2 : 3], ' '), a FROM candidates WHERE m = 3) GROUP BY lang, phrase),
+        kept AS (
+            SELECT lang, phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+            FROM lowest JOIN totals USING (lang) LEFT JOIN inside USING (lang, phrase)
+            WHERE place = 1 AND (most IS NULL OR 100 * most < 50 * a))
+        SELECT lang, rank, phrase, a, l, r, n, score FROM kept WHERE rank <= 2000""",
+    "op13_importance": r"""
+        WITH RECURSIVE steps(i, k, c) AS (
+            SELECT i::UBIGINT, 0, i::UBIGINT FROM range(256) AS x(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE k < 8),
+        bytes AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8),
+        docs AS (
+            SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        items AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        runs AS (
+            SELECT place, array_to_string(w[i : i + m - 1], ' ') AS gram, count(*) AS n
+            FROM (SELECT place, w, m, unnest(range(1, len(w) - m + 2)) AS i
+                FROM (SELECT place, w FROM docs UNION ALL SELECT 0, w FROM items), (VALUES (1), (2), (3)) AS v(m)) GROUP BY ALL),
+        hashed AS (
+            SELECT gram, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, strlen(gram) + 1), lambda j: ('0x' || substr(hex(gram), 2 * j - 1, 2))::UBIGINT)),
+                lambda c, b: xor(c >> 8, tab[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) % 10000)::BIGINT AS bucket
+            FROM (SELECT DISTINCT gram FROM runs), bytes),
+        counts AS (
+            SELECT b.bucket, coalesce(sum(n) FILTER (place > 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (place = 0), 0)::BIGINT AS t
+            FROM range(10000) AS b(bucket) LEFT JOIN (hashed JOIN runs USING (gram)) h ON h.bucket = b.bucket GROUP BY b.bucket),
+        gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+        weighed AS (SELECT place, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n_features FROM runs JOIN hashed USING (gram) JOIN gains USING (bucket) WHERE place > 0 GROUP BY place),
+        scored AS (
+            SELECT place, doc_id, len(w) >= 20 AS eligible, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score
+            FROM docs LEFT JOIN weighed USING (place)),
+        drawn AS (
+            SELECT place, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, place) AS rank, count(*) OVER () AS n FROM scored WHERE eligible)
+        SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN (SELECT place, rank FROM drawn WHERE rank <= 5 * n // 100) USING (place)""",
 }
