@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import WIDTH, numbered, previous, running, safe_join
+from .ordered import WIDTH, keys_of, numbered, previous, running, runs, safe_join
 
 
 def compact(log: DataFrame, by: Sequence[str], *, key: str, order: Sequence[str], event: str = "event", removed: str = "removed") -> DataFrame:
@@ -20,33 +21,33 @@ def compact(log: DataFrame, by: Sequence[str], *, key: str, order: Sequence[str]
     return last.where(F.col(f"__last.{event}") != removed).select(*by, key, "__last.*")
 
 
-def throttle(log: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), event: str = "event", interval: float = 1.0) -> DataFrame:
+def throttle(log: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), event: str = "event", interval: float = 1.0, width: float = WIDTH) -> DataFrame:
     """Keeps an ``updated`` row at most once per ``interval`` and key; others always pass.
 
     The time of the last row let through is forgotten when a key is removed.
-    The fold streams through each key's rows in order.
+    The fold streams through each key's rows in order; a key is cut where it pauses for the
+    interval, which every row after passes. A null key is a key; of rows without a time, all but updates pass.
     """
-    count = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = log.columns
-    keys = [names.index(c) for c in by]
+    timed = F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double"))
+    rows, apart = runs(log.where(timed), by, [t, *order], interval, width=width)
 
-    def task(batches):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = None, None
         for batch in batches:
-            columns = [batch.iloc[:, k].tolist() for k in keys]
-            keep = []
-            for i, (x, kind) in enumerate(zip(batch[t].tolist(), batch[event].tolist(), strict=True)):
-                key = tuple(c[i] for c in columns)
+            names, keep = batch.schema.names, []
+            times, kinds = (batch.column(names.index(c)).to_pylist() for c in (t, event))
+            for key, x, kind in zip(keys_of(batch, apart), times, kinds, strict=True):
                 if key != now:
                     now, last = key, None
                 passes = kind != "updated" or last is None or x - last >= interval
                 if passes:
                     last = None if kind == "removed" else x
                 keep.append(passes)
-            yield batch[keep]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names[:-1])
 
-    rows = log.repartition(count, *by).sortWithinPartitions(*by, t, *order)
-    return rows.mapInPandas(task, log.schema)
+    untimed = log.where(~timed & ~F.col(event).eqNullSafe(F.lit("updated")))
+    return rows.mapInArrow(task, log.schema).unionByName(untimed)
 
 
 def transitions(states: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), hot: Column, initially: bool = False, width: float = WIDTH) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import safe_join
+from .ordered import cut, safe_join
+from .ranks import exact_percentiles
 from .trajectory import keyed
 
 
@@ -82,7 +83,7 @@ def floor_height(points: DataFrame, by: Sequence[str], *, gravity: Sequence[str]
     height = dot(("x", "y", "z"), gravity)
     level = F.abs(dot(("nx", "ny", "nz"), gravity)) >= float(np.cos(np.radians(degrees)))
     rows = points.where(level).withColumn("__h", height).where("__h > 0")
-    return rows.groupBy(*by).agg(F.median("__h").alias("height"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return exact_percentiles(rows, by, "__h", {"height": 0.5}).select(*by, "height", "n").where(F.col("n") >= least)
 
 
 def z_buffer(points: DataFrame, by: Sequence[str], *, fx: float, fy: float, cx: float, cy: float, width: int, height: int, footprint: float = 0.0, max_splat: int = 3) -> DataFrame:
@@ -106,8 +107,12 @@ def z_buffer(points: DataFrame, by: Sequence[str], *, fx: float, fy: float, cx:
 
 def nested_median(df: DataFrame, by: Sequence[str], frame: str, value: str, *, least: int = 100) -> DataFrame:
     """Median over frames of each frame's median absolute value; frames under ``least`` rows don't count."""
-    frames = df.groupBy(*by, frame).agg(F.median(F.abs(F.col(value))).alias("__m"), F.count("*").alias("__n")).where(F.col("__n") >= least)
-    return frames.groupBy(*by).agg(F.median("__m").alias("residual"), F.count("*").alias("frames"))
+    rows = cut(df.select(*by, frame, F.abs(F.col(value)).alias("__a")))
+    counts = rows.groupBy(*by, frame).agg(F.count("*").alias("__all")).where(F.col("__all") >= least)
+    frames = safe_join(exact_percentiles(rows, [*by, frame], "__a", {"__m": 0.5}), counts, [*by, frame])
+    out = exact_percentiles(frames, by, "__m", {"residual": 0.5})
+    counts = counts.groupBy(*by).agg(F.count("*").alias("frames"))
+    return safe_join(counts, out.drop("n"), by).select(*by, "residual", "frames") if by else out.drop("n").crossJoin(F.broadcast(counts))
 
 
 def radius_probe(matches: DataFrame, by: Sequence[str], *, dist: str = "dist", radii: Sequence[float] = (0.15, 0.08, 0.04, 0.02)) -> DataFrame:

@@ -75,9 +75,9 @@ def grid(left: DataFrame, right: DataFrame, *, most: int = 10_000) -> DataFrame:
 
 
 def shared_frames(windows: DataFrame, by: Sequence[str], *, window: str, frame: str, least: int = 3) -> DataFrame:
-    """Neighbouring windows and the number of frames they share; ``enough`` from ``least`` on."""
-    a = windows.select(*by, F.col(window).alias("w"), F.col(frame).alias("f"))
-    b = windows.select(*by, (F.col(window) - 1).alias("w"), F.col(frame).alias("f"))
+    """Neighbouring windows and the number of frames they share; ``enough`` from ``least`` on. A frame that a window repeats is one."""
+    a = windows.select(*by, F.col(window).alias("w"), F.col(frame).alias("f")).distinct()
+    b = a.withColumn("w", F.col("w") - 1)
     out = safe_join(a, b, [*by, "w", "f"]).groupBy(*by, "w").agg(F.count("*").alias("shared"))
     return out.withColumn("enough", F.col("shared") >= least)
 
@@ -116,14 +116,15 @@ def voxel_neighbours(points: DataFrame, fused: DataFrame, by: Sequence[str], *,
 
     Strictly within ``max_dist``; equal distances go to the first place of the
     stencil (dx outermost). The points are exploded to 27 keys and met on equal
-    keys, so work follows the number of points, not pairs.
+    keys, so work follows the number of points, not pairs. A null session key is a session;
+    points without a coordinate have no neighbour.
     """
     cell = lambda c: F.floor(F.col(c) / size)
     steps = F.array(*[F.struct(*[F.lit(d).cast("bigint").alias(n) for n, d in zip(("dx", "dy", "dz", "slot"), (dx, dy, dz, k), strict=True)]) for k, (dx, dy, dz) in enumerate((i, j, m) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1))])
     p = points.withColumn("__s", F.explode(steps))
     p = p.withColumns({f"__k{a}": cell(a) + F.col(f"__s.d{a}") for a in "xyz"})
     m = fused.select(*by, *[F.col(a).alias(f"map_{a}") for a in "xyz"], *[cell(a).alias(f"__k{a}") for a in "xyz"])
-    met = p.join(m, [*by, "__kx", "__ky", "__kz"])
+    met = safe_join(p, m, [*by, "__kx", "__ky", "__kz"])
     d2 = sum((F.pow(F.col(a) - F.col(f"map_{a}"), 2) for a in "yz"), F.pow(F.col("x") - F.col("map_x"), 2))
     met = met.withColumn("d2", d2).where(F.col("d2") < max_dist * max_dist)
     best = met.groupBy(*by, *key).agg(F.min(F.struct("d2", F.col("__s.slot").alias("slot"), "map_x", "map_y", "map_z")).alias("__b"))

@@ -9,9 +9,11 @@ third of all rows is spread over as many tasks as it has slots.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +109,106 @@ def carried(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Colum
     if backward:
         out = out.withColumn(backward, F.coalesce(backward, "__from_after"))
     return out.drop("__v", "__from_before", "__from_after", SLOT)
+
+
+def runs(df: DataFrame, by: Sequence[str], order: Sequence[str], pause: float, *, width: float = WIDTH) -> tuple[DataFrame, list[str]]:
+    """Rows in order within runs that no pause of over ``pause`` interrupts, for folds that forget by then.
+
+    Returns the rows, with the run's number as a last column, dealt out by run, and the columns that tell runs apart.
+    """
+    rows = previous(df, by, order, {"__was": order[0]}, width=width)
+    # A little more than the pause, for rounding.
+    fresh = F.coalesce(F.col(order[0]) - F.col("__was") > pause * (1 + 1e-6), F.lit(True))
+    rows = running(rows, by, order, {"__run": F.when(fresh, 1).otherwise(0)}, width=width).select(*df.columns, "__run")
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, *by, "__run").sortWithinPartitions(*by, "__run", *order), [*by, "__run"]
+
+
+def keys_of(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple]:
+    """Each row's key as Python values; NaN equals NaN."""
+    columns = [["nan" if isinstance(v, float) and v != v else v for v in batch.column(batch.schema.names.index(n)).to_pylist()] for n in names]
+    return zip(*columns, strict=True)
+
+
+Combine = Callable[[Column, Column], Column]
+
+
+def _listed(rows: DataFrame, by: Sequence[str], place: str, block: int, **parts: Column) -> DataFrame:
+    """Blocks of ``block`` places: ``group``, the block's number, and ``rows``, its rows' parts in order."""
+    item = F.struct(F.col(place).alias("place"), *[c.alias(n) for n, c in parts.items()])
+    lists = rows.groupBy(*by, F.floor(F.col(place) / block).alias("group")).agg(F.collect_list(item).alias("rows"))
+    return lists.withColumn("rows", F.array_sort("rows", lambda a, b: F.signum(a["place"] - b["place"]).cast("int")))
+
+
+def _each(kept: str, start: Column, combine: Combine, *, inclusive: bool) -> Column:
+    """For each of ``rows`` its part ``kept`` and what ``made`` and the elements up to it make."""
+
+    def step(a: Column, x: Column) -> Column:
+        after = combine(a["made"], x["element"])
+        one = F.struct(x[kept].alias("row"), (after if inclusive else a["made"]).alias("made"))
+        return F.struct(after.alias("made"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    none = F.slice(F.transform("rows", lambda x: F.struct(x[kept].alias("row"), start.alias("made"))), 1, 0)
+    return F.aggregate("rows", F.struct(F.col("made"), none.alias("out")), step, lambda a: a["out"])
+
+
+def _made_before(elements: DataFrame, by: Sequence[str], start: Column, combine: Combine, block: int, levels: int) -> DataFrame:
+    """(place, made): what the elements (place, element) of a session before each place make."""
+    if levels:
+        lists = _listed(elements, by, "place", block, element=F.col("element"))
+        lists = _with_before(lists, by, start, combine, block, levels - 1)
+    else:
+        lists = _listed(elements, by, "place", 1 << 62, element=F.col("element")).withColumn("made", start)
+    return lists.select(*by, F.inline(_each("place", start, combine, inclusive=False))).withColumnRenamed("row", "place")
+
+
+def _with_before(lists: DataFrame, by: Sequence[str], start: Column, combine: Combine, block: int, levels: int) -> DataFrame:
+    """``lists`` with ``made``: what the session's elements before the block make."""
+    totals = lists.select(*by, F.col("group").alias("place"), F.aggregate("rows", start, lambda a, x: combine(a, x["element"])).alias("element"))
+    before = _made_before(totals, by, start, combine, block, levels)
+    return safe_join(lists, before.withColumnRenamed("place", "group"), [*by, "group"])
+
+
+def scan(df: DataFrame, by: Sequence[str], place: str, element: Column, start: Column, combine: Combine, name: str, *, block: int = 256, levels: int = 2) -> DataFrame:
+    """Adds ``name``: what ``combine`` makes of the elements of a session's rows up to and with the row.
+
+    ``combine`` is associative and ``start`` neutral to it, and all have one type; ``place`` is the row's
+    number in its session (``numbered``). Rows go to blocks of ``block`` by it, a block's
+    elements are reduced to one, these are scanned the same way on ``levels`` further levels,
+    and rows are finished inside their blocks. Nothing but a last level, of a session's
+    rows / block^(levels + 1), is gathered by session.
+    """
+    others = F.struct(*[F.col(c) for c in df.columns if c not in by])
+    lists = cut(_listed(df, by, place, block, element=element, others=others))
+    lists = _with_before(lists, by, start, combine, block, levels)
+    out = lists.select(*by, F.inline(_each("others", start, combine, inclusive=True)))
+    return out.select(*by, "row.*", F.col("made").alias(name))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, kept in the folder that driver and executors share.
+
+    For what is read several times on the way: plans that join a table with its own summary
+    double with each step. The folder is ``spark.checkpoint.dir``; only a session on one machine that names none gets
+    a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='veldspar-')}")
+    return df.checkpoint()
+
+
+def sortable(value: Column) -> Column:
+    """A whole number for each double that orders as doubles do: the bits of its magnitude with its sign."""
+    v = F.abs(value)
+    # The exponent by logarithm may be off by one beside a power of two.
+    e = F.floor(F.log2(v))
+    e = F.when(F.pow(F.lit(2.0), e) > v, e - 1).when(F.pow(F.lit(2.0), e + 1) <= v, e + 1).otherwise(e)
+    unit = F.lit(1 << 52).cast("bigint")
+    normal = (e + 1023) * unit + ((v / F.pow(F.lit(2.0), e) - 1) * unit).cast("bigint")
+    small = F.lit(2.0**-1022)
+    bits = F.when(v == 0, 0).when(v < small, (v / F.lit(5e-324)).cast("bigint")).when(v == float("inf"), 2047 * unit).otherwise(normal)
+    return F.when(F.isnan(value), 2047 * unit + 1).when(value < 0, -bits).otherwise(bits).cast("bigint")

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import BLOCK, DEALT, OWN, WIDTH, blocks, previous, safe_join
+from .ordered import BLOCK, DEALT, OWN, WIDTH, blocks, cut, previous, safe_join
+from .ranks import exact_percentiles
 
 
 def count_reconcile(actual: DataFrame, declared: DataFrame, by: Sequence[str], *, stream: str = "stream") -> DataFrame:
@@ -41,29 +42,34 @@ def spread(df: DataFrame, by: Sequence[str], value: str, *, warn: float | None =
 
 
 def percentiles(df: DataFrame, by: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, and the number of values."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), *[F.percentile(value, p).alias(n) for n, p in at.items()])
+    """Exact percentiles with linear interpolation, and the number of values; no group is gathered (``ranks``)."""
+    return exact_percentiles(df, by, value, at)
 
 
 def mad_variation(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """1.4826 times the median distance from the median."""
-    mid = df.groupBy(*by).agg(F.median(value).alias("median"))
-    rows = safe_join(df.select(*by, value), mid, by)
-    return rows.groupBy(*by).agg(F.first("median").alias("median"), (1.4826 * F.median(F.abs(F.col(value) - F.col("median")))).alias("variation"))
+    rows = cut(df.select(*by, value))
+    mid = exact_percentiles(rows, by, value, {"median": 0.5}).drop("n")
+    away = safe_join(rows, mid, by).withColumn("__away", F.abs(F.col(value) - F.col("median")))
+    out = exact_percentiles(away, by, "__away", {"__mid": 0.5})
+    return safe_join(mid, out, by).select(*by, "median", (1.4826 * F.col("__mid")).alias("variation"))
 
 
 def bands(df: DataFrame, by: Sequence[str], *, cond: str, error: str, edges: Sequence[float] = (0.01, 0.05)) -> DataFrame:
     """Count, median and 90th percentile of errors by bands of conditioning."""
     band = F.when(F.col(cond) < edges[0], 0).when(F.col(cond) < edges[1], 1).otherwise(2)
-    rows = df.where(F.col(cond).isNotNull()).withColumn("band", band)
-    return rows.groupBy(*by, "band").agg(F.count("*").alias("n"), F.median(error).alias("median"), F.percentile(error, 0.9).alias("p90"))
+    rows = cut(df.where(F.col(cond).isNotNull()).select(*by, band.alias("band"), error))
+    counts = rows.groupBy(*by, "band").agg(F.count("*").alias("n"))
+    return safe_join(counts, exact_percentiles(rows, [*by, "band"], error, {"median": 0.5, "p90": 0.9}).drop("n"), [*by, "band"])
 
 
 def cut_ratios(df: DataFrame, by: Sequence[str], *, score: str, error: str, cuts: Sequence[float] = (0.98, 0.95, 0.92)) -> DataFrame:
     """Median error under each cut over that at or above it."""
-    rows = df.withColumn("cut", F.explode(F.array(*[F.lit(float(c)) for c in cuts])))
-    under, over = F.median(F.when(F.col(score) < F.col("cut"), F.col(error))), F.median(F.when(F.col(score) >= F.col("cut"), F.col(error)))
-    return rows.groupBy(*by, "cut").agg(under.alias("under"), over.alias("over"), F.try_divide(under, over).alias("ratio"))
+    side = lambda c: F.struct(F.lit(float(c)).alias("cut"), (F.col(score) < c).alias("__low"))
+    rows = df.withColumn("__c", F.explode(F.array(*[side(c) for c in cuts]))).select(*by, "__c.*", error)
+    mids = exact_percentiles(rows, [*by, "cut", "__low"], error, {"__mid": 0.5})
+    under, over = F.max(F.when(F.col("__low"), F.col("__mid"))), F.max(F.when(~F.col("__low"), F.col("__mid")))
+    return mids.groupBy(*by, "cut").agg(under.alias("under"), over.alias("over"), F.try_divide(under, over).alias("ratio"))
 
 
 def path(df: DataFrame, by: Sequence[str], order: Sequence[str], axes: Sequence[str] = ("tx", "ty", "tz"), *, width: float = WIDTH) -> DataFrame:
@@ -162,7 +168,7 @@ def straightness(chains: DataFrame, by: Sequence[str], *, chain: str = "chain",
     rows = safe_join(rows, ends, key).withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("along") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)))
     means = rows.groupBy(*key, "bin").agg(F.avg("across").alias("m"))
     bows = means.groupBy(*key).agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("bow"), F.count("*").alias("occupied")).where(F.col("occupied") >= bins // 2)
-    return bows.groupBy(*by).agg(F.count("*").alias("chains"), F.median("bow").alias("median"), F.percentile("bow", 0.9).alias("p90"))
+    return exact_percentiles(bows, by, "bow", {"median": 0.5, "p90": 0.9}).withColumnRenamed("n", "chains")
 
 
 def expected_files(manifest: DataFrame) -> DataFrame:

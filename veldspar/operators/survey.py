@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .ranks import exact_percentiles
 from .ordered import WIDTH, numbered, safe_join
 from .quality import circular_mean, path, sampled_fraction, verdict
 from .selection import floors, tracking_normal
@@ -113,12 +114,19 @@ def episode_poses(poses: DataFrame, by: Sequence[str], order: Sequence[str], *,
     return out.drop("__f", "__n", "__m")
 
 
+def _long(values: Sequence[str]) -> Column:
+    """A row for each of some columns: its name and value, as ``__x``."""
+    return F.explode(F.array(*[F.struct(F.lit(v).alias("__of"), F.col(v).cast("double").alias("__value")) for v in values])).alias("__x")
+
+
 def split_medians(rows: DataFrame, by: Sequence[str], flag: str, values: Sequence[str]) -> DataFrame:
     """Medians of flagged rows and of the others, where a session has both, and how far the others lie above."""
-    aggs = [F.count(F.when(F.col(flag), 1)).alias("flagged"), F.count(F.when(~F.col(flag), 1)).alias("others")]
-    for v in values:
-        aggs += [F.median(F.when(F.col(flag), F.col(v))).alias(f"{v}_flagged"), F.median(F.when(~F.col(flag), F.col(v))).alias(f"{v}_others")]
-    out = rows.groupBy(*by).agg(*aggs).where("flagged > 0 and others > 0")
+    counts = rows.groupBy(*by).agg(F.count(F.when(F.col(flag), 1)).alias("flagged"), F.count(F.when(~F.col(flag), 1)).alias("others"))
+    key = [*by, "__flag", "__of"]
+    long = rows.select(*by, F.col(flag).alias("__flag"), _long(values)).select(*by, "__flag", "__x.*").where(F.col("__flag").isNotNull())
+    mids = exact_percentiles(long, key, "__value", {"__mid": 0.5})
+    sides = {f"{v}_{side}": F.max(F.when((F.col("__of") == v) & (F.col("__flag") == hit), F.col("__mid"))) for v in values for side, hit in (("flagged", True), ("others", False))}
+    out = safe_join(counts.where("flagged > 0 and others > 0"), mids.groupBy(*by).agg(*[c.alias(n) for n, c in sides.items()]), by)
     return out.withColumns({f"{v}_deficit": F.col(f"{v}_others") - F.col(f"{v}_flagged") for v in values})
 
 
@@ -193,7 +201,11 @@ def endpoint_errors(rows: DataFrame, by: Sequence[str], order: Sequence[str], *,
 
 def window_scores(windows: DataFrame, by: Sequence[str], *, ours: str, theirs: str, scale: str) -> DataFrame:
     """Median errors of two trajectories over a session's windows, the median scale, and how often ours is nearer."""
-    return windows.groupBy(*by).agg(F.median(ours).alias("ours"), F.median(theirs).alias("theirs"), F.median(scale).alias("scale"), F.count(F.when(F.col(ours) < F.col(theirs), 1)).alias("wins"), F.count("*").alias("windows"))
+    counts = windows.groupBy(*by).agg(F.count(F.when(F.col(ours) < F.col(theirs), 1)).alias("wins"), F.count("*").alias("windows"))
+    names = dict(zip(dict.fromkeys((ours, theirs, scale)), ("ours", "theirs", "scale"), strict=True))
+    mids = exact_percentiles(windows.select(*by, _long(list(names))).select(*by, "__x.*"), [*by, "__of"], "__value", {"__mid": 0.5})
+    mids = mids.groupBy(*by).agg(*[F.max(F.when(F.col("__of") == c, F.col("__mid"))).alias(n) for c, n in names.items()])
+    return safe_join(mids, counts, by)
 
 
 def session_list(manifests: DataFrame, files: DataFrame, uploaded: DataFrame, *, session: str = "session") -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .ordered import BLOCK, DEALT, OWN, WIDTH, blocks, carried, numbered, previous, running, safe_join
+from .ordered import BLOCK, DEALT, OWN, PLACE, WIDTH, blocks, carried, cut, keys_of, numbered, previous, running, runs, safe_join, scan
+from .ranks import exact_percentiles
 
 
 def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], *, t: str = "t", right_order: Sequence[str] = (), values: Sequence[str], prefix: str = "near_", tie: str = "earlier", tolerance: float | None = None, width: float = WIDTH) -> DataFrame:
@@ -53,16 +54,25 @@ def interval_average(intervals: DataFrame, samples: DataFrame, by: Sequence[str]
     """Average and number of the samples (null values don't count) with start <= t <= end, for each interval.
 
     An interval without a border or that ends before it starts has none; repeated ones have the same.
+    Samples on a border count on both sides.
 
-    A range join by buckets of ``width``: an interval meets the buckets it
-    covers, so the join is on equal keys. Samples on a border count on both sides.
+    No range join: borders and samples are merged in time order, running sums and counts are taken
+    in slots of ``width``, and an interval is the difference of those at its borders, however many
+    slots it covers. Values are summed about their session's mean, so that sums stay small.
     """
     key = [*by, start, end]
-    # Intervals that repeat are met once.
-    spread = intervals.select(*key).distinct().withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    dots = samples.select(*by, F.col(t).alias("__t"), F.col(value).alias("__v"), F.floor(F.col(t) / width).alias("__b"))
-    met = safe_join(spread, dots, [*by, "__b"]).where(F.col("__t").between(F.col(start), F.col(end)))
-    sums = met.groupBy(*key).agg(F.avg("__v").alias(name), F.count("__v").alias(f"{name}_n"))
+    wanted = intervals.select(*key).distinct().where(F.col(start) <= F.col(end))
+    dots = samples.where(F.col(value).isNotNull() & F.col(t).isNotNull()).select(*by, F.col(t).alias("__t"), F.col(value).cast("double").alias("__v"))
+    means = dots.groupBy(*by).agg(F.avg("__v").alias("__mean"))
+    dots = safe_join(dots, means, by).withColumns({"__v": F.col("__v") - F.col("__mean"), "__n": F.lit(1), "__side": F.lit(1)}).drop("__mean")
+    ends = F.array(F.struct(F.col(start).alias("t"), F.lit(0).alias("side")), F.struct(F.col(end).alias("t"), F.lit(2).alias("side")))
+    borders = wanted.withColumn("__b", F.explode(ends)).select(*key, F.col("__b.t").alias("__t"), F.col("__b.side").alias("__side"))
+    both = dots.unionByName(borders, allowMissingColumns=True)
+    both = running(both, by, ["__t", "__side"], {"__sum": F.col("__v"), "__count": F.col("__n")}, width=width).where("__side <> 1")
+    at = lambda c: F.sum(F.when(F.col("__side") == 2, F.col(c)).otherwise(-F.col(c)))
+    sums = safe_join(both.groupBy(*key).agg(at("__sum").alias("__sum"), at("__count").alias("__count")), means, by, "left")
+    mean = F.when(F.col("__count") > 0, F.col("__mean") + F.col("__sum") / F.col("__count"))
+    sums = sums.select(*key, mean.alias(name), F.col("__count").cast("bigint").alias(f"{name}_n"))
     return safe_join(intervals, sums, key, "left").withColumn(f"{name}_n", F.coalesce(f"{name}_n", F.lit(0)))
 
 
@@ -105,52 +115,49 @@ def focus_settle(samples: DataFrame, by: Sequence[str], *, t: str = "t", fx: str
     return found.select(*by, "samples", F.when(F.col("__at") == 1, F.lit(0.0)).otherwise(F.col("__t") - F.col("t0")).alias("settled"))
 
 
-def rate_gate(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), hz: float, name: str = "fires") -> DataFrame:
+def rate_gate(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), hz: float, name: str = "fires", width: float = WIDTH) -> DataFrame:
     """Marks the rows that a gate of ``hz`` lets through.
 
     The first row fires; later ones if t >= due. Due moves on by the interval,
     or to t + interval if the row came an interval late or more. The fold depends
-    on order, so it streams through each session; rows are not gathered.
+    on order, so it streams through rows; a session is cut where it pauses for two intervals, since a gate
+    has forgotten its past by then. Rows without a time fire nothing; a null session key is a session.
     """
-    return _fold(df, by, [t, *order], t, {name: hz})
+    return _fold(df, by, [t, *order], t, {name: hz}, width)
 
 
-def coupled_gates(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), image_hz: float, depth_hz: float, throttled: str | None = None) -> DataFrame:
+def coupled_gates(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), image_hz: float, depth_hz: float, throttled: str | None = None, width: float = WIDTH) -> DataFrame:
     """Adds image (its gate) and depth (either gate); both gates see every row but ``throttled`` ones, which give neither."""
     rest = df.limit(0) if throttled is None else df.where(F.col(throttled))
     seen = df if throttled is None else df.where(~F.coalesce(F.col(throttled), F.lit(False)))
-    out = _fold(seen, by, [t, *order], t, {"image": image_hz, "__depth": depth_hz})
+    out = _fold(seen, by, [t, *order], t, {"image": image_hz, "__depth": depth_hz}, width)
     out = out.withColumn("depth", F.col("image") | F.col("__depth")).drop("__depth")
     return out if throttled is None else out.unionByName(rest.withColumns({"image": F.lit(False), "depth": F.lit(False)}))
 
 
-def _fold(df: DataFrame, by: Sequence[str], order: Sequence[str], t: str, rates: dict[str, float]) -> DataFrame:
+def _fold(df: DataFrame, by: Sequence[str], order: Sequence[str], t: str, rates: dict[str, float], width: float) -> DataFrame:
     steps = {n: 1.0 / max(0.01, hz) for n, hz in rates.items()}
-    n_keys = len(by)
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartition(count, *by).sortWithinPartitions(*by, *order)
-    names = df.columns
-    keys, at = [names.index(c) for c in by], names.index(t)
+    timed = F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double"))
+    rows, apart = runs(df.where(timed), by, order, 2 * max(steps.values()), width=width)
 
-    def task(batches):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, due = None, {}
         for batch in batches:
-            key_lists = [batch.iloc[:, k].tolist() for k in keys]
-            times = batch.iloc[:, at].tolist()
-            fired = {n: np.zeros(len(batch), bool) for n in steps}
-            for i, x in enumerate(times):
-                key = tuple(key_lists[k][i] for k in range(n_keys))
+            fired = {n: [] for n in steps}
+            times = batch.column(batch.schema.names.index(t)).to_pylist()
+            for key, x in zip(keys_of(batch, apart), map(float, times), strict=True):
                 if key != now:
                     now, due = key, {}
                 for n, step in steps.items():
                     d = due.get(n)
-                    if d is None or x >= d:
-                        fired[n][i] = True
+                    fires = d is None or x >= d
+                    if fires:
                         due[n] = x + step if d is None or x - d >= step else d + step
-            yield batch.assign(**fired)
+                    fired[n].append(fires)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(f, pa.bool_()) for f in fired.values()]], names=[*batch.schema.names[:-1], *fired])
 
     schema = StructType([*df.schema.fields, *[StructField(n, BooleanType()) for n in steps]])
-    return rows.mapInPandas(task, schema)
+    return rows.mapInArrow(task, schema).unionByName(df.where(~timed).withColumns({n: F.lit(False) for n in steps}))
 
 
 def row_windows(df: DataFrame, by: Sequence[str], *, order: Sequence[str], size: int, step: int, pinned: bool = True, width: float = WIDTH) -> DataFrame:
@@ -187,20 +194,29 @@ def resample(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[
     return both.select(*by, "k", t, v.alias(value))
 
 
-def low_pass(df: DataFrame, by: Sequence[str], *, t: str = "t", value: str, cutoff_hz: float = 2.0, name: str = "smooth") -> DataFrame:
-    """Zero-phase one-pole filter: one pass forward, one backward. One session at a time."""
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+def low_pass(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), value: str, cutoff_hz: float = 2.0, name: str = "smooth", width: float = WIDTH, block: int = 256) -> DataFrame:
+    """Zero-phase one-pole filter: one pass forward, one backward, with the session's median time step.
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(t, kind="stable")
-        x, times = rows[value].to_numpy(float), rows[t].to_numpy(float)
-        dt = float(np.median(np.diff(times))) if len(times) > 1 else 0.0
-        a = dt / (dt + 1 / (2 * np.pi * cutoff_hz)) if dt > 0 else 1.0
-        for _ in range(2):
-            y = x.copy()
-            for i in range(1, len(y)):
-                y[i] = y[i - 1] + a * (x[i] - y[i - 1])
-            x = y[::-1]
-        return rows.assign(**{name: x})
-
-    return df.groupBy(*by).applyInPandas(kernel, schema)
+    Each pass is a scan over maps y -> a y + b, whose composition is associative; the first row's
+    map forgets what came before it. Rows without a finite time or value take no part and have
+    none; rows of one time go in ``order``; a null session key is a session.
+    """
+    finite = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    rows, rest = df.where(finite(t) & finite(value)), df.where(~(finite(t) & finite(value)))
+    steps = previous(rows, by, [t, *order], {"__t0": t}, width=width)
+    steps = cut(numbered(steps, by, [t, *order], PLACE, width=width).withColumn("__dt", F.col(t) - F.col("__t0")))
+    dt = exact_percentiles(steps, by, "__dt", {"__mid": 0.5})
+    weight = F.when(F.col("__mid") > 0, F.col("__mid") / (F.col("__mid") + 1 / (2 * math.pi * cutoff_hz))).otherwise(1.0)
+    # As many steps as the last place is.
+    rows = safe_join(steps, dt.select(*by, F.col("n").alias("__last"), weight.alias("__w")), by).withColumn("__back", F.col("__last") - F.col(PLACE))
+
+    def filtered(rows: DataFrame, place: str, x: Column, out: str) -> DataFrame:
+        first, w = F.col(place) == 0, F.col("__w")
+        step = F.struct(F.when(first, 0.0).otherwise(1 - w).alias("a"), F.when(first, x).otherwise(w * x).alias("b"))
+        then = lambda f, g: F.struct((g["a"] * f["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"))
+        start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+        return scan(rows, by, place, step, start, then, "__y", block=block).withColumn(out, F.col("__y.b"))
+
+    rows = filtered(rows, PLACE, F.col(value).cast("double"), "__f").drop("__y")
+    rows = filtered(rows, "__back", F.col("__f"), name)
+    return rows.select(*df.columns, name).unionByName(rest.withColumn(name, F.lit(None).cast("double")))

@@ -2,7 +2,7 @@
 
 Alignments are three passes: means, then sums of products about them (combined before the
 shuffle), which give a 3 x 3 matrix for each session; a small kernel solves it, and the
-residuals are taken against the joined solution. No session is gathered but by ``chain``.
+residuals are taken against the joined solution. Windows are chained by a scan over their similarities.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import geometry as g
-from .ordered import WIDTH, carried, previous, safe_join
+from .ordered import WIDTH, carried, cut, previous, safe_join, scan
 
 AXES = "xyz"
 
@@ -206,24 +206,87 @@ def umeyama(source: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray,
     return scale, rot, mt - scale * rot @ ms
 
 
-def chain(windows: DataFrame, by: Sequence[str], *, window: str = "window", frame: str = "frame", axes: Sequence[str] = ("x", "y", "z"), least: int = 3) -> DataFrame:
+def _same() -> Column:
+    """The similarity that changes nothing."""
+    return F.struct(F.lit(1.0).alias("scale"), F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)]).alias("r"), F.array(*[F.lit(0.0)] * 3).alias("shift"))
+
+
+def _moved(m: Column, p: Sequence[Column]) -> list[Column]:
+    """A point under a similarity."""
+    return [m["scale"] * v + m["shift"][i] for i, v in enumerate(g.apply(m["r"], p))]
+
+
+def _after(a: Column, b: Column) -> Column:
+    """First ``b``, then ``a``."""
+    return F.struct((a["scale"] * b["scale"]).alias("scale"), g.multiply(a["r"], b["r"]).alias("r"), F.array(*_moved(a, [b["shift"][i] for i in range(3)])).alias("shift"))
+
+
+def _enough(of: Column, least: int) -> Column:
+    """``of``, or an error where a fit has too few frames."""
+    few = F.raise_error(F.concat(F.lit("window "), F.col("__w").cast("string"), F.lit(" shares "), F.coalesce(F.col("n"), F.lit(0)).cast("string"), F.lit(" frames with the windows before it")))
+    return F.when(F.coalesce(F.col("n"), F.lit(0)) >= least, of).otherwise(few.cast("struct<scale: double, r: array<double>, shift: array<double>>"))
+
+
+def window_maps(windows: DataFrame, by: Sequence[str], *, window: str, frame: str, axes: Sequence[str], least: int, block: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of windows with their first window, the similarity of each window to its session's first, and sessions it can't be taken of.
+
+    A window is fitted to the one before over the frames that began there, by sums; the fits of a session
+    are composed by a scan, as similarities compose associatively. The last window, which may reach back over
+    several, is fitted to the composed ones. Sessions in which another window reaches back further are given apart.
+    """
+    rows = windows.where(F.col(frame).isNotNull() & F.col(window).isNotNull()).groupBy(*by, F.col(window).alias("__w"), frame).agg(F.min(F.struct(*axes)).alias("__p"))
+    numbers = rows.select(*by, "__w").distinct().withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("__w")) - 1)
+    numbers = numbers.withColumn("__last", F.max("__k").over(Window.partitionBy(*by)))
+    first = F.min(F.struct("__k", "__p")).over(Window.partitionBy(*by, frame))
+    rows = cut(safe_join(rows, numbers, [*by, "__w"]).withColumn("__first", first))
+    rows = rows.select("*", *[F.col(f"__p.{a}").cast("double").alias(f"__s{i}") for i, a in enumerate(axes)], *[F.col(f"__first.__p.{a}").cast("double").alias(f"__t{i}") for i, a in enumerate(axes)])
+    source, target = [f"__s{i}" for i in range(3)], [f"__t{i}" for i in range(3)]
+    shared = rows.where(F.col("__first.__k") < F.col("__k"))
+    odd = shared.where((F.col("__k") < F.col("__last")) & (F.col("__first.__k") < F.col("__k") - 1)).select(*by).distinct()
+    inner = safe_join(shared.where(F.col("__k") < F.col("__last")), odd, by, "left_anti") if by else shared.where(F.col("__k") < F.col("__last"))
+    local = fits(inner, [*by, "__k"], source, target, scaled=True)
+    numbers = numbers.select(*by, "__w", "__k", "__last").where((F.col("__k") < F.col("__last")) | (F.col("__k") == 0))
+    numbers = safe_join(numbers, odd, by, "left_anti") if by else numbers
+    steps = safe_join(numbers, local.withColumn("__m", F.struct("scale", "r", "shift")), [*by, "__k"], "left")
+    step = F.when(F.col("__k") == 0, _same()).otherwise(_enough(F.col("__m"), least))
+    steps = steps.select(*by, "__k", step.alias("__m"))
+    maps = cut(scan(steps, by, "__k", F.col("__m"), _same(), _after, "__map", block=block).select(*by, "__k", "__map"))
+    ends = shared.where(F.col("__k") == F.col("__last")).withColumn("__at", F.col("__first.__k"))
+    ends = safe_join(ends, maps.withColumnRenamed("__k", "__at"), [*by, "__at"])
+    ends = ends.withColumns({f"__t{i}": c for i, c in enumerate(_moved(F.col("__map"), [F.col(f"__t{i}") for i in range(3)]))})
+    final = fits(ends, by, source, target, scaled=True).withColumn("__m", F.struct("scale", "r", "shift"))
+    lasts = rows.where((F.col("__k") == F.col("__last")) & (F.col("__k") > 0)).select(*by, "__k", "__w").distinct()
+    lasts = safe_join(lasts, odd, by, "left_anti") if by else lasts
+    lasts = safe_join(lasts, final, by, "left").select(*by, "__k", _enough(F.col("__m"), least).alias("__map"))
+    return rows, maps.unionByName(lasts), odd
+
+
+def chain(windows: DataFrame, by: Sequence[str], *, window: str = "window", frame: str = "frame", axes: Sequence[str] = ("x", "y", "z"), least: int = 3, block: int = 256) -> DataFrame:
     """Chains overlapping windows of one trajectory, each with a frame and scale of its own.
 
     The first window is the base; each next one is mapped by the similarity over
     the frames it shares with what is chained so far, whose positions win. Fewer
-    than ``least`` shared frames fail. The fold depends on order: one session is
-    one group.
+    than ``least`` shared frames fail. Where windows overlap by half at most (but for the last) this is a scan
+    (``window_maps``); sessions whose windows overlap by more are folded in order, one session a task.
+    Rows without a frame or window are left out, a frame that a window repeats is taken once, a null session key is a session.
     """
+    rows, maps, odd = window_maps(windows, by, window=window, frame=frame, axes=axes, least=least, block=block)
     schema = windows.select(*by, frame, *axes).schema
+    own = rows.where(F.col("__first.__k") == F.col("__k")).select(*by, frame, "__k", "__s0", "__s1", "__s2")
+    out = safe_join(own, maps, [*by, "__k"])
+    at = [F.col(f"__s{i}") for i in range(3)]
+    out = out.select(*by, frame, *[c.cast(windows.schema[a].dataType).alias(a) for a, c in zip(axes, _moved(F.col("__map"), at), strict=True)])
+    if not by:
+        return out
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         done: dict[int, np.ndarray] = {}
-        for k, part in rows.sort_values([window, frame], kind="stable").groupby(window, sort=True):
-            at, xyz = part[frame].tolist(), part[list(axes)].to_numpy(float)
+        for _, part in rows.sort_values(["__k", frame], kind="stable").groupby("__k", sort=True):
+            at, xyz = part[frame].tolist(), part[["__s0", "__s1", "__s2"]].to_numpy(float)
             if done:
                 both = [i for i, f in enumerate(at) if f in done]
                 if len(both) < least:
-                    raise ValueError(f"window {k} shares {len(both)} frames with the windows before it")
+                    raise ValueError(f"window {part['__w'].iloc[0]} shares {len(both)} frames with the windows before it")
                 scale, rot, shift = umeyama(xyz[both], np.array([done[at[i]] for i in both]))
                 xyz = scale * xyz @ rot.T + shift
             for f, p in zip(at, xyz, strict=True):
@@ -231,9 +294,10 @@ def chain(windows: DataFrame, by: Sequence[str], *, window: str = "window", fram
         out = pd.DataFrame({frame: list(done), **{a: [p[i] for p in done.values()] for i, a in enumerate(axes)}})
         for c in by:
             out[c] = rows[c].iloc[0]
-        return out[[*by, frame, *axes]].sort_values(frame)
+        return out[[*by, frame, *axes]]
 
-    return windows.groupBy(*by).applyInPandas(kernel, schema)
+    rest = safe_join(rows.select(*by, frame, "__k", "__w", "__s0", "__s1", "__s2"), odd, by, "left_semi")
+    return out.unionByName(rest.groupBy(*by).applyInPandas(kernel, schema))
 
 
 def relative_errors(df: DataFrame, by: Sequence[str], order: Sequence[str], *, estimate: str = "est", reference: str = "ref", width: float = WIDTH) -> DataFrame:
