@@ -1,7 +1,11 @@
 """Main text of web pages by composite text density.
 
 The page is parsed leniently into a tree; elements that are furniture by tag or role
-(menus, side matter, footers, forms, dialogs) and reader comments take no part. Every node
+(menus, side matter, footers, dialogs, forms) take no part. A form that wraps the page (it holds an
+article or main, menus or footers, or over half of the text) is none. What a class or id marks, as a word of its
+own, as reader comments (``COMMENTS``) or as an advert, notice or sharing bar (``MARKS``) goes too;
+not an advert or notice that holds all articles and mains of the page. If no text stands outside such elements, the outermost
+of them are no such thing, and those inside are looked at in the same way. Every node left
 gets its characters C, tags T, link characters LC and link tags LT (all 1 at
 least); its composite text density is
 
@@ -12,19 +16,19 @@ sum adds its children's densities, text in the node itself as a child of one tag
 with the largest sum is chosen; in a page with an ``article`` or ``main``, among those inside
 one. The least density on its path to the body is the threshold.
 
-The content is the article around the chosen node, else the main around it, whole. Else it
-is the chosen node's subtree (that of the container around it, if it is a paragraph or list), with
-what stands beside its path: containers whose density reaches the threshold, and headings
-and paragraphs that aren't mostly links; containers in it that don't reach the threshold go if others do. From the content goes only what a
-class or id marks, as a word of its own, as an advert, notice or sharing bar
-(``MARKS``), if it holds less than half of the content; links are kept.
+The content is the chosen node's subtree (that of the container around it, if it is a paragraph or
+list), with what stands beside its path. Up to the article or main around it, that is all but containers
+that hold mostly links and don't reach the threshold; such containers in the subtree go as well. Without article or
+main, the path goes up to the body and only containers whose density reaches the threshold, and whose sum the chosen
+node's density, are taken, and headings and paragraphs that aren't mostly links; containers in the subtree that don't reach the threshold go if others do.
 
 One narrow pass; the parser keeps its own stack and counts open tags, so deep, long or
 broken pages take time in proportion to their length.
 
 Defined results: a null or empty page, or one without text, gives an empty
 text; broken or unclosed markup is closed where its parent ends, and an end tag that closes
-nothing is left out; of equal sums the first node in page order is chosen; repeated pages
+nothing is left out; a head that isn't closed ends before what can't stand in one, and what
+stands before or after the body belongs to it; of equal sums the first node in page order is chosen; repeated pages
 are handled one by one; very long pages are taken whole; an empty table gives no rows; columns
 that aren't named are not read.
 """
@@ -50,6 +54,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 FURNITURE_TAGS = frozenset("nav aside footer form dialog menu".split())
+#: What stands in a head; anything else ends it.
+HEAD_TAGS = frozenset("title meta link base basefont bgsound style script noscript template".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: Words of a class or id (between blanks) of reader comments, and of other things that an article may hold.
 COMMENTS = frozenset("comments comment comment-list commentlist comments-area disqus_thread respond replies reader-comments".split())
@@ -79,6 +85,8 @@ class Node:
 
 def _marked(tag: str, attributes: str) -> str:
     """What an element is by its tag, role, class or id: furniture, comments, marked or nothing of these."""
+    if tag == "form":
+        return "form"
     if tag in FURNITURE_TAGS:
         return "furniture"
     if not attributes or "=" not in attributes:
@@ -111,6 +119,8 @@ def parse(html: str) -> Node:
 
     while at < end:
         lt = html.find("<", at)
+        if opened["head"] and not opened["noscript"] and not opened["template"] and html[at : lt if lt >= 0 else end].strip():
+            leave(root)  # text
         if lt < 0:
             node.children.append(unescape(html[at:]))
             break
@@ -136,6 +146,8 @@ def parse(html: str) -> Node:
             continue
         if tag == "html" or tag == "body" and body:
             continue
+        if tag == "body" or opened["head"] and tag not in HEAD_TAGS and not opened["noscript"] and not opened["template"]:
+            leave(root)
         if tag in CLOSES:
             if any(opened[t] for t in CLOSES[tag]):
                 up, to = node, node
@@ -168,6 +180,18 @@ def parse(html: str) -> Node:
     return root
 
 
+def _body(root: Node) -> Node:
+    """The body, with all that stands beside it but the head."""
+    body = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), None) or Node("body", root)
+    at = root.children.index(body) if body in root.children else len(root.children)
+    outside = lambda nodes: [c for c in nodes if isinstance(c, str) or c.tag != "head"]
+    body.children = [*outside(root.children[:at]), *body.children, *outside(root.children[at + 1 :])]
+    for c in body.children:
+        if isinstance(c, Node):
+            c.parent = body
+    return body
+
+
 def _ordered(root: Node) -> list[Node]:
     """All nodes that may hold text, parents first."""
     out, stack = [], [root]
@@ -191,31 +215,55 @@ def _sizes(nodes: list[Node]) -> dict[int, int]:
     return size
 
 
-def _without(nodes: list[Node], body: Node) -> list[Node]:
-    """``nodes`` without furniture, comments and the page's header, which leave the tree.
+def _kept(nodes: list[Node], gone: set[int]) -> list[Node]:
+    """``nodes`` without those in ``gone`` and what they hold; they leave the tree."""
+    out = []
+    for n in nodes:
+        if id(n) in gone or id(n.parent) in gone:
+            gone.add(id(n))
+        else:
+            out.append(n)
+    for n in out:
+        n.children = [c for c in n.children if isinstance(c, str) or id(c) not in gone]
+    return out
 
-    Comments are such only if what they hold is less than half of the page's text
-    and, outside an article, not all of its articles and mains.
-    """
-    holds: dict[int, int] = {}
-    for n in reversed(nodes):
-        holds[id(n)] = (n.tag in ("article", "main")) + sum(holds.get(id(c), 0) for c in n.children if isinstance(c, Node))
-    size = _sizes(nodes) if any(n.marked == "comments" for n in nodes) else {}
-    gone: set[int] = set()
+
+def _without(nodes: list[Node], body: Node) -> list[Node]:
+    """``nodes`` without furniture, the page's header, and what is marked as comments or no content."""
+    size = _sizes(nodes)
+    semantic: dict[int, int] = {}  # articles and mains in a node
+    frame: dict[int, int] = {}  # furniture in a node
     inside: dict[int, bool] = {}  # an article or main is around it
     for n in nodes:
         inside[id(n)] = n is not body and (inside[id(n.parent)] or n.parent.tag in ("article", "main"))
-        if n is body:
-            continue
-        out = n.marked == "furniture" or n.tag == "header" and not inside[id(n)]
-        if n.marked == "comments":
-            out = holds[id(n)] < holds[id(body)] or not holds[id(body)] and 2 * size[id(n)] <= size[id(body)]
-        if out or id(n.parent) in gone:
-            gone.add(id(n))
-    for n in nodes:
-        if id(n) not in gone:
-            n.children = [c for c in n.children if isinstance(c, str) or id(c) not in gone]
-    return [n for n in nodes if id(n) not in gone]
+    for n in reversed(nodes):
+        below = [c for c in n.children if isinstance(c, Node)]
+        semantic[id(n)] = (n.tag in ("article", "main")) + sum(semantic.get(id(c), 0) for c in below)
+        frame[id(n)] = (n.marked == "furniture" or n.tag == "header" and not inside[id(n)]) + sum(frame.get(id(c), 0) for c in below)
+
+    def furniture(n: Node) -> bool:
+        if n.marked == "form":
+            return not (semantic[id(n)] or frame[id(n)] or 2 * size[id(n)] > size[id(body)])
+        return n.marked == "furniture" or n.tag == "header" and not inside[id(n)]
+
+    nodes = _kept(nodes, {id(n) for n in nodes if n is not body and furniture(n)})
+    pages = sum(n.tag in ("article", "main") for n in nodes)
+    whole = lambda n: n.marked == "marked" and pages and semantic[id(n)] >= pages
+    suspect = {id(n) for n in nodes if n.marked in ("marked", "comments") and n is not body and n.tag not in ("article", "main") and not whole(n)}
+    size = _sizes(nodes)
+    while suspect:
+        outer: list[Node] = []  # suspects that no other one is around
+        covered: set[int] = set()
+        for n in nodes:
+            if n is not body and id(n.parent) in covered:
+                covered.add(id(n))
+            elif id(n) in suspect:
+                covered.add(id(n))
+                outer.append(n)
+        if sum(size[id(n)] for n in outer) < size[id(body)]:
+            return _kept(nodes, suspect)
+        suspect -= {id(n) for n in outer}
+    return nodes
 
 
 def _score(nodes: list[Node], body: Node) -> None:
@@ -260,27 +308,23 @@ def _content(nodes: list[Node], body: Node) -> tuple[Node, set[int]]:
     """The element of the content, and ids of the nodes inside it that are none."""
     best, threshold, around = _chosen(nodes, body)
     gone: set[int] = set()
+    top = best
+    while top is not body and top is not around and top.tag not in CONTAINERS:
+        top = top.parent
+    links = lambda c: 2 * c.link_chars > c.chars
     if around is not None:
-        top = around
-    else:
-        top = best
-        while top is not body and top.tag not in CONTAINERS:
-            top = top.parent
-        kept = top
-        inner = [c for c in top.children if isinstance(c, Node) and c.tag in CONTAINERS]
-        if any(c.density >= threshold for c in inner):
-            gone.update(id(c) for c in inner if c.density < threshold)
-        while top is not body:
-            here, top = top, top.parent
-            for c in top.children:
-                if isinstance(c, str) or c is here or c.tag in SKIP:
-                    continue
-                plain = c.tag in BLOCK and c.tag not in CONTAINERS and 2 * c.link_chars < c.chars and not any(isinstance(x, Node) and x.tag in CONTAINERS for x in c.children)
-                if not (plain or c.density >= threshold) or c.marked == "marked" and 2 * c.chars < kept.chars:
-                    gone.add(id(c))
-    for n in nodes:
-        if n.marked == "marked" and n is not top and n.tag not in ("article", "main") and 2 * n.chars < top.chars:
-            gone.add(id(n))
+        return around, {id(n) for n in nodes if n is not around and n.tag in CONTAINERS and n.tag not in ("article", "main") and links(n) and n.density < threshold and n is not top}
+    inner = [c for c in top.children if isinstance(c, Node) and c.tag in CONTAINERS]
+    if any(c.density >= threshold for c in inner):
+        gone.update(id(c) for c in inner if c.density < threshold)
+    while top is not body:
+        here, top = top, top.parent
+        for c in top.children:
+            if isinstance(c, str) or c is here or c.tag in SKIP:
+                continue
+            plain = c.tag in BLOCK and c.tag not in CONTAINERS and 2 * c.link_chars < c.chars and not any(isinstance(x, Node) and x.tag in CONTAINERS for x in c.children)
+            if not (plain or c.density >= threshold and c.total >= best.density):
+                gone.add(id(c))
     return top, gone
 
 
@@ -288,8 +332,7 @@ def main_blocks(html: str | None) -> list[str]:
     """The blocks of the main text, in page order."""
     if not html:
         return []
-    root = parse(html)
-    body = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
+    body = _body(parse(html))
     nodes = _without(_ordered(body), body)
     _score(nodes, body)
     if not body.chars:
