@@ -13,7 +13,8 @@ more for capitals and for digits in place of letters; a date that of the dates i
 question; a repeat that of its character and length; a walk (keys side by side, or
 characters in sequence) that of 47 starts and its length, and 2 bits for each turn;
 a brute-force stretch the bits of its characters. Words are ``WORDS`` and then
-those that a vocabulary file lists, in its order.
+those that a vocabulary file lists, in its order; words of more than 20 letters are none. A value ends at white
+space; one that holds letters alone, some of them beyond ASCII, is left out, as no vocabulary tells whether it is a word.
 
 One narrow pass. Places are code points, ends exclusive.
 
@@ -41,7 +42,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|passwort|contraseña|clave|mot\x20de\x20passe|secret|token|credentials?|auth|bearer|pin|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|client[\x20_-]?secret)["']?\x20*(?:[:=]+>?|\x20is\x20|\x20ist\x20|\x20est\x20|\x20es\x20)\x20*["'`]?([!-~]{6,})""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|passwort|contraseña|clave|mot\x20de\x20passe|secret|token|credentials?|auth|bearer|pin|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|client[\x20_-]?secret)["']?\x20*(?:[:=]+>?|\x20is\x20|\x20ist\x20|\x20est\x20|\x20es\x20)\x20*["'`]?([^\s\x00-\x20\x7F]{6,})""",
     re.I,
 )
 #: Without one of these there is no context.
@@ -196,6 +197,8 @@ def find(text: str | None, min_bits: float = 36.0, words: Mapping[str, int] = _R
             value = m[1].rstrip("\"'`,;.)")
             a = m.start(1)
             b = a + len(value)
+            if not value.isascii() and value.isalpha():  # words are ASCII ones; others' are no secrets for that
+                continue
             if segments(value, words, min_bits) is None and not any(x <= a and b <= y for _, x, y in base):
                 out.append(("guess", a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
