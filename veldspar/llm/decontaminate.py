@@ -6,12 +6,12 @@ after each word the automaton gives the longest suffix of what was read that
 occurs in any item. Every word inside an occurrence of a *window* (``window``
 consecutive item words, or a whole item that is shorter) is hit.
 
-Plan: one narrow pass over the documents without a shuffle. The benchmark is
+Plan: one narrow pass over the documents without a shuffle or a copy. The benchmark is
 dealt into shards of about ``max_shard_words`` words by a prefix sum over blocks whose
-number follows its size, so what is gathered and broadcast has a bound whatever the
-benchmark's size; more than one shard means more than one pass, each cut by a written
-table. The driver makes the automaton and flattens it to arrays of some 60 bytes
-a word, beside the vocabulary.
+number follows its size. The driver makes an automaton of each shard, one after the other, and flattens it to
+arrays of some 60 bytes a word, beside the vocabulary. They are broadcast variables of their own;
+a task reads them from its executor's files one after the other for each batch of texts, so its
+memory holds one of them, however large the benchmark.
 
 Defined results: a null or empty text has no words and no hits and stays as it
 is; a null or empty item has no windows; repeated documents are
@@ -254,49 +254,37 @@ def find_hits(
     """
     require(docs, text_col)
     require(benchmark, item_col, item_text_col)
-    out = None
+    sc = docs.sparkSession.sparkContext
+    automata = []
     for shard in _shards(benchmark, item_col, item_text_col, window, max_shard_words):
-        if out is not None:
-            out = cut(out)
-        out = _scan_pass(docs if out is None else out, shard, text_col, window, hits_col, out is None)
-    return out if out is not None else _scan_pass(docs, [], text_col, window, hits_col, True)
-
-
-def _scan_pass(docs: DataFrame, items: list[tuple[str, list[str]]], text_col: str, window: int, hits_col: str, first: bool) -> DataFrame:
-    """One pass over the texts; the hits of passes before it are added to.
-
-    ``hits_col`` also tells where a text's hit spans begin and end in characters, so that they
-    can be cut without Python.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(items, window))
-
-    def found(texts: pd.Series, before: list) -> pd.DataFrame:
-        automaton = shared.value
+        automata.append(sc.broadcast(SuffixAutomaton(shard, window)))
+        if len(automata) > 1:  # files hold them from now on
+            for shared in automata[-2:]:
+                shared.__dict__.pop("_value", None)
+
+    @F.pandas_udf(T._parse_datatype_string(HITS))
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        words = [words_of(t) for t in texts]
+        spans: list[list] = [[] for _ in words]
+        names: list[set] = [set() for _ in words]
+        for shared in automata:
+            automaton = shared.value
+            for i, own in enumerate(words):
+                found, ids = automaton.scan(own)
+                spans[i] += found
+                names[i] |= set(ids)
+            if len(automata) > 1:
+                del automaton
+                shared.__dict__.pop("_value", None)  # read again for the next batch
         rows = []
-        for text, old in zip(texts, before, strict=True):
-            words = words_of(text)
-            spans, names = automaton.scan(words)
-            if old is not None:
-                spans = merged([*spans, *((int(x["start"]), int(x["end"])) for x in old["spans"])])
-                names |= set(old["items"])
-            at = [m.span() for m in WORDS.finditer(text.translate(LOWER))] if spans else []
-            rows.append((len(words), [{"start": a, "end": b, "first": at[a][0], "last": at[b - 1][1]} for a, b in spans], sorted(names)))
+        for text, own, found, ids in zip(texts, words, spans, names, strict=True):
+            found = found if len(automata) < 2 else merged(found)
+            at = [m.span() for m in WORDS.finditer(text.translate(LOWER))] if found else []
+            rows.append((len(own), [{"start": a, "end": b, "first": at[a][0], "last": at[b - 1][1]} for a, b in found], sorted(ids)))
         return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    if first:
-
-        @F.pandas_udf(T._parse_datatype_string(HITS))
-        def scan(texts: pd.Series) -> pd.DataFrame:
-            return found(texts, [None] * len(texts))
-
-    else:
-
-        @F.pandas_udf(T._parse_datatype_string(HITS))
-        def scan(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
-            return found(texts, before.to_dict("records"))
-
     # Otherwise a filter on the result would make Spark run the scan twice.
-    return docs.withColumn(hits_col, scan.asNondeterministic()(*[F.col(c) for c in ([text_col] if first else [text_col, hits_col])]))
+    return docs.withColumn(hits_col, scan.asNondeterministic()(F.col(text_col)))
 
 
 def hit_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
