@@ -620,5 +620,6 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.where(~wordless).withColumn(key, _key(id_col, text_col))
     records, kept = (t.withColumnRenamed("key", key) for t in (records, kept))
     full = _once(rows, records, text_col, key).join(kept, key, "left_semi")
-    full = full.withColumn(place := spare(full, "row"), F.row_number().over(Window.partitionBy(key).orderBy(text_col))).where(F.col(place) == 1)
+    # By id and text as well: of two texts whose keys are equal by chance both stay.
+    full = full.withColumn(place := spare(full, "row"), F.row_number().over(Window.partitionBy(key, id_col, text_col).orderBy(text_col))).where(F.col(place) == 1)
     return full.select(*names).unionByName(docs.where(wordless).select(*names))
