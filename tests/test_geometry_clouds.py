@@ -120,10 +120,10 @@ def test_voxel_neighbours_equal_brute_force(spark):
 
 def test_voxel_cap_forgets(spark):
     df = spark.createDataFrame([("a", f, 0.01 * f, 0.0, 0.0) for f in range(6)], "s string, frame int, x double, y double, z double")
-    out = cloud.voxel_fuse(df, ["s"], frame="frame", size=1.0, cap=3).first()
+    out = cloud.voxel_fuse(df, ["s"], frame="frame", size=1.0, max_weight=3).first()
     mean, w = 0.0, 0.0
     for f in range(6):
-        k = min(w, 2.0)
+        k = min(w, 3.0)
         mean, w = (mean * k + 0.01 * f) / (k + 1), min(w + 1, 3.0)
     assert np.isclose(out.px, mean) and out.w == 3.0
 

@@ -288,17 +288,27 @@ def world_basis(forward: Sequence[Column], up: Sequence[Column]) -> Column:
 
 def rigid_interpolation(a: C, b: C, alpha: C) -> Column:
     """Pose between two struct<x, y, z, w, tx, ty, tz>: slerp (lerp where close) and lerp."""
-    a, b, t = _c(a), _c(b), clamp(_c(alpha), 0.0, 1.0)
-    dot = sum((a[k] * b[k] for k in "yzw"), a["x"] * b["x"])
-    sign = F.when(dot < 0, -1.0).otherwise(1.0)
-    d = F.least(F.lit(1.0), F.abs(dot))
-    theta = F.acos(d)
-    s = F.when(d < 1 - 1e-8, F.sin(theta))
-    wa = F.coalesce(F.sin((1 - t) * theta) / s, 1 - t)
-    wb = F.coalesce(F.sin(t * theta) / s, t) * sign
-    q = {k: wa * a[k] + wb * b[k] for k in "xyzw"}
-    n = F.sqrt(sum((q[k] * q[k] for k in "yzw"), q["x"] * q["x"]))
-    return F.struct(*[(q[k] / n).alias(k) for k in "xyzw"], *[(a[k] + (b[k] - a[k]) * t).alias(k) for k in ("tx", "ty", "tz")])
+    ends = F.struct(_c(a).alias("a"), _c(b).alias("b"), clamp(_c(alpha), 0.0, 1.0).alias("t"))
+
+    def shares(e: Column) -> Column:
+        """How much of either end's quaternion, from the angle between them."""
+        dot = sum((e["a"][k] * e["b"][k] for k in "yzw"), e["a"]["x"] * e["b"]["x"])
+
+        def of(dot: Column) -> Column:
+            theta = F.acos(F.least(F.lit(1.0), F.abs(dot)))
+            s = F.when(F.abs(dot) < 1 - 1e-8, F.sin(theta))
+            wa, wb = F.coalesce(F.sin((1 - e["t"]) * theta) / s, 1 - e["t"]), F.coalesce(F.sin(e["t"] * theta) / s, e["t"])
+            return F.struct(wa.alias("a"), (wb * F.when(dot < 0, -1.0).otherwise(1.0)).alias("b"))
+
+        return let(dot, of)
+
+    def between(e: Column) -> Column:
+        mixed = let(shares(e), lambda w: F.struct(*[(w["a"] * e["a"][k] + w["b"] * e["b"][k]).alias(k) for k in "xyzw"]))
+        unit = let(mixed, lambda q: let(F.sqrt(sum((q[k] * q[k] for k in "yzw"), q["x"] * q["x"])), lambda n: F.struct(*[(q[k] / n).alias(k) for k in "xyzw"])))
+        shift = [(e["a"][k] + (e["b"][k] - e["a"][k]) * e["t"]).alias(k) for k in ("tx", "ty", "tz")]
+        return let(unit, lambda q: F.struct(*[q[k].alias(k) for k in "xyzw"], *shift))
+
+    return let(ends, between)
 
 
 def fundamental(essential: C, fx: C, fy: C, cx: C, cy: C) -> Column:

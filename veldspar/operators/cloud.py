@@ -25,23 +25,21 @@ def voxel_first(points: DataFrame, by: Sequence[str], *, size: float, order: Seq
     return out.select(*by, "kx", "ky", "kz", "__p.*")
 
 
-def voxel_fuse(points: DataFrame, by: Sequence[str], *, frame: str, size: float, cap: float | None = None, max_weight: float | None = None, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+def voxel_fuse(points: DataFrame, by: Sequence[str], *, frame: str, size: float, max_weight: float | None = None, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Two-level means: one vote of each frame for each voxel, then their mean.
 
     With a bound the running mean forgets: what a voxel holds weighs no more than
-    ``max_weight`` against the next vote (with ``cap``: no more than that together
-    with the vote, ``cap`` - 1 against it). The fold over its votes, in the order of frames, is taken on their sorted array (one number
+    ``max_weight`` against the next vote. The fold over its votes, in the order of frames, is taken on their sorted array (one number
     for each frame that saw the voxel).
     """
     votes = points.withColumns(voxel_keys(size, axes)).groupBy(*by, "kx", "ky", "kz", frame).agg(*[F.avg(a).alias(f"p{i}") for i, a in zip("xyz", axes, strict=True)])
     keys = [*by, "kx", "ky", "kz"]
-    if cap is None and max_weight is None:
+    if max_weight is None:
         return votes.groupBy(*keys).agg(*[F.avg(f"p{i}").alias(f"p{i}") for i in "xyz"], F.count("*").cast("double").alias("w"))
     held = votes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(frame, "px", "py", "pz"))).alias("v"))
     start = "named_struct('px', 0D, 'py', 0D, 'pz', 0D, 'w', 0D)"
-    held_most, after = (max_weight, max_weight) if max_weight is not None else (cap - 1, cap)
-    moved = ", ".join(f"'p{i}', (a.p{i} * least(a.w, {held_most}) + x.p{i}) / (least(a.w, {held_most}) + 1)" for i in "xyz")
-    fold = F.expr(f"aggregate(v, {start}, (a, x) -> named_struct({moved}, 'w', least(a.w + 1, {float(after)}D)))")
+    moved = ", ".join(f"'p{i}', (a.p{i} * least(a.w, {max_weight}) + x.p{i}) / (least(a.w, {max_weight}) + 1)" for i in "xyz")
+    fold = F.expr(f"aggregate(v, {start}, (a, x) -> named_struct({moved}, 'w', least(a.w + 1, {float(max_weight)}D)))")
     return held.select(*keys, fold.alias("f")).select(*keys, "f.*")
 
 

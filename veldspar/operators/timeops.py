@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -51,9 +51,14 @@ def _row_type(right: DataFrame, t: str, values: Sequence[str]) -> str:
 
 
 def interval_average(intervals: DataFrame, samples: DataFrame, by: Sequence[str], *, start: str, end: str, t: str = "t", value: str, name: str, width: float) -> DataFrame:
-    """Average and number of the samples (null values don't count) with start <= t <= end, for each interval.
+    """Average and number (``name``, ``name``_n) of the samples with start <= t <= end, for each interval; see ``interval_averages``."""
+    return interval_averages(intervals, samples, by, start=start, end=end, t=t, values={name: F.col(value)}, width=width)
 
-    An interval without a border or that ends before it starts has none; repeated ones have the same.
+
+def interval_averages(intervals: DataFrame, samples: DataFrame, by: Sequence[str], *, start: str, end: str, t: str = "t", values: dict[str, Column], width: float) -> DataFrame:
+    """For each name in ``values`` the average and number (name, name_n) of the samples with start <= t <= end.
+
+    Null values don't count. An interval without a border or that ends before it starts has none; repeated ones have the same.
     Samples on a border count on both sides.
 
     No range join: borders and samples are merged in time order, running sums and counts are taken
@@ -62,18 +67,21 @@ def interval_average(intervals: DataFrame, samples: DataFrame, by: Sequence[str]
     """
     key = [*by, start, end]
     wanted = intervals.select(*key).distinct().where(F.col(start) <= F.col(end))
-    dots = samples.where(F.col(value).isNotNull() & F.col(t).isNotNull()).select(*by, F.col(t).alias("__t"), F.col(value).cast("double").alias("__v"))
-    means = dots.groupBy(*by).agg(F.avg("__v").alias("__mean"))
-    dots = safe_join(dots, means, by).withColumns({"__v": F.col("__v") - F.col("__mean"), "__n": F.lit(1), "__side": F.lit(1)}).drop("__mean")
+    own = {n: f"__v{i}" for i, n in enumerate(values)}
+    dots = samples.where(F.col(t).isNotNull()).select(*by, F.col(t).alias("__t"), *[v.cast("double").alias(own[n]) for n, v in values.items()])
+    means = dots.groupBy(*by).agg(*[F.avg(c).alias(f"__m{c}") for c in own.values()])
+    dots = safe_join(dots, means, by).withColumns({c: F.col(c) - F.col(f"__m{c}") for c in own.values()} | {"__side": F.lit(1)}).drop(*[f"__m{c}" for c in own.values()])
     ends = F.array(F.struct(F.col(start).alias("t"), F.lit(0).alias("side")), F.struct(F.col(end).alias("t"), F.lit(2).alias("side")))
     borders = wanted.withColumn("__b", F.explode(ends)).select(*key, F.col("__b.t").alias("__t"), F.col("__b.side").alias("__side"))
     both = dots.unionByName(borders, allowMissingColumns=True)
-    both = running(both, by, ["__t", "__side"], {"__sum": F.col("__v"), "__count": F.col("__n")}, width=width).where("__side <> 1")
-    at = lambda c: F.sum(F.when(F.col("__side") == 2, F.col(c)).otherwise(-F.col(c)))
-    sums = safe_join(both.groupBy(*key).agg(at("__sum").alias("__sum"), at("__count").alias("__count")), means, by, "left")
-    mean = F.when(F.col("__count") > 0, F.col("__mean") + F.col("__sum") / F.col("__count"))
-    sums = sums.select(*key, mean.alias(name), F.col("__count").cast("bigint").alias(f"{name}_n"))
-    return safe_join(intervals, sums, key, "left").withColumn(f"{name}_n", F.coalesce(f"{name}_n", F.lit(0)))
+    sums = {f"__s{c}": F.col(c) for c in own.values()} | {f"__n{c}": F.when(F.col(c).isNotNull(), 1) for c in own.values()}
+    both = running(both, by, ["__t", "__side"], sums, width=width).where("__side <> 1")
+    out = both.groupBy(*key).agg(*[F.sum(F.when(F.col("__side") == 2, F.col(c)).otherwise(-F.col(c))).alias(c) for c in sums])
+    out = safe_join(out, means, by, "left")
+    n = {c: F.col(f"__n{c}") for c in own.values()}
+    mean = {name: F.when(n[c] > 0, F.col(f"__m{c}") + F.col(f"__s{c}") / n[c]) for name, c in own.items()}
+    out = out.select(*key, *[x for name, c in own.items() for x in (mean[name].alias(name), n[c].cast("bigint").alias(f"{name}_n"))])
+    return safe_join(intervals, out, key, "left").withColumns({f"{name}_n": F.coalesce(f"{name}_n", F.lit(0)) for name in values})
 
 
 def gaps(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), threshold: float = 5.0, width: float = WIDTH) -> DataFrame:

@@ -182,6 +182,53 @@ def fused(rows: DataFrame, anchors: DataFrame, by: Sequence[str], *, t: str = "t
     return out.withColumns(moved | {"position": kind}).drop("__fix", "__l", "__r", *[f"__a_{v}" for v in values])
 
 
+def _rotation(p: Column) -> Column:
+    """Rotation of a pose of 16."""
+    return F.array(*[p[4 * i + j] for i in range(3) for j in range(3)])
+
+
+def _part_way(correction: Column, alpha: Column) -> Column:
+    """The pose that is ``alpha`` of the way from none to a correction: slerp of rotations, lerp of shifts."""
+    none = F.struct(*[F.lit(float(k == "w")).alias(k) for k in "xyzw"], *[F.lit(0.0).alias(k) for k in ("tx", "ty", "tz")])
+    q = g.let(_rotation(correction), g.matrix_to_quaternion)
+    whole = g.let(q, lambda q: F.struct(*[q[k].alias(k) for k in "xyzw"], *[correction[4 * i + 3].alias(k) for i, k in enumerate(("tx", "ty", "tz"))]))
+    between = g.let(whole, lambda w: g.rigid_interpolation(none, w, alpha))
+    return g.let(between, lambda b: g.pose(g.quaternion_to_matrix(b["x"], b["y"], b["z"], b["w"]), b["tx"], b["ty"], b["tz"]))
+
+
+def fused_poses(rows: DataFrame, anchors: DataFrame, by: Sequence[str], *, t: str = "t", frame: str = "frame", pose: str = "pose", anchor_pose: str = "pose", width: float = WIDTH) -> DataFrame:
+    """Moves a trajectory of poses (arrays of 16) onto sparse anchors in another frame: adds ``fused`` and ``position``.
+
+    From each anchor on, the trajectory's own motion is followed; at the next anchor it is off by a correction, which is
+    spread over the interval by time, rotation (slerp) and shift. Before the first anchor and after the last the motion
+    alone is followed. Anchors keep their pose. ``anchors`` (frame, ``anchor_pose``) must be frames of the
+    trajectory, or this fails. Rows without a time have no fused pose; a null session key is a session; a session without anchors has none.
+    """
+    if not safe_join(anchors, rows.select(*by, frame), [*by, frame], "left_anti").isEmpty():
+        raise ValueError("anchors must be frames of the trajectory")
+    a = anchors.select(*by, frame, F.col(anchor_pose).alias("__goal"))
+    out = safe_join(rows, a, [*by, frame], "left")
+    here = F.struct(F.col(t).alias("t"), F.col(pose).alias("own"), F.col("__goal").alias("goal"))
+    out = out.withColumn("__fix", F.when(F.col("__goal").isNotNull() & F.col(t).isNotNull(), here))
+    out = carried(out, by, [t, frame], F.col("__fix"), forward="__l", backward="__r", width=width)
+    # Products name each number of a pose many times: cut here, they name columns, and results have names of their own (let).
+    out = cut(out.withColumns({"__l": F.coalesce("__fix", "__l", "__r"), "__r": F.coalesce("__fix", "__r", "__l")}))
+    left, right, own = F.col("__l"), F.col("__r"), F.col(pose)
+    span = right["t"] - left["t"]
+    alpha = (F.col(t) - left["t"]) / F.when(span > 0, span)
+
+    def corrected(base: Column, predicted: Column) -> Column:
+        off = g.let(g.multiply(base, right["own"], 4), lambda end: g.let(g.inverse_pose(end), lambda inv: g.multiply(right["goal"], inv, 4)))
+        return g.let(off, lambda off: g.let(_part_way(off, alpha), lambda c: g.multiply(c, predicted, 4)))
+
+    base = g.let(g.inverse_pose(left["own"]), lambda inv: g.multiply(left["goal"], inv, 4))
+    moved = g.let(base, lambda b: g.let(g.multiply(b, own, 4), lambda p: F.when(span > 0, corrected(b, p)).otherwise(p)))
+    fused_ = F.when(F.col("__fix").isNotNull(), F.col("__goal")).when(F.col(t).isNull() | left.isNull(), None).otherwise(moved)
+    kind = F.when(F.col("__fix").isNotNull(), "anchor").when(F.col("__l").isNull() | F.col(t).isNull(), None).when(span > 0, "between").otherwise("outside")
+    out = out.withColumns({"fused": fused_, "position": kind})
+    return out.drop("__goal", "__fix", "__l", "__r")
+
+
 def fusion_scores(rows: DataFrame, by: Sequence[str], *, fused_axes: Sequence[str], other_axes: Sequence[str], reference: Sequence[str], position: str = "position") -> DataFrame:
     """Alignment errors of a fused trajectory and another one by class of rows: anchor, between, and non-anchor (all but anchors).
 

@@ -168,11 +168,11 @@ def safe_paths(spark, sf):
 
 
 @query(f"""WITH {EVENTS} SELECT event_id, CASE WHEN c >= 0.02 THEN 'strong' WHEN c >= 0.007 THEN 'ok' ELSE 'weak' END AS label, CASE WHEN c < 0.005 THEN 'refuse' WHEN c < 0.007 THEN 'watch' ELSE 'ok' END AS verdict,
-    least(100, floor(k * 100.0 / 80 + 0.5))::INT AS percent, format('{{:d}}:{{:02d}}', (cents // 60)::INT, (cents % 60)::INT) AS shown, CASE WHEN cents - 100 >= 0 THEN cents - 100 END AS speed FROM (SELECT *, k / 4000.0::DOUBLE AS c FROM ev) WHERE cents < 3600""")
+    least(100, floor(k * 100.0 / 80 + 0.5))::INT AS percent, CASE WHEN cents >= 3600 THEN format('{{:d}}:{{:02d}}:{{:02d}}', (cents // 3600)::INT, (cents % 3600 // 60)::INT, (cents % 60)::INT) ELSE format('{{:d}}:{{:02d}}', (cents // 60)::INT, (cents % 60)::INT) END AS shown,
+    CASE WHEN cents - 100 >= 0 THEN cents - 100 END AS speed FROM (SELECT *, k / 4000.0::DOUBLE AS c FROM ev)""")
 def display_labels(spark, sf):
     c = F.col("k") / 4000.0
-    rows = events(spark, sf).where("cents < 3600")
-    return rows.select("event_id", display.conditioning_label(c).alias("label"), display.conditioning_verdict(c).alias("verdict"), display.upload_percent(F.col("k"), F.lit(80)).alias("percent"), display.duration(F.col("cents")).alias("shown"), display.nullif_negative(F.col("cents") - 100).alias("speed"))
+    return events(spark, sf).select("event_id", display.conditioning_label(c).alias("label"), display.conditioning_verdict(c).alias("verdict"), display.upload_percent(F.col("k"), F.lit(80)).alias("percent"), display.duration(F.col("cents")).alias("shown"), display.nullif_negative(F.col("cents") - 100).alias("speed"))
 
 
 @query(f"WITH {EVENTS} SELECT user_id, CASE WHEN e > 20 THEN 'errors' WHEN n > 80 THEN 'busy' WHEN v < 5 THEN 'idle' END AS warning FROM (SELECT user_id, count(*) FILTER (kind = 'error') AS e, count(*) AS n, count(*) FILTER (kind = 'view') AS v FROM ev GROUP BY user_id)")
@@ -261,12 +261,51 @@ def rigid_fit_2d(spark, sf):
     return _q(trajectory.planar_fit(points(spark, sf), ["label"], ("x", "y"), ("rx", "ry")), "angle", "shift_x", "shift_y")
 
 
-@query()
+def _fit_sql(scaled: bool) -> str:
+    """Fits of (x, y, z) to (rx, ry, rz) by label, as table ``fit`` (label, means, rotation r0.. by rows, scale k).
+
+    The rotation's quaternion belongs to the largest root of a quartic, found by Newton's steps from above; it is a
+    column of cofactors.
+    """
+    s = {(i, j): f"s{i}{j}" for i in range(3) for j in range(3)}
+    n = [["xx", "a", "b", "c"], ["a", "xy", "d", "e"], ["b", "d", "xz", "f"], ["c", "e", "f", "xw"]]
+    entries = {"a": "s12 - s21", "b": "s20 - s02", "c": "s01 - s10", "d": "s01 + s10", "e": "s20 + s02", "f": "s12 + s21", "xx": "s00 + s11 + s22", "xy": "s00 - s11 - s22", "xz": "s11 - s00 - s22", "xw": "s22 - s00 - s11"}
+
+    def det3(m):
+        return f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+
+    def cofactor(m, i, j):
+        return ("" if (i + j) % 2 == 0 else "-") + det3([[m[r][c] for c in range(4) if c != j] for r in range(4) if r != i])
+
+    det4 = " + ".join(f"{n[0][j]} * {cofactor(n, 0, j)}" for j in range(4))
+    k = [[f"({n[i][j]} - l)" if i == j else n[i][j] for j in range(4)] for i in range(4)]
+    columns = [f"[{', '.join(cofactor(k, i, j) for j in range(4))}]" for i in range(4)]
+    return f"""mean AS (SELECT label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(rx) AS ux, avg(ry) AS uy, avg(rz) AS uz FROM pt GROUP BY label),
+        about AS (SELECT label, x - mx AS p0, y - my AS p1, z - mz AS p2, rx - ux AS q0, ry - uy AS q1, rz - uz AS q2 FROM pt JOIN mean USING (label)),
+        sums AS (SELECT label, {", ".join(f"sum(p{i} * q{j}) AS {v}" for (i, j), v in s.items())}, sum(p0 * p0 + p1 * p1 + p2 * p2) AS pp, sum(q0 * q0 + q1 * q1 + q2 * q2) AS qq FROM about GROUP BY label),
+        quart AS (SELECT *, -2 * ({" + ".join(f"{v} * {v}" for v in s.values())}) AS c2, -8 * {det3([[s[i, j] for j in range(3)] for i in range(3)])} AS c1, {det4} AS c0
+            FROM (SELECT *, {", ".join(f"{e} AS {v}" for v, e in entries.items())} FROM sums)),
+        newton(label, step, l) AS (SELECT label, 0, (pp + qq) / 2 FROM quart
+            UNION ALL SELECT n.label, step + 1, l - (((l * l + c2) * l + c1) * l + c0) / ((4 * l * l + 2 * c2) * l + c1) FROM newton n JOIN quart USING (label) WHERE step < 80),
+        adjoint AS (SELECT q.label, l, pp, [{", ".join(columns)}] AS m FROM quart q JOIN newton n ON n.label = q.label AND step = 80),
+        longest AS (SELECT label, l, pp, list_reduce(m, lambda a, b: CASE WHEN list_dot_product(a, a) >= list_dot_product(b, b) THEN a ELSE b END) AS v FROM adjoint),
+        unit AS (SELECT label, l, pp, v[1] / g AS w, v[2] / g AS i, v[3] / g AS j, v[4] / g AS h FROM (SELECT *, sqrt(list_dot_product(v, v)) AS g FROM longest)),
+        fit AS (SELECT mean.*, {"l / pp" if scaled else "1.0::DOUBLE"} AS k, 1 - 2 * (j * j + h * h) AS r0, 2 * (i * j - w * h) AS r1, 2 * (i * h + w * j) AS r2, 2 * (i * j + w * h) AS r3, 1 - 2 * (i * i + h * h) AS r4, 2 * (j * h - w * i) AS r5,
+            2 * (i * h - w * j) AS r6, 2 * (j * h + w * i) AS r7, 1 - 2 * (i * i + j * j) AS r8 FROM unit JOIN mean USING (label))"""
+
+
+def _ate_sql(scaled: bool) -> str:
+    off = [f"pow(k * (r{3 * i} * (x - mx) + r{3 * i + 1} * (y - my) + r{3 * i + 2} * (z - mz)) + u{a} - r{a}, 2)" for i, a in enumerate("xyz")]
+    return f"""WITH RECURSIVE {POINTS}, {_fit_sql(scaled)}, d AS (SELECT label, sqrt({" + ".join(off)}) AS d FROM pt JOIN fit USING (label))
+        SELECT label, {q('avg(d)')} AS ate_mean, {q('sqrt(avg(d * d))')} AS ate_rms, count(*) AS "rows" FROM d GROUP BY label"""
+
+
+@query(_ate_sql(False))
 def ate_kabsch(spark, sf):
     return _q(trajectory.trajectory_error(points(spark, sf), ["label"], ("x", "y", "z"), ("rx", "ry", "rz")), "ate_mean", "ate_rms")
 
 
-@query()
+@query(_ate_sql(True))
 def ate_umeyama(spark, sf):
     return _q(trajectory.trajectory_error(points(spark, sf), ["label"], ("x", "y", "z"), ("rx", "ry", "rz"), scaled=True), "ate_mean", "ate_rms")
 
@@ -351,13 +390,25 @@ def relative_error(spark, sf):
     return _q(out.select("vec_id", "step_error", "turn_error"), "step_error", "turn_error", scale=1e3)
 
 
-@query()
+@query(f"WITH {POINTS} SELECT label, vec_id, {q('x', '1e3')} AS x, {q('y', '1e3')} AS y, {q('z', '1e3')} AS z FROM pt")
 def window_chain(spark, sf):
+    # Windows that agree: each fit changes nothing.
     p = points(spark, sf).select("label", "vec_id", "x", "y", "z")
     w = p.withColumn("window", F.explode(F.array(F.floor(F.col("vec_id") / 200), F.floor(F.col("vec_id") / 200) + 1)))
     return _q(trajectory.chain(w, ["label"], frame="vec_id"), "x", "y", "z", scale=1e3)
 
 
+@query(f"""WITH {POINTS}, w AS (SELECT label, min(vec_id // 200) AS w FROM pt GROUP BY label)
+    SELECT label, vec_id, {q('k * (cos(g) * x - sin(g) * y) + w', '1e3')} AS x, {q('k * (sin(g) * x + cos(g) * y)', '1e3')} AS y, {q('k * z - w', '1e3')} AS z FROM (SELECT *, 1 + w % 3 / 4.0::DOUBLE AS k, 0.7::DOUBLE * w AS g FROM pt JOIN w USING (label))""")
+def window_chain_warped(spark, sf):
+    """Each window has a scale, turn and shift of its own; the chain is all in the first one's."""
+    p = points(spark, sf).select("label", "vec_id", "x", "y", "z")
+    w = p.withColumn("window", F.explode(F.array(F.floor(F.col("vec_id") / 200), F.floor(F.col("vec_id") / 200) + 1)))
+    k, g, n = 1 + F.col("window") % 3 / 4.0, 0.7 * F.col("window"), F.col("window")
+    w = w.withColumns({"x": k * (F.cos(g) * F.col("x") - F.sin(g) * F.col("y")) + n, "y": k * (F.sin(g) * F.col("x") + F.cos(g) * F.col("y")), "z": k * F.col("z") - n})
+    return _q(trajectory.chain(w, ["label"], frame="vec_id"), "x", "y", "z", scale=1e3)
+
+
 # --- clouds ----------------------------------------------------------------------
 
 
@@ -377,7 +428,7 @@ def voxel_mean(spark, sf):
     SELECT label, kx, ky, kz, {q('avg(px)')} AS px, {q('count(*)')} AS w FROM v GROUP BY ALL""")
 def voxel_capped(spark, sf):
     p = points(spark, sf).withColumn("frame", F.col("vec_id") % 4)
-    return _q(cloud.voxel_fuse(p, ["label"], frame="frame", size=0.5, cap=20).select("label", "kx", "ky", "kz", "px", "w"), "px", "w")
+    return _q(cloud.voxel_fuse(p, ["label"], frame="frame", size=0.5, max_weight=20).select("label", "kx", "ky", "kz", "px", "w"), "px", "w")
 
 
 @query(f"""WITH {POINTS}, s AS (SELECT (i - 1)::BIGINT AS dx, (j - 1)::BIGINT AS dy, (k - 1)::BIGINT AS dz, i * 9 + j * 3 + k AS slot FROM range(3) a(i), range(3) b(j), range(3) c(k)),
@@ -409,7 +460,22 @@ def hessian_sums(spark, sf):
     return _q(out, *[c for c in out.columns if c.startswith("h")])
 
 
-@query()
+def _conditioning_sql(sweeps: int = 10) -> str:
+    """Least over greatest eigenvalue of the 6 x 6 means, by Jacobi's turns of one pair of axes after the other."""
+    pairs = [(i, j) for i in range(6) for j in range(i + 1, 6)]
+    cell = ", ".join(f"avg(({_CROSS[i]}) * ({_CROSS[j]}))" for i in range(6) for j in range(6))
+    side = lambda m, at, there: f"CASE {at} WHEN p THEN c * {m}[{there('p')}] - s * {m}[{there('q')}] WHEN q THEN s * {m}[{there('p')}] + c * {m}[{there('q')}] ELSE {m}[e + 1] END"
+    return f"""WITH RECURSIVE {POINTS}, turns(label, k, a) AS (SELECT label, 0, [{cell}] FROM pt GROUP BY label
+        UNION ALL SELECT label, k + 1, list_transform(range(36), lambda e: {side("b", "e // 6", lambda v: f"{v} * 6 + e % 6 + 1")}) FROM (
+            SELECT *, list_transform(range(36), lambda e: {side("a", "e % 6", lambda v: f"e // 6 * 6 + {v} + 1")}) AS b FROM (
+            SELECT *, 1 / sqrt(1 + t * t) AS c, t / sqrt(1 + t * t) AS s FROM (
+            SELECT *, CASE WHEN a[p * 6 + q + 1] = 0 THEN 0 ELSE (CASE WHEN o >= 0 THEN 1 ELSE -1 END) / (abs(o) + sqrt(1 + o * o)) END AS t FROM (
+            SELECT *, CASE WHEN a[p * 6 + q + 1] = 0 THEN 0 ELSE (a[q * 7 + 1] - a[p * 7 + 1]) / (2 * a[p * 6 + q + 1]) END AS o FROM (
+            SELECT *, {[p for p, _ in pairs]}[k % 15 + 1] AS p, {[p for _, p in pairs]}[k % 15 + 1] AS q FROM turns WHERE k < {15 * sweeps}))))))
+        SELECT pt.label, {q('greatest(0, w[1] / w[6])')} AS cond, count(*) AS n FROM pt JOIN (SELECT label, list_sort([a[1], a[8], a[15], a[22], a[29], a[36]]) AS w FROM turns WHERE k = {15 * sweeps}) USING (label) GROUP BY ALL"""
+
+
+@query(_conditioning_sql())
 def conditioning(spark, sf):
     return _q(cloud.conditioning(points(spark, sf), ["label"], n=("a", "b", "c")).drop("weak"), "cond")
 

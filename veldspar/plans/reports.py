@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import display, geometry, lens
-from ..operators import changelog, cloud, joins, quality, selection, survey, timeops, trajectory
+from ..operators import changelog, cloud, imu, joins, quality, selection, survey, timeops, trajectory
 from .tables import DAY, EVENTS, POINTS, events, points, q, quantised, table
 
 QUERIES: dict = {}
@@ -419,3 +419,83 @@ def display_formats(spark, sf):
     path = F.concat(F.lit("a/b."), _case(F.col("kind"), view="json", click="JPG", error="txt", otherwise="bin"))
     rate = display.storage_rate(k, F.lit(1000), cents, F.lit(100), F.lit(50), F.lit(8), F.lit(100), F.lit(1600))
     return events(spark, sf).select("event_id", display.speed_kph((k - 5).cast("double")).alias("speed"), display.content_type(path).alias("type"), display.migrated_depth_hz(k.cast("double")).cast("bigint").alias("hz"), rate.cast("bigint").alias("rate"))
+
+
+# --- poses and motion ----------------------------------------------------------------
+
+
+def _mul(a: str, b: str) -> str:
+    """Product of two 4 x 4 matrices (lists by rows)."""
+    return f"list_transform(range(16), lambda e: {' + '.join(f'{a}[e // 4 * 4 + {k + 1}] * {b}[e % 4 + {4 * k + 1}]' for k in range(4))})"
+
+
+def _inv(a: str) -> str:
+    rows = [[f"{a}[{i + 1}]", f"{a}[{i + 5}]", f"{a}[{i + 9}]"] for i in range(3)]
+    return "[" + ", ".join(x for r in rows for x in (*r, f"-({r[0]} * {a}[4] + {r[1]} * {a}[8] + {r[2]} * {a}[12])")) + ", 0, 0, 0, 1]"
+
+
+def _pose(i: int) -> str:
+    """The pose whose quaternion begins at ``embedding[i]``, from a list e of its seven numbers."""
+    turn = ["1 - 2 * (y * y + z * z)", "2 * (x * y - w * z)", "2 * (x * z + w * y)", "2 * (x * y + w * z)", "1 - 2 * (x * x + z * z)", "2 * (y * z - w * x)", "2 * (x * z - w * y)", "2 * (y * z + w * x)", "1 - 2 * (x * x + y * y)"]
+    cells = ", ".join([*turn[:3], "p0", *turn[3:6], "p1", *turn[6:], "p2"])
+    return f"""SELECT label, vec_id, [{cells}, 0, 0, 0, 1] AS m FROM (SELECT label, vec_id, x / l AS x, y / l AS y, z / l AS z, w / l AS w, p0, p1, p2 FROM (SELECT *, sqrt(x * x + y * y + z * z + w * w) AS l FROM (
+        SELECT label, vec_id, {", ".join(f"embedding[{i + k}]::DOUBLE AS {n}" for k, n in enumerate(("x", "y", "z", "w", "p0", "p1", "p2")))} FROM embeddings)))"""
+
+
+_PART = ", ".join(f"{'c' if i == j else '0'} + u{min(i, j)} * u{max(i, j)} * (1 - c)" + ("" if i == j else f" {'-' if (j - i) % 3 == 1 else '+'} s * u{3 - i - j}") if j < 3 else f"alpha * off[{4 * i + 4}]" for i in range(3) for j in range(4))
+
+
+@query(f"""WITH own AS ({_pose(1)}), goal AS ({_pose(9)}),
+    k AS (SELECT own.label, own.vec_id, own.m, max(CASE WHEN own.vec_id % 7 = 0 THEN own.vec_id END) OVER (PARTITION BY own.label ORDER BY own.vec_id) AS lo,
+        min(CASE WHEN own.vec_id % 7 = 0 THEN own.vec_id END) OVER (PARTITION BY own.label ORDER BY own.vec_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM own),
+    j AS (SELECT k.*, {_mul('ga.m', 'ia.i')} AS base, gb.m AS gb, ob.m AS ob FROM k JOIN goal ga ON ga.vec_id = coalesce(lo, hi) JOIN (SELECT vec_id, {_inv('m')} AS i FROM own) ia ON ia.vec_id = coalesce(lo, hi) JOIN goal gb ON gb.vec_id = coalesce(hi, lo) JOIN own ob ON ob.vec_id = coalesce(hi, lo)),
+    e AS (SELECT *, {_mul('base', 'm')} AS predicted, {_mul('base', 'ob')} AS reached FROM j),
+    o AS (SELECT *, {_mul('gb', 'ri')} AS off, (vec_id - lo)::DOUBLE / (hi - lo) AS alpha FROM (SELECT *, {_inv('reached')} AS ri FROM e) WHERE lo < hi),
+    v AS (SELECT *, off[10] - off[7] AS v0, off[3] - off[9] AS v1, off[5] - off[2] AS v2, off[1] + off[6] + off[11] - 1 AS d FROM o),
+    u AS (SELECT *, v0 / n AS u0, v1 / n AS u1, v2 / n AS u2, cos(alpha * atan2(n, d)) AS c, sin(alpha * atan2(n, d)) AS s FROM (SELECT *, sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS n FROM v)),
+    f AS (SELECT label, vec_id, {_mul('part', 'predicted')} AS f, 'between' AS p FROM (SELECT *, [{_PART}, 0, 0, 0, 1] AS part FROM u)
+        UNION ALL SELECT label, vec_id, CASE WHEN lo = hi THEN gb ELSE predicted END, CASE WHEN lo = hi THEN 'anchor' ELSE 'outside' END FROM e WHERE lo IS NULL OR hi IS NULL OR lo = hi)
+    SELECT label, vec_id, p AS "position", {q('f[4]', '1e3')} AS x, {q('f[8]', '1e3')} AS y, {q('f[12]', '1e3')} AS z, {q('f[1]', '1e3')} AS r00, {q('f[6]', '1e3')} AS r11, {q('f[11]', '1e3')} AS r22 FROM f""")
+def pose_fusion(spark, sf):
+    e = F.col("embedding")
+    pose = lambda i: geometry.pose(geometry.quaternion_to_matrix(*[e[i + k].cast("double") for k in range(4)]), *[e[i + 4 + k].cast("double") for k in range(3)])
+    rows = table(spark, sf, "embeddings").select("label", "vec_id", F.col("vec_id").cast("double").alias("t"), pose(0).alias("pose"), pose(8).alias("goal"))
+    anchors = rows.where("vec_id % 7 = 0").select("label", "vec_id", F.col("goal").alias("pose"))
+    out = trajectory.fused_poses(rows, anchors, ["label"], frame="vec_id", width=1e5).where("fused is not null")
+    f = F.col("fused")
+    return _q(out.select("label", "vec_id", "position", f[3].alias("x"), f[7].alias("y"), f[11].alias("z"), f[0].alias("r00"), f[5].alias("r11"), f[10].alias("r22")), "x", "y", "z", "r00", "r11", "r22", scale=1e3)
+
+
+def _end(name: str) -> str:
+    """The pose nearest in time to each step's end ``name``, the later of two as near, within 6."""
+    return f"{name} AS (SELECT s.label, s.vec_id, o.m FROM steps s JOIN own o USING (label) WHERE abs(o.vec_id - s.{name}) <= 6 QUALIFY row_number() OVER (PARTITION BY s.label, s.vec_id ORDER BY abs(o.vec_id - s.{name}), o.vec_id DESC) = 1)"
+
+
+#: Depth axes from device axes: x is -y, y is -x, z is -z.
+_DEVICE = "[0, -1, 0, 0, -1, 0, 0, 0, 0, 0, -1, 0, 0, 0, 0, 1]"
+
+
+@query(f"""WITH {POINTS}, own AS ({_pose(1)}), steps AS (SELECT label, vec_id, vec_id + 0.5::DOUBLE AS t0, vec_id + 9.0::DOUBLE AS t1 FROM pt WHERE vec_id % 3 = 0), {_end('t0')}, {_end('t1')},
+    turn AS (SELECT label, vec_id, {_mul('dr', _DEVICE)} AS r FROM (SELECT label, vec_id, {_mul(_DEVICE, 'rel')} AS dr FROM (SELECT label, vec_id, {_mul('i', 'm1')} AS rel FROM (SELECT t0.label, t0.vec_id, {_inv('t0.m')} AS i, t1.m AS m1 FROM t0 JOIN t1 USING (label, vec_id))))),
+    mean AS (SELECT s.label, s.vec_id, avg(p.rx) AS ax, avg(p.ry) AS ay, avg(p.rz) AS az FROM steps s JOIN pt p ON p.label = s.label AND p.vec_id BETWEEN s.t0 AND s.t1 GROUP BY ALL)
+    SELECT s.label, s.vec_id, {q('r[1]', '1e3')} AS r00, {q('r[2]', '1e3')} AS r01, {q('r[7]', '1e3')} AS r12, {q('r[11]', '1e3')} AS r22, CASE WHEN r IS NOT NULL THEN {q('-ay * 9.80665::DOUBLE', '1e3')} END AS ax, CASE WHEN r IS NOT NULL THEN {q('-ax * 9.80665::DOUBLE', '1e3')} END AS ay,
+        CASE WHEN r IS NOT NULL THEN {q('-az * 9.80665::DOUBLE', '1e3')} END AS az FROM steps s LEFT JOIN turn USING (label, vec_id) LEFT JOIN mean USING (label, vec_id)""")
+def imu_motion(spark, sf):
+    e = F.col("embedding")
+    names = (*imu.QUATERNION, "p0", *imu.ACCELERATION)
+    samples = table(spark, sf, "embeddings").select("label", F.col("vec_id").cast("double").alias("t"), *[e[i].cast("double").alias(n) for n, i in zip(names, (0, 1, 2, 3, 4, 3, 4, 5), strict=True)])
+    steps = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select("label", "vec_id", (F.col("vec_id") + 0.5).alias("t0"), (F.col("vec_id") + 9.0).alias("t1"))
+    out = imu.relative_motion(steps, samples, ["label"], tolerance=6.0, width=1e5)
+    r, a = F.col("rotation"), F.col("acceleration")
+    return _q(out.select("label", "vec_id", r[0].alias("r00"), r[1].alias("r01"), r[5].alias("r12"), r[8].alias("r22"), a[0].alias("ax"), a[1].alias("ay"), a[2].alias("az")), "r00", "r01", "r12", "r22", "ax", "ay", "az", scale=1e3)
+
+
+@query(f"""WITH {POINTS}, a AS (SELECT label, vec_id, x AS ox, y AS oy, z AS oz, x + 0.25 * (rx - x) AS fx, y + 0.25 * (ry - y) AS fy, z + 0.25 * (rz - z) AS fz, rx, ry, rz, CASE WHEN vec_id % 5 = 0 THEN 'anchor' WHEN vec_id % 5 < 4 THEN 'between' ELSE 'outside' END AS p FROM pt),
+    c AS (SELECT label, unnest(CASE p WHEN 'anchor' THEN ['anchor'] WHEN 'between' THEN ['between', 'non-anchor'] ELSE ['non-anchor'] END) AS class, * EXCLUDE (label, p) FROM a)
+    SELECT label, class, count(*) AS frames FROM c GROUP BY ALL""")
+def fusion_classes(spark, sf):
+    p = points(spark, sf)
+    moved = {f"f{a}": F.col(a) + 0.25 * (F.col(f"r{a}") - F.col(a)) for a in "xyz"}
+    kind = F.when(F.col("vec_id") % 5 == 0, "anchor").when(F.col("vec_id") % 5 < 4, "between").otherwise("outside")
+    out = trajectory.fusion_scores(p.withColumns(moved | {"position": kind}), ["label"], fused_axes=("fx", "fy", "fz"), other_axes=("x", "y", "z"), reference=("rx", "ry", "rz"))
+    return out.select("label", "class", "frames")
