@@ -98,10 +98,11 @@ def motion_between(samples, a, b):
 
 def test_motion_between_frames(spark):
     rng = np.random.default_rng(6)
-    times = [round(x, 3) for x in np.cumsum(rng.choice([0.01, 0.02, 0.2], 300))]
+    times = [round(float(x), 3) for x in np.cumsum(rng.choice([0.01, 0.02, 0.2], 300))]
     samples = [(t, rng.normal(size=4).tolist(), rng.normal(size=3).tolist()) for t in times]
-    samples[40][2][1] = float("nan")
-    samples[80] = (samples[80][0], samples[80][1], [None, 1.0, 1.0])
+    for k in range(40, 280, 25):
+        samples[k][2][1] = float("nan")
+    samples[81] = (samples[81][0], samples[81][1], [None, 1.0, 1.0])
     samples[120] = (samples[120][0], [0.0] * 4, samples[120][2])
     steps = []
     for i in range(0, 290, 3):
