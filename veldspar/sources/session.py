@@ -6,14 +6,11 @@ do. A session's id is the name of its directory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blobs import indexed
 from .schema import MANIFEST, STREAMS
 
 
@@ -78,26 +75,10 @@ def images(spark: SparkSession, root: str) -> DataFrame:
 def rasters(spark: SparkSession, root: str, index: DataFrame, *, confidence: bool = False) -> DataFrame:
     """Depth (float16, decoded to float) or confidence (0, 1, 2) rasters of an index of frames.
 
-    A session's blob file is one row of Spark's binary source (2 GB at most), which the
-    index rows of that session meet. A raster that is cut short is an error.
+    Each task seeks to its rows' offsets; no blob is read whole and offsets are 64-bit (``blobs``; its data source plans
+    from the index files themselves). A raster that is cut short is an error.
     """
-    name = "confidence.bin" if confidence else "depth.bin"
-    at, size = ("confidenceOffset", "confidenceLength") if confidence else ("offset", "length")
-    blobs = spark.read.format("binaryFile").load(f"{root}/*/{name}")
-    blobs = blobs.select(_session_of(F.col("path")).alias("session_id"), "content", F.col("length").alias("__all"))
-    rows = index.where(F.col(at).isNotNull()).select("session_id", "frame", "t", F.col(at).alias("__at"), F.col(size).alias("__size"), "width", "height")
-    met = rows.join(blobs, "session_id")
-    short = F.col("__at") + F.col("__size") > F.col("__all")
-    raw = F.when(short, F.raise_error(F.lit("a raster is cut short")).cast("binary")).otherwise(F.substring("content", F.col("__at").cast("int") + 1, F.col("__size").cast("int")))
-    met = met.select("session_id", "frame", "t", "width", "height", raw.alias("raw"))
-    kind = "u1" if confidence else "<f2"
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            values = [np.frombuffer(r, kind, w * h).astype("f4") for r, w, h in zip(b["raw"], b["width"], b["height"], strict=True)]
-            yield b.drop(columns="raw").assign(values=values)
-
-    return met.mapInPandas(decode, "session_id string, frame bigint, t double, width int, height int, values array<float>")
+    return indexed(root, index, "confidence" if confidence else "depth")
 
 
 def pixels(rasters: DataFrame) -> DataFrame:
