@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOT = "__slot"
@@ -185,19 +185,24 @@ def scan(df: DataFrame, by: Sequence[str], place: str, element: Column, start: C
     return out.select(*by, "row.*", F.col("made").alias(name))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, kept in the folder that driver and executors share.
-
-    For what is read several times on the way: plans that join a table with its own summary
-    double with each step. The folder is ``spark.checkpoint.dir``; only a session on one machine that names none gets
-    a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a session on one machine that names none gets a temporary one."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='veldspar-')}")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, kept in the shared folder.
+
+    For what is read several times on the way: plans that join a table with its own summary
+    double with each step.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

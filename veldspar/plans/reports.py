@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import display, geometry, lens
 from ..operators import changelog, cloud, imu, joins, quality, selection, survey, timeops, trajectory
+from ..operators.ordered import shared_folder
+from ..sources import blobs
 from .tables import DAY, EVENTS, POINTS, events, points, q, quantised, table
 
 QUERIES: dict = {}
@@ -499,3 +503,18 @@ def fusion_classes(spark, sf):
     kind = F.when(F.col("vec_id") % 5 == 0, "anchor").when(F.col("vec_id") % 5 < 4, "between").otherwise("outside")
     out = trajectory.fusion_scores(p.withColumns(moved | {"position": kind}), ["label"], fused_axes=("fx", "fy", "fz"), other_axes=("x", "y", "z"), reference=("rx", "ry", "rz"))
     return out.select("label", "class", "frames")
+
+
+@query("""WITH p AS (SELECT label, vec_id, unnest(range(12)) AS p FROM embeddings)
+    SELECT 's' || label AS session_id, vec_id AS frame, sum((vec_id * 7 + p * 3) % 512)::BIGINT AS quarters, max((vec_id * 7 + p * 3) % 512)::BIGINT AS most, sum((vec_id + p) % 3)::BIGINT AS confidence, count(*) AS pixels FROM p GROUP BY ALL""")
+def packed_rasters(spark, sf):
+    """Rasters made from a table, packed into blobs, and read from them by byte range."""
+    rows = table(spark, sf, "embeddings").select(F.concat(F.lit("s"), F.col("label")).alias("session_id"), F.col("vec_id").cast("bigint").alias("ordinal"))
+    pixels = F.sequence(F.lit(0), F.lit(11))
+    line = F.to_json(F.struct(F.col("ordinal").cast("double").alias("t"), F.col("ordinal").alias("frame"), F.lit(4).alias("width"), F.lit(3).alias("height")))
+    rows = rows.select("*", line.alias("line"), F.transform(pixels, lambda p: ((F.col("ordinal") * 7 + p * 3) % 512 / 4.0).cast("float")).alias("values"), F.transform(pixels, lambda p: (F.col("ordinal") + p) % 3).alias("confidence"))
+    out = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    blobs.pack(blobs.encoded(rows), out, width=1e5)
+    total = lambda: F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    depth = blobs.rasters(spark, out).select("session_id", "frame", (4 * total()).cast("bigint").alias("quarters"), (4 * F.array_max("values")).cast("bigint").alias("most"), F.size("values").cast("bigint").alias("pixels"))
+    return depth.join(blobs.rasters(spark, out, "confidence").select("session_id", "frame", total().cast("bigint").alias("confidence")), ["session_id", "frame"])
