@@ -104,9 +104,13 @@ def ratio_matches(pairs: DataFrame, by: Sequence[str], *, left: str, right: str,
     """
     if baseline is not None:
         pairs = pairs.where(F.col(baseline) >= least_baseline)
-    two = pairs.groupBy(*by, left).agg(F.slice(F.sort_array(F.collect_list(F.struct(distance, right))), 1, 2).alias("__two"))
-    good = two.where(F.size("__two") == 2).where(F.col("__two")[0][distance] < ratio * F.col("__two")[1][distance])
-    good = good.select(*by, left, F.col("__two")[0][right].alias(right), F.col("__two")[0][distance].alias(distance))
+    # The two nearest, one after the other: no list of all neighbours is kept. Of repeated pairs one counts.
+    near = F.struct(F.col(distance).alias("d"), F.col(right).alias("r"))
+    rows = pairs.where(F.col(distance).isNotNull()).select(*by, left, near.alias("__n")).distinct()
+    first = rows.groupBy(*by, left).agg(F.min("__n").alias("__1"))
+    second = safe_join(rows, first, [*by, left]).where(F.col("__n") > F.col("__1")).groupBy(*by, left).agg(F.min("__n").alias("__2"))
+    good = safe_join(first, second, [*by, left]).where(F.col("__1.d") < ratio * F.col("__2.d"))
+    good = good.select(*by, left, F.col("__1.r").alias(right), F.col("__1.d").alias(distance))
     enough = good.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
     return safe_join(good, enough.select(*by), by, "left_semi")
 

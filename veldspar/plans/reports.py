@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import display, geometry, lens
-from ..operators import changelog, cloud, imu, joins, quality, selection, survey, timeops, trajectory
+from ..operators import changelog, cloud, imu, joins, quality, selection, survey, timeops, trajectory, vectors
 from ..operators.ordered import shared_folder
 from ..sources import blobs
 from .tables import DAY, EVENTS, POINTS, events, points, q, quantised, table
@@ -518,3 +518,25 @@ def packed_rasters(spark, sf):
     total = lambda: F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
     depth = blobs.rasters(spark, out).select("session_id", "frame", (4 * total()).cast("bigint").alias("quarters"), (4 * F.array_max("values")).cast("bigint").alias("most"), F.size("values").cast("bigint").alias("pixels"))
     return depth.join(blobs.rasters(spark, out, "confidence").select("session_id", "frame", total().cast("bigint").alias("confidence")), ["session_id", "frame"])
+
+
+# --- vectors -------------------------------------------------------------------------
+
+_NEAREST = """near AS (SELECT a.vec_id AS query, a.label, b.vec_id AS id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d,
+        row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"""
+
+
+@query(f"WITH {_NEAREST} SELECT query, rank::INT AS rank, id, {q('d')} AS distance FROM near WHERE rank <= 2")
+def nearest_vectors(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    out = vectors.nearest(rows.where("vec_id % 20 = 0"), rows, id_col="vec_id", vector="embedding", k=2, itself=False)
+    return _q(out.drop("opened"), "distance")
+
+
+@query(f"""WITH {_NEAREST}, g AS (SELECT query, label, min_by(id, rank) AS id, min(d) AS d FROM near WHERE rank <= 2 GROUP BY query, label HAVING min(d) < 0.98::DOUBLE * max(d)),
+    e AS (SELECT label % 4 AS pair FROM g GROUP BY ALL HAVING count(*) >= 2) SELECT label % 4 AS pair, query, id, {q('d')} AS distance FROM g WHERE label % 4 IN (SELECT pair FROM e)""")
+def ratio_matches(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    near = vectors.nearest(rows.where("vec_id % 20 = 0"), rows, id_col="vec_id", vector="embedding", k=2, itself=False)
+    pairs = near.join(rows.select(F.col("vec_id").alias("query"), (F.col("label") % 4).alias("pair")), "query")
+    return _q(joins.ratio_matches(pairs, ["pair"], left="query", right="id", distance="distance", ratio=0.98, least=2), "distance")
