@@ -211,3 +211,20 @@ def test_verdict_order(spark):
     cases = [((0.4, 5.0, 1.0, False, False, True), "too dark"), ((0.9, 5.0, 1.0, False, False, True), "depth too slow"), ((0.9, 15.0, 1.0, False, False, True), "barely moved"), ((0.9, 15.0, 9.0, False, False, True), "truncated"), ((0.9, 15.0, 9.0, True, False, True), "thermal pause"), ((0.9, 15.0, 9.0, False, True, False), "ok")]
     for args, want in cases:
         assert spark.range(1).select(quality.verdict(*[F.lit(a) for a in args])).first()[0] == want
+
+
+def test_box_mean_across_tiles(spark):
+    rng = np.random.default_rng(8)
+    raster = rng.uniform(1, 1.2, (37, 45))
+    raster[rng.random(raster.shape) < 0.1] = np.nan
+    raster[20, 20], raster[0, 44] = 3.0, np.inf
+    rows = [(None, v, u, None if np.isnan(z) else float(z)) for (v, u), z in np.ndenumerate(raster)]
+    df = spark.createDataFrame(rows, "s string, v int, u int, z double")
+    want = cloud.box_smooth(np.where(np.isfinite(raster), raster, np.nan))
+    for tile in (8, 128):
+        out = cloud.box_mean(df, ["s"], tile=tile).collect()
+        assert len(out) == raster.size
+        for r in out:
+            w = want[r.v, r.u]
+            assert (r.smooth is None) == np.isnan(w) and (r.smooth is None or abs(r.smooth - w) < 1e-12)
+    assert cloud.box_mean(df.limit(0), ["s"]).count() == 0

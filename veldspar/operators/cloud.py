@@ -136,6 +136,27 @@ def grid_normals(points: DataFrame, by: Sequence[str], *, u: str = "u", v: str =
     return rows.withColumns({f"n{k}": sign * n[i] / ok for i, k in enumerate("xyz")}).drop("__l", "__r", "__t", "__b")
 
 
+def box_mean(pixels: DataFrame, by: Sequence[str], *, u: str = "u", v: str = "v", value: str = "z", half: int = 2, edge: float = 0.05, name: str = "smooth", tile: int = 128) -> DataFrame:
+    """Adds ``name``: the mean of the finite values within ``half`` pixels either way, or the value itself where the mean is off by over ``edge``.
+
+    Pixels are dealt to tiles with a border of ``half`` of their neighbours', so a raster of any size is many groups; in a
+    tile the sums along rows are summed along columns, by two range windows. A gap (null or not finite) counts for nothing
+    and stays one; rows are expected for every pixel, as ``sources.session.pixels`` gives them, once for each.
+    """
+    z = F.col(value).cast("double")
+    good = F.when(F.abs(z) < float("inf"), z)
+    tiles = [F.explode(F.sequence(F.floor((F.col(c) - half) / tile), F.floor((F.col(c) + half) / tile))) for c in (u, v)]
+    rows = pixels.withColumns({"__z": good, "__n": good.isNotNull().cast("int")}).withColumn("__tu", tiles[0]).withColumn("__tv", tiles[1])
+    across = Window.partitionBy(*by, "__tu", "__tv", v).orderBy(u).rangeBetween(-half, half)
+    down = Window.partitionBy(*by, "__tu", "__tv", u).orderBy(v).rangeBetween(-half, half)
+    rows = rows.withColumns({"__sz": F.coalesce(F.sum("__z").over(across), F.lit(0.0)), "__sn": F.sum("__n").over(across)})
+    rows = rows.withColumns({"__bz": F.sum("__sz").over(down), "__bn": F.sum("__sn").over(down)})
+    rows = rows.where((F.floor(F.col(u) / tile) == F.col("__tu")) & (F.floor(F.col(v) / tile) == F.col("__tv")))
+    mean = F.col("__bz") / F.when(F.col("__bn") > 0, F.col("__bn"))
+    out = F.when(F.col("__z").isNotNull(), F.when(F.abs(mean - F.col("__z")) <= edge, mean).otherwise(F.col("__z")))
+    return rows.withColumn(name, out).select(*pixels.columns, name)
+
+
 def box_smooth(raster: np.ndarray, half: int = 2, edge: float = 0.05) -> np.ndarray:
     """Box mean over (2 half + 1)^2 finite neighbours by summed areas; kept where it moves a value by over ``edge``."""
     ok = np.isfinite(raster)

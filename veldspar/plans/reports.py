@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, geometry, lens
 from ..operators import changelog, cloud, imu, joins, quality, selection, survey, timeops, trajectory, vectors
-from ..operators.ordered import shared_folder
+from ..operators.ordered import numbered, shared_folder
 from ..sources import blobs
 from .tables import DAY, EVENTS, POINTS, events, points, q, quantised, table
 
@@ -540,3 +540,35 @@ def ratio_matches(spark, sf):
     near = vectors.nearest(rows.where("vec_id % 20 = 0"), rows, id_col="vec_id", vector="embedding", k=2, itself=False)
     pairs = near.join(rows.select(F.col("vec_id").alias("query"), (F.col("label") % 4).alias("pair")), "query")
     return _q(joins.ratio_matches(pairs, ["pair"], left="query", right="id", distance="distance", ratio=0.98, least=2), "distance")
+
+
+# --- rasters -------------------------------------------------------------------------
+
+_PIXELS = """px AS (SELECT label, v, u, CASE WHEN (vec_id + u) % 11 > 0 THEN embedding[u + 1]::DOUBLE END AS z FROM (SELECT *, unnest(range(len(embedding))) AS u FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS v FROM embeddings)))"""
+
+
+def _pixels(spark, sf):
+    """A raster for each label: its vectors as rows, with a gap in eleven pixels."""
+    rows = numbered(table(spark, sf, "embeddings"), ["label"], ["vec_id"], "v", width=1e5)
+    rows = rows.select("label", "vec_id", "v", F.posexplode("embedding").alias("u", "e"))
+    return rows.select("label", "v", F.col("u").cast("bigint").alias("u"), F.when((F.col("vec_id") + F.col("u")) % 11 > 0, F.col("e").cast("double")).alias("z"))
+
+
+@query(f"""WITH {_PIXELS}, a AS (SELECT *, coalesce(sum(z) OVER w, 0) AS sz, count(z) OVER w AS sn FROM px WINDOW w AS (PARTITION BY label, v ORDER BY u RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+    b AS (SELECT *, sum(sz) OVER w AS bz, sum(sn) OVER w AS bn FROM a WINDOW w AS (PARTITION BY label, u ORDER BY v RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+    SELECT label, v, u, CASE WHEN z IS NOT NULL THEN {q('CASE WHEN abs(bz / bn - z) <= 0.5::DOUBLE THEN bz / bn ELSE z END')} END AS smooth FROM b""")
+def box_mean(spark, sf):
+    return _q(cloud.box_mean(_pixels(spark, sf), ["label"], edge=0.5, tile=16).select("label", "v", "u", "smooth"), "smooth")
+
+
+@query(f"""WITH {_PIXELS}, c AS (SELECT label, v, u, u * d / 10 AS x, v * d / 10 AS y, d AS z FROM (SELECT *, abs(z) + 1 AS d FROM px WHERE z IS NOT NULL)),
+    n AS (SELECT c.*, r.x - l.x AS a0, r.y - l.y AS a1, r.z - l.z AS a2, b.x - t.x AS b0, b.y - t.y AS b1, b.z - t.z AS b2 FROM c
+        LEFT JOIN c l ON l.label = c.label AND l.v = c.v AND l.u = c.u - 1 LEFT JOIN c r ON r.label = c.label AND r.v = c.v AND r.u = c.u + 1
+        LEFT JOIN c t ON t.label = c.label AND t.u = c.u AND t.v = c.v - 1 LEFT JOIN c b ON b.label = c.label AND b.u = c.u AND b.v = c.v + 1),
+    p AS (SELECT *, a1 * b2 - a2 * b1 AS n0, a2 * b0 - a0 * b2 AS n1, a0 * b1 - a1 * b0 AS n2 FROM n),
+    s AS (SELECT *, CASE WHEN n0 * x + n1 * y + n2 * z > 0 THEN -1 ELSE 1 END / CASE WHEN n0 * n0 + n1 * n1 + n2 * n2 > 1e-24 THEN sqrt(n0 * n0 + n1 * n1 + n2 * n2) END AS k FROM p)
+    SELECT label, v, u, {q('n0 * k')} AS nx, {q('n1 * k')} AS ny, {q('n2 * k')} AS nz FROM s""")
+def grid_normals(spark, sf):
+    d = F.abs("z") + 1
+    rows = _pixels(spark, sf).where("z is not null").select("label", "v", "u", (F.col("u") * d / 10).alias("x"), (F.col("v") * d / 10).alias("y"), d.alias("z"))
+    return _q(cloud.grid_normals(rows, ["label"]).select("label", "v", "u", "nx", "ny", "nz"), "nx", "ny", "nz")
