@@ -71,7 +71,7 @@ def test_odometry_logs(spark):
   rotation  median 0.06°  p90 0.21°
   ICP inliers: median 71%"""
     row, empty = odometry_logs(spark.createDataFrame([(0, text), (1, None)], "i int, value string"), "value").orderBy("i").collect()
-    assert row.frames == ["s1", "120"] and row.cond == ["0.012", "0.004", "3", "120"] and row.rpe_rot == ["0.06", "0.21"] and row.inliers == ["71"] and row.loop is None
+    assert row.frames == [None, 120.0] and row.frames_text == ["s1", "120"] and row.cond == [0.012, 0.004, 3.0, 120.0] and row.rpe_rot == [0.06, 0.21] and row.inliers == [71.0] and row.loop is None
     assert [tuple(b) for b in row.bands] == [("cond < 0.01", 3, None, None), ("cond >= 0.05", 100, 0.4, 0.8)]
     assert all(empty[k] is None for k in LOG_PATTERNS) and empty.bands == []
 

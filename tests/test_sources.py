@@ -87,11 +87,28 @@ def test_generated_session_answers(spark):
 
 
 def test_trajectory_validation(spark):
-    ok = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 1.0)], "session_id string, frame bigint, t double")
+    p = [1.0] * 16
+    ok = spark.createDataFrame([("a", 0, 0.0, p, p), ("a", 1, 1.0, p, p)], "session_id string, frame bigint, t double, estimate array<double>, reference array<double>")
     assert session.trajectory(ok).count() == 2
-    for bad in ([("a", 0, 0.0), ("a", 0, 1.0)], [("a", 0, 1.0), ("a", 1, 1.0)]):
-        with pytest.raises(ValueError):
-            session.trajectory(spark.createDataFrame(bad, ok.schema))
+    bad = {
+        "more than once": [("a", 0, 0.0, p, p), ("a", 0, 1.0, p, p)],
+        "do not rise": [("a", 0, 1.0, p, p), ("a", 1, 1.0, p, p)],
+        "without a value: estimate": [("a", 0, 1.0, None, p)],
+        "reference has poses": [("a", 0, 1.0, p, p[:9])],
+        "estimate has poses": [("a", 0, 1.0, [*p[:15], None], p)],
+    }
+    for message, rows in bad.items():
+        with pytest.raises(ValueError, match=message):
+            session.trajectory(spark.createDataFrame(rows, ok.schema))
+    with pytest.raises(ValueError, match="missing fields: reference, t"):
+        session.trajectory(ok.drop("t", "reference"))
+
+
+def test_a_session_or_a_folder_of_sessions(spark, root):
+    one = f"{root}/20260101-000000-abcdef"
+    assert session.manifests(spark, one).count() == session.manifests(spark, root).count() == 1
+    assert session.stream(spark, one, "pose").count() == session.stream(spark, root, "pose").count() == 2
+    assert {r.session_id for r in session.stream(spark, one, "pose").collect()} == {"20260101-000000-abcdef"}
 
 
 def test_streaming_gate_equals_batch(spark, tmp_path):

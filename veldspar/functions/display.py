@@ -65,6 +65,16 @@ def migrated_depth_hz(depth_hz: Column, default: float = 30.0) -> Column:
     return F.when(depth_hz < 10, default).otherwise(depth_hz)
 
 
+def migrated_confidence(recorded: Column) -> Column:
+    """Confidence was off by an old default only, so it is on wherever it was stored."""
+    return F.when(recorded.isNotNull(), True)
+
+
+def drift_rate(mean_error: Column, duration: Column) -> Column:
+    """Error a second, of a millionth of a second at least."""
+    return mean_error / F.greatest(duration, F.lit(1e-6))
+
+
 def safe_upload_path(path: Column) -> Column:
     """At least two parts, none hidden (but .complete), without escapes or separators."""
     parts = F.split(path, "/")

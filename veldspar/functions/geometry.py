@@ -85,8 +85,12 @@ def quaternion_to_matrix(x: C, y: C, z: C, w: C) -> Column:
 
 
 def matrix_to_quaternion(m: C) -> Column:
-    """struct<x, y, z, w> of a rotation: the branch of its greatest diagonal part."""
-    m = _c(m)
+    """struct<x, y, z, w> of length 1 of a rotation: the branch of its greatest diagonal part."""
+    unit = lambda q: let(F.sqrt(sum((q[k] * q[k] for k in "yzw"), q["x"] * q["x"])), lambda n: F.struct(*[(q[k] / n).alias(k) for k in "xyzw"]))
+    return let(_greatest_branch(_c(m)), unit)
+
+
+def _greatest_branch(m: Column) -> Column:
     a = [m[i] for i in range(9)]
     trace = a[0] + a[4] + a[8]
 

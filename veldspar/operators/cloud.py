@@ -113,6 +113,17 @@ def nested_median(df: DataFrame, by: Sequence[str], frame: str, value: str, *, l
     return safe_join(counts, out.drop("n"), by).select(*by, "residual", "frames") if by else out.drop("n").crossJoin(F.broadcast(counts))
 
 
+def compared_residuals(df: DataFrame, by: Sequence[str], frame: str, *, estimate: str, reference: str, least: int = 100) -> DataFrame:
+    """Medians over the frames that both trajectories have ``least`` values in, of their median absolute values there, and those frames."""
+    parts = []
+    for name, value in (("estimate", estimate), ("reference", reference)):
+        rows = df.where(F.col(value).isNotNull()).select(*by, frame, F.abs(F.col(value)).alias("__a"))
+        parts.append(exact_percentiles(rows, [*by, frame], "__a", {f"__{name}": 0.5}).where(F.col("n") >= least).drop("n"))
+    both = cut(safe_join(*parts, [*by, frame]))
+    out = exact_percentiles(both, by, "__estimate", {"estimate": 0.5}).withColumnRenamed("n", "frames")
+    return safe_join(out, exact_percentiles(both, by, "__reference", {"reference": 0.5}).drop("n"), by)
+
+
 def radius_probe(matches: DataFrame, by: Sequence[str], *, dist: str = "dist", radii: Sequence[float] = (0.15, 0.08, 0.04, 0.02)) -> DataFrame:
     """Fraction of points matched within each radius."""
     rows = matches.withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii])))

@@ -35,9 +35,10 @@ def circular_mean(degrees: Column) -> Column:
     return F.degrees(F.atan2(F.avg(F.sin(r)), F.avg(F.cos(r))))
 
 
-def spread(df: DataFrame, by: Sequence[str], value: str, *, warn: float | None = None) -> DataFrame:
-    """mean, least, most and spread of a measure per session; ``warn`` marks a wide spread."""
-    out = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), (F.max(value) - F.min(value)).alias("spread"))
+def spread(df: DataFrame, by: Sequence[str], value: str, *, warn: float | None = None, clamped: str | None = None) -> DataFrame:
+    """mean, least, most and spread of a measure per session; ``warn`` marks a wide spread, ``clamped`` (a boolean column) counts its rows."""
+    aggs = [F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), (F.max(value) - F.min(value)).alias("spread")]
+    out = df.groupBy(*by).agg(*aggs, *([] if clamped is None else [F.count_if(F.col(clamped)).alias("clamped")]))
     return out if warn is None else out.withColumn("warns", F.col("spread") > warn)
 
 
@@ -95,6 +96,13 @@ def rate(df: DataFrame, by: Sequence[str], *, t: str = "t") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("rows"), F.try_divide(F.count("*") - 1, F.max(t) - F.min(t)).alias("hz"))
 
 
+def largest_gap(df: DataFrame, by: Sequence[str], *, t: str = "t", order: Sequence[str] = (), width: float = WIDTH) -> DataFrame:
+    """Rows, their rate, the largest time between two in a row, and ``warns`` where it is over 4 rows' time (from 3 rows on)."""
+    rows = previous(df.where(F.col(t).isNotNull()), by, [t, *order], {"__was": t}, width=width)
+    out = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.try_divide(F.count("*") - 1, F.max(t) - F.min(t)).alias("hz"), F.max(F.col(t) - F.col("__was")).alias("gap"))
+    return out.withColumn("warns", F.coalesce((F.col("rows") > 2) & (F.col("hz") > 0) & (F.col("gap") * F.col("hz") > 4), F.lit(False)))
+
+
 def sampled_fraction(index: DataFrame, by: Sequence[str], order: Sequence[str], *, hits: str, total: str, probes: int = 8) -> DataFrame:
     """Fraction over every (n // probes)-th row, the first ``probes`` of them."""
     from .ordered import numbered

@@ -22,14 +22,19 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def stream(spark: SparkSession, root: str, name: str, *, many: bool = True) -> DataFrame:
-    """Rows of one stream of all sessions under ``root`` (or of the one at it).
+def _paths(root: str, file: str, many: bool | None) -> str:
+    """A file of the session at ``root`` (``many`` false), of those in it (true), or whichever it is."""
+    return {True: f"{root}/*/{file}", False: f"{root}/{file}", None: f"{root}/{{{file},*/{file}}}"}[many]
+
+
+def stream(spark: SparkSession, root: str, name: str, *, many: bool | None = None) -> DataFrame:
+    """Rows of one stream of all sessions under ``root``, or of the one at it.
 
     Blank and undecodable lines are skipped, a missing file is empty. Adds
     session_id and ordinal, which rises in file order.
     """
     schema = STREAMS[name]
-    path = f"{root}/*/{name}.jsonl" if many else f"{root}/{name}.jsonl"
+    path = _paths(root, f"{name}.jsonl", many)
     try:
         raw = spark.read.schema(f"{schema}, _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     except AnalysisException as e:
@@ -44,9 +49,9 @@ def stream(spark: SparkSession, root: str, name: str, *, many: bool = True) -> D
     return rows.where("_corrupt is null and t is not null").drop("_corrupt")
 
 
-def manifests(spark: SparkSession, root: str, *, many: bool = True) -> DataFrame:
+def manifests(spark: SparkSession, root: str, *, many: bool | None = None) -> DataFrame:
     """Manifests with session_id; unreadable ones are left out. A single missing one is an error."""
-    path = f"{root}/*/manifest.json" if many else f"{root}/manifest.json"
+    path = _paths(root, "manifest.json", many)
     raw = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
     return raw.withColumn("session_id", _session_of(F.col("_metadata.file_path"))).where("id is not null")
 
@@ -96,12 +101,21 @@ def tum_poses(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.monotonically_increasing_id().alias("ordinal"), *[F.get(parts, F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
 
 
-def trajectory(df: DataFrame, by: str = "session_id") -> DataFrame:
-    """``df`` if each session's frames are unique and its times rise; an error names what fails."""
+def trajectory(df: DataFrame, by: str = "session_id", *, poses: tuple[str, ...] = ("estimate", "reference")) -> DataFrame:
+    """``df`` if it has frame, t and poses of 16 numbers in every row, each session's frames are unique and its times rise; an error names what fails."""
     from ..operators.ordered import previous
 
-    twice = df.groupBy(by, "frame").count().where("count > 1")
-    if not twice.isEmpty():
+    missing = sorted({by, "frame", "t", *poses} - set(df.columns))
+    if missing:
+        raise ValueError(f"missing fields: {', '.join(missing)}")
+    fields = ["frame", "t", *poses]
+    holes = df.select(*[F.count_if(F.col(c).isNull()).alias(c) for c in fields]).first()
+    if any(holes):
+        raise ValueError(f"fields without a value: {', '.join(c for c in fields if holes[c])}")
+    for c in poses:
+        if not df.where((F.size(c) != 16) | F.exists(c, lambda x: x.isNull())).isEmpty():
+            raise ValueError(f"{c} has poses that are not 4 x 4")
+    if not df.groupBy(by, "frame").count().where("count > 1").isEmpty():
         raise ValueError("frames occur more than once")
     if not previous(df, [by], ["frame"], {"__t": "t"}, width=1e5).where("t <= __t").isEmpty():
         raise ValueError("times do not rise with the frames")
@@ -138,16 +152,23 @@ LOG_PATTERNS: dict[str, str] = {
     "residual": r"point-to-plane residual\s+estimate ([\d.]+) mm\s+arkit ([\d.]+) mm",
     "inliers": r"ICP inliers: median (\d+)%",
 }
+#: And its error bands of conditioning (a fixed value as well).
 LOG_BAND = r"(cond < 0\.01|0\.01 <= cond < 0\.05|cond >= 0\.05)\s+(\d+) frames(?:\s+translation median ([\d.]+) cm p90 ([\d.]+) cm)?"
 
 
 def odometry_logs(df: DataFrame, column: str) -> DataFrame:
-    """Adds, for each of ``LOG_PATTERNS``, the groups of its first match (null without one), and the error bands of conditioning."""
+    """Adds, for each of ``LOG_PATTERNS``, the groups of its first match as numbers (null without a match), and the error bands of conditioning.
+
+    A group that may hold a word is also in ``<name>_text``; a word is no number, so it is null among them.
+    """
     text = F.coalesce(F.col(column), F.lit(""))
     found = {}
     for name, p in LOG_PATTERNS.items():
         groups = p.count("(") - p.count("\\(")
-        found[name] = F.when(F.rlike(text, F.lit(p)), F.array(*[F.regexp_extract(text, p, i + 1) for i in range(groups)]))
+        parts = F.array(*[F.regexp_extract(text, p, i + 1) for i in range(groups)])
+        found[name] = F.when(F.rlike(text, F.lit(p)), F.transform(parts, lambda x: F.when(F.rlike(x, F.lit(r"^[0-9.]+$")), x.try_cast("double"))))
+        if r"(\S+)" in p:
+            found[f"{name}_text"] = F.when(F.rlike(text, F.lit(p)), parts)
     parts = [F.regexp_extract_all(text, F.lit(LOG_BAND), F.lit(i)) for i in (1, 2, 3, 4)]
     number = lambda c: F.when(c != "", c.cast("double"))
     bands = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("band", "frames", "median", "p90"), strict=True)]), lambda b: F.struct(b["band"].alias("band"), b["frames"].cast("bigint").alias("frames"), number(b["median"]).alias("median_cm"), number(b["p90"]).alias("p90_cm")))
