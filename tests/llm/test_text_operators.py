@@ -45,6 +45,17 @@ def test_automaton_equals_brute_force(seed):
         assert {k for a, b in spans for k in range(a, b)} == hit and ids == want
 
 
+def test_a_large_benchmark_takes_no_copy_of_the_texts(spark):
+    """Many shards are one pass: the plan has one Python scan, and no table is written for them."""
+    bench = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(400))) for k in range(50)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, f"begin w{k}x5 w{k}x6 w{k}x7 w{k}x8 end") for k in range(50)] + [(99, None)], "doc_id bigint, text string")
+    found = decontaminate.find_hits(docs, bench, window=3, max_shard_words=1000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "parquet" not in plan.lower()
+    got = {r.doc_id: (r._hits["n_words"], [(s.start, s.end) for s in r._hits["spans"]], r._hits["items"]) for r in found.collect()}
+    assert got == {k: (6, [(1, 5)], [str(k)]) for k in range(50)} | {99: (0, [], [])}
+
+
 def test_decontamination_shards_agree(spark):
     r = random.Random(3)
     bench = spark.createDataFrame([(k, " ".join(r.choice("abcdef") for _ in range(r.randrange(30)))) for k in range(8)] + [(None, "a b c"), (9, None)], "item_id bigint, text string")
@@ -182,6 +193,13 @@ def test_guess_cost_is_the_least():
             assert secret_scan.guess_bits(v) <= secret_scan.guess_bits(v[:k]) + secret_scan.guess_bits(v[k:]) + 1e-9
 
 
+def test_values_beyond_ascii_are_scanned_whole():
+    assert secret_scan.find("pwd: Zk3ñvQ9xLw2Rt8") == [("guess", 5, 19)]
+    text = "password: contraseñaLarga9XkQ#7z"
+    assert secret_scan.find(text) == [("assign", 0, 18), ("guess", 10, len(text))]
+    assert secret_scan.find("token: пожалуйстаспасибо") == []
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -191,6 +209,37 @@ def test_quality_held_out(spark):
     assert len(scored) > 50 and sum((r.score >= 0.3) == (r.quality == 1) for r in scored) / len(scored) > 0.95
 
 
+def test_ranking_equals_plain_descent():
+    """Weights by plain gradient descent on the same pairs, and the cut by trying every place."""
+    rng = np.random.default_rng(1)
+    n, d = 160, len(quality_rank.NAMES)
+    y = (rng.random(n) < 0.6).astype(int)
+    x = rng.normal(size=(n, d)) + 0.4 * y[:, None] * rng.normal(size=d)
+    model = quality_rank.fit(x, y, threshold=0.3, pairs_each=5, penalty=0.02, seed=3)
+    z = ((x - x.mean(0)) / x.std(0)).clip(-8, 8)
+    good, bad, r = np.flatnonzero(y == 1), np.flatnonzero(y == 0), np.random.default_rng(3)
+    over = [*zip(r.choice(good, len(bad) * 5), np.repeat(bad, 5), strict=True), *zip(np.repeat(good, 2), r.choice(bad, len(good) * 2), strict=True)]
+    diff = np.array([z[a] - z[b] for a, b in over])
+    w = np.zeros(d)
+    for _ in range(20_000):
+        lost = 1 / (1 + np.exp(diff @ w))
+        w += 0.5 * ((diff * lost[:, None]).mean(0) - 0.02 * w)
+    assert np.allclose(model.weights, w, atol=1e-6)
+    scores = np.sort(z @ w)
+    middles = [scores[0] - 0.5, *((scores[1:] + scores[:-1]) / 2), scores[-1] + 0.5]
+    gain = [((z @ w < c) & (y == 0)).sum() / len(bad) - 2 * ((z @ w < c) & (y == 1)).sum() / len(good) for c in middles]
+    cut = np.log(0.3 / 0.7) - model.offset
+    own = ((z @ w < cut) & (y == 0)).sum() / len(bad) - 2 * ((z @ w < cut) & (y == 1)).sum() / len(good)
+    assert own == pytest.approx(max(gain)) and np.allclose(model.score(x), 1 / (1 + np.exp(-(z @ w - cut + np.log(0.3 / 0.7)))), atol=1e-5)
+
+
+def test_quality_long_texts_and_named_columns(spark):
+    docs = spark.createDataFrame([(1, "word and more of it. " * 40_000, 5.0), (2, "word and more of it. " * 40_000, 6.0), (3, None, 7.0)], "doc_id bigint, text string, score double")
+    model = quality_rank.Ranker((0.0,) * len(quality_rank.NAMES), (1.0,) * len(quality_rank.NAMES), (0.1,) * len(quality_rank.NAMES), 0.0)
+    got = {r.doc_id: r.score for r in quality_rank.score(docs, model).collect()}
+    assert got[1] == got[2] != got[3] and all(0 <= s <= 1 for s in got.values())
+
+
 def test_quality_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (None, 0), (6, 0), (7, None)], "doc_id bigint, quality int")
     kept = quality_rank.keep_good(odd_docs, labels)

@@ -44,7 +44,8 @@ and links with nothing; a text with fewer words than a shingle is one shingle;
 a very long text is one set like any other; ids that are no numbers are refused;
 every row is a document of its own, whether its id is null or that of other rows
 too; a component is named by its least id, with null if none of its rows has
-one; an empty table gives an empty result; other columns are not read.
+one; an empty table gives an empty result; other columns are not read, and ``deduplicate``
+passes them through, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ over the whole texts.
 Defined results: a null text is empty and gets a score like any other; null
 labels and ids are left out of the fit; a document labelled twice counts twice, of
 several documents of one id the one of least features counts;
-without labels of both kinds all scores are 0.5; an empty table gives no rows.
+without labels of both kinds all scores are 0.5; equal texts have equal scores, and a score
+equal to the threshold is kept; very long texts are read whole; an empty table gives no rows; other columns pass
+through whatever their names, but for one named as ``score_col``, which the score replaces.
 """
 
 from __future__ import annotations

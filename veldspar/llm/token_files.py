@@ -20,7 +20,7 @@ the same task, batch by batch; the driver sees one row for each file.
 Defined results: a null text is empty; a very long one is encoded whole; a null document
 id sorts first, ids that are no numbers are refused; documents of one id are ordered by a
 hash of the text; repeated rows are kept, each with its own slot; other columns are not
-read; an empty table gives an empty manifest.
+read, so they may be named as those made here; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
