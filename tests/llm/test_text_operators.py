@@ -469,6 +469,22 @@ def test_benchmark_shards_are_bounded(spark):
     assert set().union(*map(windows, shards)) == windows([(i, t.split()) for i, t in rows])
 
 
+def test_chat_of_one_crowded_conversation(spark):
+    """Rows without a conversation, of one turn and of none, give the same windows cut into fine ranges, none of which holds them all."""
+    r = random.Random(6)
+    rows = [(None, r.choice([None, 0, 0, 1]), r.choice(["user", "assistant", None]), f"text {r.randrange(400)}") for _ in range(600)]
+    rows += [(c, t, ("user", "assistant")[t % 2], f"turn {t}") for c in range(3) for t in range(20)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    plain = {(x.conv_id, x.window): (x.size, x.text, x.loss) for x in chat.windows(df, budget=64, range_rows=10**9).collect()}
+    for range_rows, most in ((5, None), (5, 0)):
+        before, chat.MOST_BROADCAST = chat.MOST_BROADCAST, chat.MOST_BROADCAST if most is None else most
+        try:
+            fine = {(x.conv_id, x.window): (x.size, x.text, x.loss) for x in chat.windows(df, budget=64, range_rows=range_rows).collect()}
+        finally:
+            chat.MOST_BROADCAST = before
+        assert fine == plain and len(plain) > 60
+
+
 def test_chat_long_texts_and_clashing_columns(spark):
     long = "tick " * 60_000
     rows = [(1, 0, "system", "be brief"), (1, 1, "user", long), (1, 2, "assistant", long + "end"), (1, 3, "user\nodd", "x"), (1, 4, "assistant", "y")]

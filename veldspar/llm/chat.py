@@ -13,7 +13,7 @@ stands there already, so that ``unescaped`` gives the text back.
 
 Plan: the windows are planned on numbers alone. A turn's place in the sums comes from two
 levels, sums over ranges of turns and sums inside a range, so no task needs a whole
-conversation; the plan lists for each turn the windows that show it. Texts are shuffled
+conversation; a range that holds very many rows of few turns is cut on by turn, role and hash. The plan lists for each turn the windows that show it. Texts are shuffled
 twice: by range, to be numbered and meet their range's plan, and by conversation and
 window. A window is bounded by the budget (every turn
 measures 4 at least). A turn of more than half the budget can put its window
@@ -39,6 +39,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .shared import cut, require
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Crowded ranges that are sent to all tasks; more are met by a shuffle.
+MOST_BROADCAST = 10_000
 #: Bars of control strings, after any number of backslashes.
 _PLAIN = r"<(\\*)\|(im_start|im_end)\|>"
 
@@ -76,6 +78,7 @@ def windows(
     history: int = 2,
     measure=word_tokens,
     range_size: int = 1024,
+    range_rows: int = 10_000,
 ) -> DataFrame:
     """One row for each window: conv_id, window, size, parts, text, loss.
 
@@ -92,8 +95,14 @@ def windows(
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         # Ranges of turn numbers; a null turn is in a range before all others.
-        F.coalesce(F.floor(F.col(turn_col) / range_size).cast("bigint"), F.lit(-(1 << 62))).alias("range"),
+        F.coalesce(F.floor(F.col(turn_col) / range_size).cast("bigint"), F.lit(-(1 << 62))).alias("turns"),
     ).withColumn("hash", F.xxhash64("text"))
+    # A range of more than ``range_rows`` (many rows of one turn, or without one) is cut on along the rest of the order.
+    crowded = cut(rows.groupBy("conv", "turns").agg(F.count("*").alias("rows")).where(F.col("rows") > range_rows).select("conv", "turns", F.lit(True).alias("crowded")))
+    if crowded.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        crowded = F.broadcast(crowded)
+    finer = [F.when(F.col("crowded"), c) for c in (F.col("turn"), F.col("role"), F.shiftright("hash", 56))]
+    rows = rows.join(crowded, ["conv", "turns"], "left").withColumn("range", F.struct("turns", *[c.alias(n) for n, c in zip(("turn", "role", "hash"), finer, strict=True)])).drop("turns", "crowded")
     inside = Window.partitionBy("conv", "range").orderBy("turn", "role", "hash")
     number = (F.row_number().over(inside) - 1).alias("k")
 
