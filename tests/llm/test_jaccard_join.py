@@ -130,3 +130,69 @@ def test_pipeline_stages(spark):
     empty = before.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, d).count() == 0, name
+
+
+def rough_pairs(spark, texts, words, percent):
+    common = np.zeros(jj.CELLS, bool)
+    return {frozenset(r) for r in jj._candidates(spark.createDataFrame([(t,) for t in texts], "text string"), words, percent, 0, common).collect()}
+
+
+def test_phrases_alone_make_no_candidates(spark):
+    # Texts of one size, each sharing one sentence with the next: no two are near, and no group should grow along them.
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    shared = [" ".join(word() for _ in range(18)) for _ in range(1501)]
+    texts = [f"{shared[i]} {' '.join(word() for _ in range(84))} {shared[i + 1]}" for i in range(1500)]
+    assert len(rough_pairs(spark, texts, 5, 80)) < 10
+
+
+def test_candidates_hold_every_link_at_the_limit(spark):
+    r = random.Random(6)
+    texts = []
+    for n in (3, 8, 20, 60, 130, 300) * 4:
+        base = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        for _ in range(r.choice((2, 5, 20))):
+            w = list(base)
+            for _ in range(r.randrange(1 + n // 60)):
+                w[r.randrange(n)] = f"x{r.randrange(10**9)}"
+            texts.append(" ".join(w[r.randrange(1 + n // 60) :]))
+    sets = {jj.set_node(s): set(s.tolist()) for s in (jj.token_set(t, 5) for t in texts)}
+    label = {n: n for n in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in map(tuple, rough_pairs(spark, texts, 5, 80)):
+        label[find(a)] = find(b)
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(linked) > 100
+    assert all(find(a) == find(b) for a, b in linked)
+
+
+def test_rows_looked_up_by_a_map_of_keys(spark):
+    rows = spark.createDataFrame([(i * 7919 * 10**12 - 5 * 10**17, f"t{i}") for i in range(400)] + [(-1, "u"), (-1, "v")], "key bigint, word string")
+    some, others = jj._looked_up(rows, rows.where("word < 't2'").select("key"), "key")
+    some, others = ({r.word for r in x.collect()} for x in (some, others))
+    assert not some & others and len(some | others) == 402
+    assert {r.word for r in rows.where("word < 't2'").collect()} <= some and len(some) < 160
+
+
+def test_deduplicate_by_the_map_and_by_the_join(spark, monkeypatch):
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        base = [f"w{r.randrange(10**9)}" for _ in range(80)]
+        rows += [(3 * i + j, " ".join(base[: 80 - j])) for j in range(r.choice((1, 2, 3)))]
+    rows += [rows[0], rows[0], (None, rows[5][1]), (None, ""), (None, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    comp, sizes = brute([(k, t) for k, (_, t) in enumerate(rows)], 5, 80)
+    groups = {}
+    for k, n in enumerate(sizes):
+        if n:
+            groups.setdefault(comp[k], []).append(rows[k])
+    want = sorted([min(g, key=lambda x: (x[0] is None, x[0])) for g in groups.values()] + [x for x, n in zip(rows, sizes, strict=True) if not n], key=repr)
+    for most in (jj.MOST_BROADCAST, 0):
+        monkeypatch.setattr(jj, "MOST_BROADCAST", most)
+        assert sorted(map(tuple, jj.deduplicate(docs).collect()), key=repr) == want

@@ -7,13 +7,16 @@ ids are only looked up for the result.
 
 1. *Groups.* Two linked sets of sizes in one class differ in at most d tokens,
    so if tokens are dealt by hash to more than d parts, some part is equal in
-   both. Each set writes a signature for each of its parts; sets that share one
-   are joined into a star. The stars' components are groups of similar
+   both. Each set writes a signature for each of its parts, with the number of them that
+   a linked set shares at least: its parts that hold a token, less d. Two sets are joined
+   if they share as many as both ask; by one phrase alone they aren't, else ever more texts
+   would hang together by phrases as a corpus grows. Where over ``MANY`` sets share a
+   signature they are joined into a star, without pairs. The components of all this are groups of similar
    documents, and no link leaves its group. Tokens far commoner than others are
    left out of the parts, else phrases that many documents share would join
    them all; sets that differ in d tokens differ in no more without those. A set that has
    too few parts without them writes those of all its tokens as well. A map task sends a
-   signature once, with its least node, so one that many documents share stays small.
+   signature that many of its documents share once, with its least node, so it stays small.
 2. *Unions.* Large groups are cut into blocks of similar sets (those of one least
    token together), bounded in sets and tokens; each block stores the union of
    its tokens, as a map of bits beside the sets.
@@ -71,6 +74,11 @@ FLUSH, BLOCK_SETS, BLOCK_TOKENS, BUCKET = 1 << 18, 256, 400_000, 1 << 19
 CELLS, BITS = 1 << 20, 1 << 20
 #: Parts that a group of any size is dealt to for sums and joins; maps of blocks that travel together.
 SALTS, MAPS = 256, 32
+#: Sets that share a signature and are compared in pairs, at most; what a pair's shared signatures must add up to,
+#: each with this over the number asked; the largest number asked, and what a set without enough parts writes (four bits travel).
+MANY, ENOUGH, MOST_ASKED, NOTHING = 16, 1 << 20, 14, 15
+#: Words of 64 marks each of the map of keys that a table is read by.
+MARKS = 1 << 17
 #: Ratio of the bounds of size classes, and times that tokens are dealt to parts anew.
 RATIO, FORMS = 1.12, 6
 #: Rows of (node, group, block) that may be broadcast, about 40 bytes each.
@@ -145,7 +153,15 @@ class Classes:
         return out
 
     def signatures(self, sets: list[np.ndarray], nodes: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, node) of all parts of non-empty sets, in each class that they reach.
+        """(signature, node) of ``rated``."""
+        return self.rated(sets, nodes, common)[:2]
+
+    def rated(self, sets: list[np.ndarray], nodes: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signature, node, asked) of all parts of non-empty sets, in each class that they reach.
+
+        ``asked`` is how many signatures of this class and form a linked set shares at least: a differing
+        token spoils one part at most, so of f parts that hold a token f - d are equal in both. A set without
+        enough parts writes ``NOTHING``: in this form it meets those that have enough, by what they ask.
 
         Tokens in cells marked ``common`` are left out of the parts: two sets that
         differ in d tokens differ in no more without them. A set with more than d parts
@@ -176,7 +192,10 @@ class Classes:
             keep = filled | few[doc] if form == FORMS else filled
             place = (np.repeat(c, parts).astype(U) << U(40)) + (np.arange(total) - np.repeat(base, parts)).astype(U)
             sig = _mix(sums + _mix(place, 4 + 16 * form), 5)
-            out.append((sig[keep], nodes[at][doc[keep]]))
+            asked = np.clip(np.add.reduceat(filled.astype(np.int64), base) - differ, 1, MOST_ASKED).astype(np.uint8)
+            if form < FORMS:
+                asked[few] = NOTHING
+            out.append((sig[keep], nodes[at][doc[keep]], asked[doc[keep]]))
             return few
 
         for at, c in self._reached(sizes):
@@ -185,7 +204,8 @@ class Classes:
                 at, c = at[few], c[few]
                 if not len(at):
                     break
-        return np.concatenate([s for s, _ in out]), np.concatenate([n for _, n in out])
+        sig, node, asked = (np.concatenate(x) for x in zip(*out, strict=True))
+        return sig, node, asked
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,13 +218,61 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[fresh], b[fresh]], 1).astype("<i8")
 
 
-def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures, the least node of each, and the pairs (node, least node)."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
-    leaders = node[first]
-    return sig[first], leaders, _forest(node, leaders[np.cumsum(first) - 1]) if len(sig) else _forest(node, node)
+def _groups(sig: np.ndarray, node: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of signature, each node once in it, and where the rows of each signature begin and end."""
+    order = np.lexsort((asked, node, sig))
+    sig, node, asked = sig[order], node[order], asked[order]
+    fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])][: len(sig)]
+    sig, node, asked = sig[fresh], node[fresh], asked[fresh]
+    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+    return sig, node, asked, starts, np.r_[starts[1:], len(sig)][: len(starts)]
+
+
+def _stars(sig: np.ndarray, node: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (signature, node, asked) to send, and the pairs (node, least node) of signatures that over ``MANY`` nodes share.
+
+    These send their least node alone; 0 asked tells that it stands for many.
+    """
+    sig, node, asked, starts, ends = _groups(sig, node, asked)
+    many = np.repeat(ends - starts > MANY, ends - starts)
+    pairs = _forest(node[many], np.repeat(node[starts], ends - starts)[many])
+    lead = np.zeros(len(sig), bool)
+    lead[starts] = True
+    keep = ~many | lead
+    return sig[keep], node[keep], np.where(many, 0, asked)[keep].astype(np.uint8), pairs
+
+
+def _met(sig: np.ndarray, node: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes (greater, least) that share signatures, and what these add up to, ``ENOUGH`` at most.
+
+    The nodes of a signature that over ``MANY`` share, or that one stands for many in, are a star of enough each.
+    """
+    sig, node, asked, starts, ends = _groups(sig, node, asked)
+    if not len(sig):
+        return _forest(node, node), np.zeros(0, np.int64)
+    sizes = ends - starts
+    star = (sizes > MANY) | (np.minimum.reduceat(asked, starts) == 0)
+    rows = np.repeat(star, sizes)
+    a, b = [node[rows]], [np.repeat(node[starts], sizes)[rows]]
+    score = [np.full(len(a[0]), ENOUGH, np.int64)]
+    few = ~star & (sizes > 1)
+    for step in range(1, int(sizes[few].max(initial=1))):
+        at = starts[few & (sizes > step)]
+        left = sizes[few & (sizes > step)] - step
+        i = np.repeat(at - (np.cumsum(left) - left), left) + np.arange(left.sum())
+        a.append(node[i + step])
+        b.append(node[i])
+        x, y = np.minimum(asked[i], asked[i + step]), np.maximum(asked[i], asked[i + step])
+        need = np.where(y == NOTHING, x, y).astype(np.int64)
+        score.append(np.where(need == NOTHING, 0, -(-ENOUGH // need)))
+    a, b, score = np.concatenate(a), np.concatenate(b), np.concatenate(score)
+    apart = a != b
+    a, b, score = a[apart], b[apart], score[apart]
+    order = np.lexsort((b, a))
+    a, b, score = a[order], b[order], score[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+    total = np.minimum(np.add.reduceat(score, first), ENOUGH) if len(first) else score
+    return np.stack([a[first], b[first]], 1), total
 
 
 def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
@@ -274,29 +342,30 @@ def _candidates(docs: DataFrame, k: int, percent: int, signatures: int, common:
     """Pairs (a, b) of nodes of docs (text) whose components hold every link."""
     buckets = max(64, signatures // BUCKET + 1)
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
-    names = ["bucket", "sigs", "nodes"]
+    names = ["bucket", "sigs", "nodes", "asked"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding(_HASHES)
         classes, marks = Classes(percent), np.unpackbits(packed.value).astype(bool)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, node, pairs = _stars(np.concatenate([s for s, _ in held]), np.concatenate([n for _, n in held]))
+            sig, node, asked, pairs = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
             if len(pairs):
                 # Pairs are done: buckets below 0 pass them on.
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(pairs[0, 0]) % buckets], pa.int64()), pa.array([b""]), pa.array([pairs.tobytes()])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(pairs[0, 0]) % buckets], pa.int64()), pa.array([b""]), pa.array([pairs.tobytes()]), pa.array([b""])], names=names)
             b = (sig % U(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
-            sig, node, b = sig[order], node[order], b[order]
+            # Beside its bucket 32 bits of a signature travel: equal ones by chance bring pairs that are not linked, never lose any.
+            sig, node, asked, b = (sig[order] // U(buckets)).astype("<u4"), node[order], asked[order], b[order]
             cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
             ends = np.r_[cuts[1:], len(b)]
             for lo in range(0, len(cuts), 64):
                 some = range(lo, min(len(cuts), lo + 64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b[cuts[lo : lo + 64]]), pa.array([sig[cuts[i] : ends[i]].astype("<u8").tobytes() for i in some]), pa.array([node[cuts[i] : ends[i]].astype("<i8").tobytes() for i in some])],
+                    [pa.array(b[cuts[lo : lo + 64]]), pa.array([sig[cuts[i] : ends[i]].tobytes() for i in some]), pa.array([node[cuts[i] : ends[i]].astype("<i8").tobytes() for i in some]), pa.array([_nibbles(asked[cuts[i] : ends[i]]) for i in some])],
                     names=names,
                 )
 
@@ -312,7 +381,7 @@ def _candidates(docs: DataFrame, k: int, percent: int, signatures: int, common:
                 if len(seen) > 200_000:  # a set met again sends the same once more
                     seen.clear()
                 if fresh:
-                    held.append(classes.signatures([*fresh.values()], np.array([*fresh], np.int64), marks))
+                    held.append(classes.rated([*fresh.values()], np.array([*fresh], np.int64), marks))
                     waiting += len(held[-1][0])
                 if waiting > FLUSH:
                     yield from flush()
@@ -321,29 +390,41 @@ def _candidates(docs: DataFrame, k: int, percent: int, signatures: int, common:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sigs, nodes = -1, [], []
+        now, held = -1, []
 
         def ended() -> Iterator[pa.RecordBatch]:
-            if sigs:
-                yield _pairs_batch(_stars(np.concatenate(sigs), np.concatenate(nodes))[2])
-                sigs.clear()
-                nodes.clear()
+            if held:
+                pairs, score = _met(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(score)], names=["a", "b", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket, own = batch.column(0)[i].as_py(), np.frombuffer(batch.column(2)[i].as_py(), "<i8")
                 if bucket < 0:
-                    yield _pairs_batch(own.reshape(-1, 2))
+                    own = own.reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(np.full(len(own), ENOUGH))], names=["a", "b", "score"])
                     continue
                 if bucket != now:
                     yield from ended()
                     now = bucket
-                sigs.append(np.frombuffer(batch.column(1)[i].as_py(), "<u8"))
-                nodes.append(own)
+                held.append((np.frombuffer(batch.column(1)[i].as_py(), "<u4"), own, _asked(batch.column(3)[i].as_py(), len(own))))
         yield from ended()
 
-    sent = docs.mapInArrow(send, "bucket bigint, sigs binary, nodes binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint")
+    sent = docs.mapInArrow(send, "bucket bigint, sigs binary, nodes binary, asked binary")
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint, score bigint")
+    return met.groupBy("a", "b").agg(F.sum("score").alias("score")).where(F.col("score") >= ENOUGH).select("a", "b")
+
+
+def _nibbles(asked: np.ndarray) -> bytes:
+    """Numbers up to 15, two in a byte."""
+    even = np.append(asked, np.zeros(len(asked) % 2, np.uint8))
+    return (even[::2] | even[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def _asked(raw: bytes, n: int) -> np.ndarray:
+    two = np.frombuffer(raw, np.uint8)
+    return np.stack([two & 15, two >> 4], 1).reshape(-1)[:n]
 
 
 class Block:
@@ -483,9 +564,9 @@ def _assigned(sets: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, assigned: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Spanning pairs of all links inside the groups that ``assigned`` describes, and the table behind them."""
-    # The members' texts are picked without a shuffle of all texts while their table is small.
+    # The members' texts are picked without a shuffle of all texts: by their table while it is small, else by a map of its keys.
     few = assigned.count() <= MOST_BROADCAST
-    rows = docs.join(F.broadcast(assigned) if few else assigned, "key").select("node", "comp", "block", "g", "text")
+    rows = (docs if few else _looked_up(docs, assigned, "key")[0]).join(F.broadcast(assigned) if few else assigned, "key").select("node", "comp", "block", "g", "text")
     schema = pa.schema([(c, pa.binary() if c in ("raw", "map") else pa.int64()) for c in ("a", "b", "comp", "block", "low", "high", "raw", "map")])
 
     def open_blocks(table: pa.Table) -> pa.Table:
@@ -593,6 +674,20 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     return records, classes.join(found, "node", "left").select("node", F.expr("coalesce(component, node)").alias("c"), "first")
 
 
+def _looked_up(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose key may be among ``keys`` (all that are, and a few more), and the others.
+
+    Keys are marked in a map of ``MARKS`` words, which alone is sent to the rows; so the others' texts aren't shuffled.
+    """
+    word = lambda c: F.pmod(F.shiftrightunsigned(F.col(c), 6), F.lit(MARKS))
+    mark = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col(c), F.lit(64)).cast("int"))
+    at, marks = spare(rows, "word"), spare(rows, "marks")
+    words = keys.select(word(key).alias(at), mark(key).alias("one")).groupBy(at).agg(F.bit_or("one").alias(marks))
+    rows, names = rows.withColumn(at, word(key)).join(F.broadcast(words), at, "left"), rows.columns
+    hit = F.coalesce(F.col(marks).bitwiseAND(mark(key)) != 0, F.lit(False))
+    return rows.where(hit).select(*names), rows.where(~hit).select(*names)
+
+
 def _key(id_col: str, text_col: str) -> Column:
     """Hash of id and text."""
     return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
@@ -620,7 +715,11 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     wordless = ~F.rlike(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     rows = docs.where(~wordless).withColumn(key, _key(id_col, text_col))
     records, kept = (t.withColumnRenamed("key", key) for t in (records, kept))
+    # Rows whose key is kept and no other row's stay as they are; what else there is goes through the join.
+    own = records.where("n > 0").groupBy(key).agg(F.count("*").alias("__n"))
+    own = own.where("__n > 1").select(key).unionByName(own.select(key).join(kept, key, "left_anti"))
+    rows, alone = _looked_up(rows, own, key)
     full = _once(rows, records, text_col, key).join(kept, key, "left_semi")
     # By id and text as well: of two texts whose keys are equal by chance both stay.
     full = full.withColumn(place := spare(full, "row"), F.row_number().over(Window.partitionBy(key, id_col, text_col).orderBy(text_col))).where(F.col(place) == 1)
-    return full.select(*names).unionByName(docs.where(wordless).select(*names))
+    return full.select(*names).unionByName(alone.select(*names)).unionByName(docs.where(wordless).select(*names))
