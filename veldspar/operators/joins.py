@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .changelog import latest
 from .ordered import WIDTH, safe_join
 from .timeops import nearest
 
+#: Voxels of a tile's side. Fused points of a cell, times that a voxel is halved at most, rows and pairs looked at together.
+TILE, PER_CELL, HALVED, ROWS, PAIRS = 8, 2, 16, 16_384, 1 << 20
+
 
 def posed_images(frames: DataFrame, poses: DataFrame, by: Sequence[str], *, frame: str = "frame", pose_order: Sequence[str] = ("ordinal",)) -> DataFrame:
     """Frames with the pose of the same frame number; of several poses the last. Frames without one go."""
@@ -119,19 +125,85 @@ def voxel_neighbours(points: DataFrame, fused: DataFrame, by: Sequence[str], *,
     """Nearest fused point of each point in its own and the 26 neighbouring voxels.
 
     Strictly within ``max_dist``; equal distances go to the first place of the
-    stencil (dx outermost). The points are exploded to 27 keys and met on equal
-    keys, so work follows the number of points, not pairs. A null session key is a session;
-    points without a coordinate have no neighbour.
+    stencil (dx outermost). Both sides are dealt to tiles of ``TILE`` voxels a side; a point goes
+    to its own tile, a fused point also to those whose border it is within a voxel of. A task searches its
+    tile by cells as fine as the fused points are dense, so work follows the number of points, not
+    pairs, however many share a voxel. A null session key is a session; points without a coordinate have no neighbour.
     """
-    cell = lambda c: F.floor(F.col(c) / size)
-    steps = F.array(*[F.struct(*[F.lit(d).cast("bigint").alias(n) for n, d in zip(("dx", "dy", "dz", "slot"), (dx, dy, dz, k), strict=True)]) for k, (dx, dy, dz) in enumerate((i, j, m) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1))])
-    p = points.withColumn("__s", F.explode(steps))
-    p = p.withColumns({f"__k{a}": cell(a) + F.col(f"__s.d{a}") for a in "xyz"})
-    m = fused.select(*by, *[F.col(a).alias(f"map_{a}") for a in "xyz"], *[cell(a).alias(f"__k{a}") for a in "xyz"])
-    met = safe_join(p, m, [*by, "__kx", "__ky", "__kz"])
-    d2 = sum((F.pow(F.col(a) - F.col(f"map_{a}"), 2) for a in "yz"), F.pow(F.col("x") - F.col("map_x"), 2))
-    met = met.withColumn("d2", d2).where(F.col("d2") < max_dist * max_dist)
-    best = met.groupBy(*by, *key).agg(F.min(F.struct("d2", F.col("__s.slot").alias("slot"), "map_x", "map_y", "map_z")).alias("__b"))
-    return best.select(*by, *key, "__b.*")
-
-
+    known = lambda df: df.where(" and ".join(f"abs({a}) < double('infinity')" for a in "xyz"))
+    # The origin is in the middle of a tile, as clouds mostly lie around it.
+    tile = lambda c, d: F.floor((F.floor(F.col(c).cast("double") / size) + (TILE // 2 + d)) / TILE)
+    tiles = [f"__t{a}" for a in "xyz"]
+    xyz = [F.col(a).cast("double").alias(f"__{a}") for a in "xyz"]
+    p = known(points).select(*by, *key, *xyz, *[tile(a, 0).alias(t) for a, t in zip("xyz", tiles, strict=True)])
+    m = known(fused).select(*by, *xyz, *[F.array_distinct(F.array(tile(a, -1), tile(a, 1))).alias(t) for a, t in zip("xyz", tiles, strict=True)])
+    for t in tiles:
+        m = m.withColumn(t, F.explode(t))
+    kept = [*by, *key]
+    found = T.StructType([*p.select(*kept).schema.fields, T.StructField("d2", T.DoubleType()), T.StructField("slot", T.LongType()), *[T.StructField(f"map_{a}", T.DoubleType()) for a in "xyz"]])
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, f = (np.stack([t.column(f"__{a}").to_numpy() for a in "xyz"], 1) for t in (left, right))
+        at, d2, slot, near = nearest_in_voxels(q, f, size, max_dist * max_dist)
+        out = left.select(kept).take(pa.array(at))
+        for name, column in (("d2", d2), ("slot", slot), *((f"map_{a}", near[:, i]) for i, a in enumerate("xyz"))):
+            out = out.append_column(name, pa.array(column))
+        return out
+
+    near = p.groupBy(*by, *tiles).cogroup(m.groupBy(*by, *tiles)).applyInArrow(search, found)
+    best = near.groupBy(*kept).agg(F.min(F.struct("d2", "slot", "map_x", "map_y", "map_z")).alias("__b"))
+    return best.select(*kept, "__b.*")
+
+
+def nearest_in_voxels(q: np.ndarray, m: np.ndarray, size: float, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``q`` that have a row of ``m`` in the 27 voxels around and nearer than the root of ``most``: their places, squared distance, slot and that row.
+
+    Cells are voxels halved until few rows share one. What is found nearer than a cell's side is the nearest;
+    other rows ask again in cells of twice the side, up to the voxels themselves.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 3))
+    if not len(q) or not len(m):
+        return none
+    m = np.unique(m, axis=0)  # in order, so of equal distances and slots the first is the least
+    mine, theirs = np.floor(q / size), np.floor(m / size)
+    halved = 0
+    while halved < HALVED and len(m) > PER_CELL * len(np.unique(np.floor(m / (size / 2**halved)), axis=0)):
+        halved += 1
+    steps = np.array([(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)], float)
+    d2, slot, at = np.full(len(q), np.inf), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+    todo = np.arange(len(q))
+    for level in range(halved, -1, -1):
+        side = size / 2**level
+        cells = np.floor(m / side)
+        low = cells.min(0)
+        wide = (cells.max(0) - low + 1).astype(np.int64)
+        number = lambda c: (c[..., 0] * wide[1] + c[..., 1]) * wide[2] + c[..., 2]  # noqa: B023, E731
+        numbers = number((cells - low).astype(np.int64))
+        order = np.argsort(numbers, kind="stable")
+        numbers = numbers[order]
+        for lo in range(0, len(todo), ROWS):
+            own = todo[lo : lo + ROWS]
+            around = np.floor(q[own] / side)[:, None, :] + steps - low
+            inside = ((around >= 0) & (around < wide)).all(2)
+            asked = number(np.where(inside[..., None], around, 0).astype(np.int64))
+            begin = np.searchsorted(numbers, asked, "left")
+            n = np.where(inside, np.searchsorted(numbers, asked, "right") - begin, 0)
+            ends = np.cumsum(n.sum(1))
+            cut = 0
+            while cut < len(own):
+                until = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + PAIRS, "right")))
+                some, first = n[cut:until].reshape(-1), begin[cut:until].reshape(-1)
+                j = order[np.repeat(first - (np.cumsum(some) - some), some) + np.arange(some.sum())]
+                i = np.repeat(np.repeat(own[cut:until], 27), some)
+                gap = q[i] - m[j]
+                far = gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2]
+                near = far < most
+                i, j, far = i[near], j[near], far[near]
+                place = ((theirs[j] - mine[i] + 1) @ np.array([9.0, 3.0, 1.0])).astype(np.int64)
+                by = np.lexsort((j, place, far, i))
+                by = by[np.r_[True, i[by][1:] != i[by][:-1]][: len(by)]]
+                d2[i[by]], slot[i[by]], at[i[by]] = far[by], place[by], j[by]
+                cut = until
+        todo = todo[d2[todo] >= (0.999 * side) ** 2]
+    hit = np.flatnonzero(d2 < np.inf)
+    return hit, d2[hit], slot[hit], m[at[hit]]
