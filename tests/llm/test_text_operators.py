@@ -6,6 +6,8 @@ import math
 import random
 import re
 import time
+import types
+import weakref
 import zlib
 
 import numpy as np
@@ -113,6 +115,54 @@ def test_encoder_equals_library():
         assert got.tolist() == e.library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_keeps_what_comes_again():
+    """A full cache lets go what came once; before, it forgot all, so that it had to be larger."""
+    e = token_files.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    e.chunks.most = 300
+    asked, library = collections.Counter(), e._library
+    e._library = lambda texts: (asked.update(texts), library(texts))[1]
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abcdefgß日é") for _ in range(n))
+    texts = [f"{word(4)}?! \n often1 {word(5)}, again2 {word(9)}" for _ in range(2000)]
+    for text, got in zip(texts, e.encode(texts), strict=True):
+        assert got.tolist() == e.library.encode(text, add_special_tokens=False).ids, text
+    assert len(e.chunks) == e.known <= 300 + 64 * 8 and e.chunks.chars == sum(map(len, e.chunks))
+    assert asked[" \n often1"] == asked[" again2"] == 1
+
+
+def test_encoder_memory():
+    """Two workers of an executor have 300 MB each at most beside its JVM: the chunks' share is bounded."""
+    e = token_files.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    for lo in range(0, 360_000, 3600):
+        for _ in e.encode([" ".join(f"{k:x}" for k in range(lo, lo + 3600))]):
+            pass
+    assert len(e.chunks) <= 310_000
+
+
+def test_scan_holds_the_words_of_one_text(monkeypatch):
+    """Before, the words of all texts of a batch were held at once."""
+    held, most = weakref.WeakSet(), 0
+
+    class Words(list):
+        pass
+
+    def words_of(text, split=decontaminate.words_of):
+        nonlocal most
+        held.add(own := Words(split(text)))
+        most = max(most, len(held))
+        return own
+
+    Words.__hash__ = object.__hash__
+    monkeypatch.setattr(decontaminate, "words_of", words_of)
+    for parts in (0, 1, 2):
+        automata = [types.SimpleNamespace(value=decontaminate.SuffixAutomaton([(f"i{k}", ["a", "b", f"c{k}"])], 2)) for k in range(parts)]
+        rows = decontaminate._rows([f"x a b c1 {k} a" for k in range(50)] + [None], automata)
+        assert rows[-1] == (0, [], []) and [x[0] for x in rows[:-1]] == [6] * 50
+        assert all(x[1:] == (([{"start": 1, "end": 4 if parts > 1 else 3, "first": 2, "last": 8 if parts > 1 else 5}], [f"i{k}" for k in range(parts)]) if parts else ([], [])) for x in rows[:-1])
+        automata.clear()
+    assert most <= 2
+
+
 def test_piece_counts_equal_library(spark, odd_docs, no_docs):
     m = token_counts.PieceMerger(tokenizer_path("piece_bpe_32k.model"))
     texts = odd_texts()

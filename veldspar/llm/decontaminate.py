@@ -26,14 +26,15 @@ import re
 from array import array
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, discard, require, spare
+from .shared import cut, discard, holding, require, spare
 
 #: Words are runs of ASCII letters and digits and of all characters beyond ASCII.
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -235,6 +236,32 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, mos
     discard(starts)
 
 
+def _rows(texts: Sequence[str | None], automata: Sequence[Broadcast]) -> list[tuple[int, list[dict], list[str]]]:
+    """What ``HITS`` has of each text. One text's words are held at a time, and split again for each of several automata."""
+    sizes = [0] * len(texts)
+    spans: list[list] = [[] for _ in texts]
+    names: list[set] = [set() for _ in texts]
+    if not automata:
+        sizes = [len(words_of(text)) for text in texts]
+    for shared in automata:
+        automaton = shared.value
+        for i, text in enumerate(texts):
+            own = words_of(text)
+            found, ids = automaton.scan(own)
+            sizes[i] = len(own)
+            spans[i] += found
+            names[i] |= ids
+        if len(automata) > 1:
+            del automaton
+            shared.__dict__.pop("_value", None)  # read again for the next batch
+    rows = []
+    for text, n, found, ids in zip(texts, sizes, spans, names, strict=True):
+        found = found if len(automata) < 2 else merged(found)
+        at = [m.span() for m in WORDS.finditer(text.translate(LOWER))] if found else []
+        rows.append((n, [{"start": a, "end": b, "first": at[a][0], "last": at[b - 1][1]} for a, b in found], sorted(ids)))
+    return rows
+
+
 def find_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -264,24 +291,8 @@ def find_hits(
 
     @F.pandas_udf(T._parse_datatype_string(HITS))
     def scan(texts: pd.Series) -> pd.DataFrame:
-        words = [words_of(t) for t in texts]
-        spans: list[list] = [[] for _ in words]
-        names: list[set] = [set() for _ in words]
-        for shared in automata:
-            automaton = shared.value
-            for i, own in enumerate(words):
-                found, ids = automaton.scan(own)
-                spans[i] += found
-                names[i] |= set(ids)
-            if len(automata) > 1:
-                del automaton
-                shared.__dict__.pop("_value", None)  # read again for the next batch
-        rows = []
-        for text, own, found, ids in zip(texts, words, spans, names, strict=True):
-            found = found if len(automata) < 2 else merged(found)
-            at = [m.span() for m in WORDS.finditer(text.translate(LOWER))] if found else []
-            rows.append((len(own), [{"start": a, "end": b, "first": at[a][0], "last": at[b - 1][1]} for a, b in found], sorted(ids)))
-        return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+        holding(None)
+        return pd.DataFrame(_rows(texts, automata), columns=["n_words", "spans", "items"])
 
     # Otherwise a filter on the result would make Spark run the scan twice.
     return docs.withColumn(hits_col, scan.asNondeterministic()(F.col(text_col)))

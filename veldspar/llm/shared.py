@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """``BATCH`` holds for what is run inside."""
+    before = spark.conf.get(BATCH[0])
+    spark.conf.set(*BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH[0], before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder, without its lineage.
 
@@ -46,12 +58,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = fresh_dir(spark, "cut")
-    before = spark.conf.get(BATCH[0])
-    spark.conf.set(*BATCH)
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH[0], before)
     out = spark.read.schema(schema).parquet(path)
     out.__dict__["cut_path"] = path
     return out
@@ -141,6 +149,10 @@ class Numbered(dict):
     def full(self) -> bool:
         return len(self) > self.most or self.chars > self.most_chars
 
-    def trim(self) -> None:
+    def trim(self, kept: Sequence[int] = ()) -> None:
+        """All strings go but those of these numbers, which are numbered anew in this order."""
+        strings = list(self) if kept else []
+        stay = [strings[k] for k in kept]
         self.clear()
-        self.chars = 0
+        self.update(zip(stay, range(len(stay)), strict=True))
+        self.chars = sum(map(len, stay))

@@ -30,6 +30,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Numbered, holding, require, worker_cache
+from .shared import Numbered, holding, pieces, require, small_batches, worker_cache
 
 #: White_Space of Unicode (fixed values). A token of a byte-level BPE never
 #: runs over a border from another character to one of these.
@@ -48,11 +49,16 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: blank before them; anything else is taken up to the next white space.
 CHUNKS = re.compile(f" ?[{LETTERS}]+(?=[{SPACES}.,;:!?|)]|\\Z)|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 PLAIN = re.compile(f" [{LETTERS}]+")
+#: Some 230 bytes each, in every Python worker of an executor.
+MOST_CHUNKS, MOST_CHARS = 300_000, 6_000_000
 
 
 class Encoder:
     """``tokenizers`` ids of whole texts; repeated chunks are encoded once.
 
+    It holds ``MOST_CHUNKS`` chunks or ``MOST_CHARS`` characters of them and a few texts' more;
+    beyond that only those met again since the last time stay.
+
     The cuts between chunks are exact for byte-level pre-tokenisers without a
     normaliser. Texts that hold an added token's string, and all texts of other
     kinds of tokenizer, go to the library whole.
@@ -67,41 +73,62 @@ class Encoder:
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self.chunks = Numbered()
+        self.chunks = Numbered(MOST_CHUNKS, MOST_CHARS)
         self._empty()
 
     def _empty(self) -> None:
         self.chunks.trim()
-        self.flat, self.starts, self.sizes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.starts, self.sizes, self.again = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
         self.used = self.known = 0
 
+    def _at(self, k: np.ndarray) -> np.ndarray:
+        """Where the ids of these chunks are."""
+        sizes = self.sizes[k]
+        ends = np.cumsum(sizes)
+        return np.repeat(self.starts[k] - (ends - sizes), sizes) + np.arange(ends[-1] if len(k) else 0)
+
+    def _shrink(self) -> None:
+        """Most chunks never come again: those that did stay, unless they fill more than half."""
+        k = np.flatnonzero(self.again[: self.known])
+        self.chunks.trim(k.tolist())
+        if len(k) > self.chunks.most // 2 or self.chunks.chars > self.chunks.most_chars // 2:
+            self._empty()
+            return
+        ids, sizes = self.flat[self._at(k)], self.sizes[k]
+        self.used, self.known = len(ids), len(k)
+        self.flat[: self.used], self.sizes[: self.known] = ids, sizes
+        self.starts[: self.known] = np.cumsum(sizes) - sizes
+        self.again[:] = False
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _settle(self, new: list[str]) -> None:
         """Ids of new chunks. Single pre-tokens go to the library in long strings."""
-        ids: list = [None] * len(new)
-        plain = [k for k, c in enumerate(new) if PLAIN.fullmatch(c)]
+        single = list(map(PLAIN.fullmatch, new))
+        plain, rest = ([k for k, m in enumerate(single) if (m is not None) == x] for x in (True, False))
+        ids, counts = [], []
         for lo in range(0, len(plain), 1000):
-            own = plain[lo : lo + 1000]
-            found = self.library.encode("".join([new[k] for k in own]), add_special_tokens=False)
-            words = np.array(found.word_ids, np.int64)
-            for k, part in zip(own, np.split(np.array(found.ids, "<u4"), np.flatnonzero(np.diff(words)) + 1), strict=True):
-                ids[k] = part
-        rest = [k for k in range(len(new)) if ids[k] is None]
-        for k, found in zip(rest, self._library([new[k] for k in rest]), strict=True):
-            ids[k] = found
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            found = self.library.encode("".join([new[k] for k in plain[lo : lo + 1000]]), add_special_tokens=False)
+            ids.append(np.array(found.ids, "<u4"))
+            counts.append(np.bincount(np.array(found.word_ids, np.int64)))
+        for lo in range(0, len(rest), 2000):  # the library makes large objects
+            own = self._library([new[k] for k in rest[lo : lo + 2000]])
+            counts.append(np.fromiter(map(len, own), np.int64, len(own)))
+            ids.append(np.fromiter(chain.from_iterable(own), "<u4", int(counts[-1].sum())))
+        order, sizes = np.array(plain + rest), np.concatenate(counts)
+        if len(order) != len(sizes):
+            raise ValueError("the tokenizer splits single words")
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while self.known + len(ids) > len(self.starts):
-            self.starts, self.sizes = (np.r_[x, np.zeros_like(x)] for x in (self.starts, self.sizes))
+        while self.known + len(new) > len(self.starts):
+            self.starts, self.sizes, self.again = (np.r_[x, np.zeros_like(x)] for x in (self.starts, self.sizes, self.again))
         self.flat[self.used : self.used + total] = np.concatenate(ids)
-        self.starts[self.known : self.known + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.known : self.known + len(ids)] = sizes
+        self.starts[self.known + order] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.known + order] = sizes
         self.used += total
-        self.known += len(ids)
+        self.known += len(new)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for lo in range(0, len(texts), 64):
@@ -110,18 +137,17 @@ class Encoder:
     def _some(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         whole = [not self.cuts or any(a in t for a in self.added) if t else False for t in texts]
         cut = [self.chunks.numbers(CHUNKS.findall(t)) if t and not w else [] for t, w in zip(texts, whole, strict=True)]
+        known = self.known
         self.chunks.settle(self._settle)
         for text, numbers, w in zip(texts, cut, whole, strict=True):
             if w:
                 yield np.array(self._library([text])[0], "<u4")
                 continue
             k = np.array(numbers, np.int64)
-            sizes = self.sizes[k]
-            ends = np.cumsum(sizes)
-            at = np.repeat(self.starts[k] - (ends - sizes), sizes) + np.arange(ends[-1] if len(k) else 0)
-            yield self.flat[at]
+            self.again[k[k < known]] = True
+            yield self.flat[self._at(k)]
         if self.chunks.full():
-            self._empty()
+            self._shrink()
 
 
 _ENCODERS: dict[str, Encoder] = worker_cache({})
@@ -171,9 +197,10 @@ def write(
                 out = target.open_output_stream(f"{folder}/{name}.bin")
             ids += batch.column(0).fill_null(0).to_pylist()
             valid += batch.column(0).is_valid().to_pylist()
-            for found in enc.encode(batch.column(1).to_pylist()):
-                out.write(np.append(found, np.uint32(end_id)).astype(width).tobytes())
-                lengths.append(len(found) + 1)
+            for some in pieces(batch, 1):
+                for found in enc.encode(some.column(1).to_pylist()):
+                    out.write(np.append(found, np.uint32(end_id)).astype(width).tobytes())
+                    lengths.append(len(found) + 1)
         if out is None:
             return
         out.close()
@@ -186,7 +213,8 @@ def write(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     tie = [F.xxhash64("text"), F.monotonically_increasing_id()]
     rows = rows.select("id", "text", tie[0].alias("h"), tie[1].alias("m")).repartitionByRange(count, "id", "h", "m").sortWithinPartitions("id", "h", "m").select("id", "text")
-    found = rows.mapInArrow(task, "part bigint, name string, width string, n_docs bigint, n_tokens bigint").collect()
+    with small_batches(spark):
+        found = rows.mapInArrow(task, "part bigint, name string, width string, n_docs bigint, n_tokens bigint").collect()
     files, doc_base, token_base = [], 0, 0
     for r in sorted(found, key=lambda r: r.part):
         files.append({"name": r.name, "width": r.width, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "doc_base": doc_base, "token_base": token_base})
@@ -229,6 +257,7 @@ def _each(spark: SparkSession, root: str, schema: str, with_ids: bool) -> DataFr
     kind = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding(None)
         for batch in batches:
             for f in batch.to_pylist():
                 n = f["n_docs"]
